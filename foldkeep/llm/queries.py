@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldkeep.llm.bpecount import count_tokens
+from foldkeep.llm.media import media_features, padded, parse_interleaved, resolve, store_media
+from foldkeep.llm.mixing import mix
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +19,26 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op2_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text is the payload of an image; a page shows the image by its digest."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    media = media_features(store_media(docs, "payload"))
+    pages = docs.select("doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2(padded(F.col("payload")), 256).alias("d")).withColumn(
+        "html",
+        F.concat(
+            F.lit("<article><h1>Document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit('</h1><figure><img src="sha256:'), "d",
+            F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure><p>End.</p></article>"),
+        ),
+    )
+    items = parse_interleaved(pages.select("doc_id", "n_bytes", "html")).select("doc_id", "n_bytes", F.explode("items").alias("i"))
+    refs = items.where("i.kind = 'media'").select("doc_id", "n_bytes", "i.digest", "i.position", "i.caption")
+    return resolve(refs, media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = count_tokens(docs, tokenizer("byte_bpe_50k.json"))
@@ -24,7 +46,34 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_media_sequences": op2_media_sequences,
     "op6_token_counts": op6_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         (CAST('0x' || substring(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u,
+         0.1 + 0.9 * CASE WHEN length(text) > 0 THEN CAST(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS DOUBLE) / length(text) ELSE 0.0 END AS q
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+r AS (
+  SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total,
+         coalesce(sum(source_size) OVER o, 0) * 3 AS cut, CAST(sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS BIGINT) AS rest
+  FROM w WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, CAST(total - cut AS DOUBLE) / rest AS level FROM r),
+x AS (SELECT arg_min(level, CAST(source_size AS DOUBLE) / w) AS level FROM v WHERE level * w <= source_size * 3),
+t AS (SELECT source, source_size, least(CAST(source_size * 3 AS DOUBLE), coalesce(x.level * w, CAST(source_size * 3 AS DOUBLE))) AS target FROM v CROSS JOIN x),
+b AS (SELECT *, CAST(round(target) AS BIGINT) AS budget FROM t),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b),
+k AS (SELECT d.*, source_size, target, epochs, budget - epochs * source_size AS rest,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ln(-ln(u)) - ln(q), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source, source_size, target,
+       CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM k
+""",
+}

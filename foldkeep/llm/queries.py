@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from foldkeep.llm.bpecount import count_tokens
 from foldkeep.llm.media import media_features, padded, parse_interleaved, resolve, store_media
 from foldkeep.llm.mixing import mix
+from foldkeep.llm.warc import read_warc, write_warc
+from foldkeep.session import new_path
 
 
 def tokenizer(name: str) -> str:
@@ -39,6 +41,22 @@ def op2_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(refs, media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    r = read_warc(spark, path)
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+    as_id = lambda c: F.when(number(c) != "", number(c).cast("long"))
+    revisit = F.col("type") == "revisit"
+    return r.select(
+        as_id("record_id").alias("page_id"),
+        F.when(revisit, F.col("declared")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(revisit, F.col("payload_digest")).otherwise(F.col("sha")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        as_id("refers").alias("refers_to"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = count_tokens(docs, tokenizer("byte_bpe_50k.json"))
@@ -48,10 +66,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_media_sequences": op2_media_sequences,
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op6_token_counts": op6_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_round_trip": """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_bytes >= 100 AND p.payload_digest = f.payload_digest
+""",
     "op1_source_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

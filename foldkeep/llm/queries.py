@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foldkeep.llm.bpecount import count_tokens
 from foldkeep.llm.media import media_features, padded, parse_interleaved, resolve, store_media
 from foldkeep.llm.mixing import mix
+from foldkeep.llm.substring import dedup_windows
 from foldkeep.llm.warc import read_warc, write_warc
 from foldkeep.session import new_path
 
@@ -63,11 +64,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_windows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_media_sequences": op2_media_sequences,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

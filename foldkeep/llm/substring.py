@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,10 +164,10 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     rows = 0
 
     def spans(t: pa.Table):
-        sure = t.filter(pa.compute.equal(t.column("kind"), 1))
+        sure = t.filter(pc.equal(t.column("kind"), 1))
         if sure.num_rows:
             yield pa.table({"doc": sure.column("doc"), "tie": sure.column("tie"), "start": sure.column("start"), "stop": sure.column("place")})
-        rest = t.filter(pa.compute.equal(t.column("kind"), 0))
+        rest = t.filter(pc.equal(t.column("kind"), 0))
         if rest.num_rows:
             found = _repeated(rest, width)
             if found is not None:

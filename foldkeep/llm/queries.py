@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldkeep.llm.annforest import nearest
 from foldkeep.llm.bpecount import count_tokens
 from foldkeep.llm.jaccard import jaccard_classes
 from foldkeep.llm.media import media_features, padded, parse_interleaved, resolve, store_media
@@ -59,6 +60,11 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = count_tokens(docs, tokenizer("byte_bpe_50k.json"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_media_sequences": op2_media_sequences,
     "op3_warc_round_trip": op3_warc_round_trip,
+    "op4_nearest_vectors": op4_nearest_vectors,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,

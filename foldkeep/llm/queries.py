@@ -14,6 +14,7 @@ from foldkeep.llm.langid import fit, fold, identify
 from foldkeep.llm.media import media_features, padded, parse_interleaved, resolve, store_media
 from foldkeep.llm.mixing import mix
 from foldkeep.llm.substring import dedup_windows
+from foldkeep.llm.toxicity import fit_and_score
 from foldkeep.llm.warc import read_warc, write_warc
 from foldkeep.session import new_path
 
@@ -66,6 +67,13 @@ def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
+    out = fit_and_score(docs, labels)
+    return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = count_tokens(docs, tokenizer("byte_bpe_50k.json"))
@@ -92,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_sequences": op2_media_sequences,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_nearest_vectors": op4_nearest_vectors,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,

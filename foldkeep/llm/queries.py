@@ -13,6 +13,7 @@ from foldkeep.llm.jaccard import jaccard_classes
 from foldkeep.llm.langid import fit, fold, identify
 from foldkeep.llm.media import media_features, padded, parse_interleaved, resolve, store_media
 from foldkeep.llm.mixing import mix
+from foldkeep.llm.pieces import decode, encode
 from foldkeep.llm.substring import dedup_windows
 from foldkeep.llm.toxicity import fit_and_score
 from foldkeep.llm.warc import read_warc, write_warc
@@ -84,6 +85,23 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmentations with a tenth of the merges dropped, decoded again and compared with the texts."""
+    path = tokenizer("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("text").alias("original"))
+    ids = encode(docs, path, dropout=0.1, seed=20)
+    ids = ids.select("doc_id", "original", "ids", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"))
+    back = decode(ids, path)
+    return back.select(
+        "doc_id",
+        F.coalesce(F.octet_length("original"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_tokens",
+        "ids_hash",
+        F.sha2("text", 256).alias("decoded_sha256"),
+        (F.col("text") == F.coalesce("original", F.lit(""))).alias("lossless"),
+    )
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -103,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_piece_dropout": op8_piece_dropout,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
 }

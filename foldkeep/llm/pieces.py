@@ -4,8 +4,9 @@ A text's spaces become U+2581 and a dummy one leads it, as the model has it. The
 characters between two such marks (with the marks before them) are a unit; no
 piece of the model crosses its border, so units are encoded one by one. In a
 unit an agenda holds every adjacent pair whose join is a piece; the best score
-(leftmost on ties) is taken and joined, and new pairs join the agenda. With
-dropout each candidate taken from the agenda is skipped for good with
+(leftmost on ties) is taken and joined, and new pairs join the agenda. The
+agendas of many units run side by side, as rows of a matrix, a step of all of
+them at a time; ``join`` is the same for a single unit. With dropout each candidate taken from the agenda is skipped for good with
 probability ``dropout``, by a keyed hash of the seed, the unit, its variant and
 the candidate; so a rerun gives the same pieces, and equal units of different
 documents or places get different ones. The variant is one of ``VARIANTS``, by
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,13 +43,55 @@ SYMBOL, PLACE = 24, 32
 _AT = (1 << PLACE) - 1
 _ODD = 0x9E3779B97F4A7C15
 #: Fixed random numbers by a candidate's place and sizes.
-_NOISE = [int(x) for x in np.random.default_rng(20240301).integers(0, 1 << 63, 4096, dtype=np.uint64)]
+_NOISE = np.random.default_rng(20240301).integers(0, 1 << 63, 4096, dtype=np.uint64)
+#: Units up to these numbers of characters share a matrix; longer ones are joined one by one.
+_WIDTHS = (4, 6, 8, 10, 12, 16, 20, 26, 34)
+_NONE = np.iinfo(np.int32).max
+#: Bytes of texts whose units are joined at once.
+BATCH_BYTES = 3 << 20
+
+
+def _unit_keys(codes: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A keyed hash of units, given as rows of character codes (0 past their end), by row."""
+    h = salt.copy()
+    for c in codes.T:
+        h = np.where(c > 0, (h ^ c.astype(np.uint64)) * np.uint64(0x100000001B3), h)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+class PairTable:
+    """Pairs of symbols to the rank and number of the piece that they make, by open addressing."""
+
+    def __init__(self, pairs: dict[int, int], rank: list[int]):
+        bits = max(4, int(len(pairs) * 3).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.piece = np.full(1 << bits, -1, np.int32)
+        self.rank = np.full(1 << bits, _NONE, np.int32)
+        for k, p in pairs.items():
+            at = (k * _ODD & _MASK) >> (64 - bits)
+            while self.key[at] >= 0:
+                at = at + 1 & self.mask
+            self.key[at], self.piece[at], self.rank[at] = k, p, rank[p]
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places in the table; places of pairs that make no piece have rank ``_NONE``."""
+        want = left.astype(np.int64) << SYMBOL | right
+        at = (want.astype(np.uint64) * np.uint64(_ODD) >> self.shift).astype(np.int64)
+        got = self.key[at]
+        todo = np.flatnonzero((got != want) & (got >= 0))
+        while len(todo):
+            at[todo] = at[todo] + 1 & self.mask
+            got = self.key[at[todo]]
+            todo = todo[(got != want[todo]) & (got >= 0)]
+        return at
 
 
 class Pieces:
-    """A BPE model with byte fallback; ``keep`` to ``2 * keep`` units and variants are remembered."""
+    """A BPE model with byte fallback."""
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, keep: int = 500_000):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -82,13 +124,19 @@ class Pieces:
             self.bytes_of[i] = names[i].replace(MARK, " ").encode()
         for b, i in enumerate(self.byte):
             self.bytes_of[i] = bytes([b])
-        self.dropout, self.seed, self.keep = dropout, seed, keep
-        self.limit = int(dropout * (1 << 64))
-        self.seen: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-
-    def join(self, unit: str, variant: int) -> bytes:
-        """Identifiers of one unit (32 bits each) by agenda."""
+        self.table = PairTable(self.pair, self.rank)
+        self.char = np.arange(0x110000, dtype=np.int32) + n
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        self.dropout, self.seed = dropout, seed
+        self.limit = min(int(dropout * (1 << 64)), _MASK)
+
+    def _salt(self, variant: np.ndarray) -> np.ndarray:
+        return (variant.astype(np.uint64) + np.uint64(self.seed * VARIANTS & _MASK)) * np.uint64(_ODD) + np.uint64(0xCBF29CE484222325)
+
+    def join(self, unit: str, variant: int) -> list[int]:
+        """Identifiers of one unit by agenda."""
         n, of, pair, rank = self.size, self.id.get, self.pair.get, self.rank
         part = [of(c, n + ord(c)) for c in unit]
         m = len(part)
@@ -98,7 +146,7 @@ class Pieces:
             pop, push = heapq.heappop, heapq.heappush
             left, right = list(range(-1, m - 1)), list(range(1, m + 1))
             limit = self.limit
-            key = xxhash.xxh64_intdigest(unit, self.seed * VARIANTS + variant) if limit else 0
+            key = int(_unit_keys(np.array([[ord(c) for c in unit]]), self._salt(np.array([variant])))[0]) if limit else 0
             while agenda:
                 top = pop(agenda)
                 i = top & _AT
@@ -106,7 +154,7 @@ class Pieces:
                 if part[i] < 0 or j >= m or (p := pair(part[i] << SYMBOL | part[j])) is None or rank[p] != top >> PLACE:
                     continue  # one of the two was joined meanwhile
                 k = right[j]
-                if limit and (key ^ _NOISE[(i * 289 + j * 17 + k) & 4095]) * _ODD & _MASK < limit:
+                if limit and (key ^ int(_NOISE[(i * 289 + j * 17 + k) & 4095])) * _ODD & _MASK < limit:
                     continue
                 part[i] = p
                 part[j] = -1
@@ -123,41 +171,129 @@ class Pieces:
                 out.extend([self.byte[b] for b in chr(p - n).encode()])
             elif p >= 0:
                 out.append(p)
-        return struct.pack(f"<{len(out)}i", *out)
+        return out
 
-    def encode(self, text: str, document: object = None) -> np.ndarray:
-        """Identifiers of a whole text (empty: none)."""
-        if not text:
-            return np.empty(0, np.int32)
-        out: list[bytes] = []
-        own = struct.pack("<3i", *[self.byte[b] for b in MARK.encode()])
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                out.append(own)
-            self._units((MARK if not k else "") + part.replace(" ", MARK), f"{document}/{k}", out)
-        return np.frombuffer(b"".join(out), "<i4")
-
-    def _units(self, marked: str, document: str, out: list[bytes]) -> None:
-        units = _UNIT.findall(marked)
+    def _candidates(self, sym: np.ndarray, start: np.ndarray, row: np.ndarray, col: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Ranks of the candidates at (row, col): no candidate past the end, without a piece, or skipped."""
+        a, b = sym[row, col], sym[row, col + 1]
+        r = self.table.rank[self.table.find(a, np.maximum(b, 0))]
+        r = np.where((a >= 0) & (b >= 0), r, _NONE)
         if self.limit:
-            start = np.uint64(xxhash.xxh64_intdigest(document, self.seed))
-            place = np.arange(len(units), dtype=np.uint64) * np.uint64(_ODD) + start
+            noise = _NOISE[(start[row, col] * 289 + start[row, col + 1] * 17 + start[row, col + 2]) & 4095]
+            r = np.where((key[row] ^ noise) * np.uint64(_ODD) < np.uint64(self.limit), _NONE, r)
+        return r
+
+    def join_rows(self, codes: np.ndarray, variant: np.ndarray) -> np.ndarray:
+        """Symbols of units, given as rows of character codes (0 past their end); -1 past the last symbol."""
+        m, w = codes.shape
+        sym = np.full((m, w + 1), -1, np.int32)
+        sym[:, :w] = np.where(codes > 0, self.char[codes], -1)
+        size = (codes > 0).sum(1)
+        start = np.minimum(np.arange(w + 2), size[:, None]).astype(np.int32)
+        key = _unit_keys(codes, self._salt(variant)) if self.limit else np.zeros(m, np.uint64)
+        row, col = np.repeat(np.arange(m), w), np.tile(np.arange(w), m)
+        rank = self._candidates(sym, start, row, col, key).reshape(m, w)
+        live = np.arange(m)
+        ahead = np.arange(w)
+        while True:
+            at = rank[live].argmin(1)
+            some = rank[live, at] < _NONE
+            live, at = live[some], at[some]
+            if not len(live):
+                return sym
+            piece = self.table.piece[self.table.find(sym[live, at], sym[live, at + 1])]
+            # what stands after the joined pair moves one place to the left
+            later = ahead[None, :] > at[:, None]
+            for x, last in ((sym, -1), (start, None), (rank, _NONE)):
+                y = x[live]
+                moved = np.empty_like(y)
+                moved[:, :-1] = y[:, 1:]
+                moved[:, -1] = y[:, -1] if last is None else last
+                keep = later if x.shape[1] == w else np.pad(later, ((0, 0), (0, x.shape[1] - w)), constant_values=True)
+                x[live] = np.where(keep, moved, y)
+            sym[live, at] = piece
+            rank[live, at] = self._candidates(sym, start, live, at, key)
+            prior = at > 0
+            rank[live[prior], at[prior] - 1] = self._candidates(sym, start, live[prior], at[prior] - 1, key)
+
+    def join_all(self, units: list[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of units one after the other, and the number of each."""
+        size = np.array([len(u) for u in units])
+        if not len(size):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # unit, place, identifier
+        low = 0
+        plain = np.array(["\x00" not in u for u in units])
+        for w in _WIDTHS:
+            own = np.flatnonzero((size > low) & (size <= w) & plain)
+            low = w
+            for own in np.array_split(own, max(1, len(own) // 20_000)):
+                if not len(own):
+                    continue
+                codes = np.array([units[i] for i in own], dtype=f"U{w}").view(np.uint32).reshape(len(own), w).astype(np.int64)
+                sym = self.join_rows(codes, variant[own])
+                r, c = np.nonzero(sym >= 0)
+                parts.append((own[r], c, sym[r, c]))
+        for i in np.flatnonzero((size > low) | ~plain):
+            ids = self.join(units[i], int(variant[i]))
+            parts.append((np.full(len(ids), i), np.arange(len(ids)), np.array(ids, np.int32)))
+        unit, place, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, unit))
+        unit, ids = unit[order], ids[order]
+        foreign = np.flatnonzero(ids >= self.size)  # characters that the model lacks become bytes
+        if len(foreign):
+            spelled = [[self.byte[b] for b in chr(c - self.size).encode("utf-8", "surrogatepass")] for c in ids[foreign].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[foreign] = [len(x) for x in spelled]
+            unit, at = np.repeat(unit, times), np.repeat(np.arange(len(ids)), times)
+            ids = ids[at]
+            ids[np.isin(at, foreign)] = np.concatenate(spelled)
+        return ids.astype(np.int32), np.bincount(unit, minlength=len(units))
+
+    def encode_all(self, texts: list[str], documents: list) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of whole texts one after the other, and the number of each."""
+        marked, doc, first = [], [], []
+        for d, t in enumerate(texts):
+            for k, part in enumerate(t.split(MARK) if t else []):
+                if k:  # a mark of the text itself, as a unit that stands for its bytes
+                    marked.append([MARK * 40])
+                    doc.append(d)
+                    first.append(0)
+                units = _UNIT.findall((MARK if not k else "") + part.replace(" ", MARK))
+                marked.append(units)
+                doc.append(d)
+                first.append(xxhash.xxh64_intdigest(f"{documents[d]}/{k}", self.seed & _MASK) if self.limit else 0)
+        count = np.array([len(u) for u in marked], np.int64)
+        own = np.array([len(u) == 1 and len(u[0]) == 40 and u[0] == MARK * 40 and not f for u, f in zip(marked, first, strict=True)], bool) if any(MARK in t for t in texts) else np.zeros(len(count), bool)
+        units = pa.array([u for x in marked for u in x], pa.string()).dictionary_encode()
+        index = units.indices.to_numpy().astype(np.int64)
+        if self.limit:
+            start = np.repeat(np.array(first, np.uint64), count)
+            place = (np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64) * np.uint64(_ODD) + start
             place = (place ^ (place >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            variants = ((place >> np.uint64(40)).astype(np.int64) % VARIANTS).tolist()
+            index = index * VARIANTS + ((place >> np.uint64(40)) % np.uint64(VARIANTS)).astype(np.int64)
+        else:
+            index = index * VARIANTS
+        each, back = np.unique(index, return_inverse=True)
+        words = units.dictionary.to_pylist()
+        ids, size = self.join_all([words[i] for i in (each // VARIANTS).tolist()], each % VARIANTS)
+        begin = np.cumsum(size) - size
+        n = size[back]
+        flat = ids[np.repeat(begin[back], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        part = np.repeat(np.arange(len(count)), count)
+        if own.any():
+            three = np.array([self.byte[b] for b in MARK.encode()], np.int32)
+            of_part = np.repeat(part, n)
+            pieces = [three if own[k] else flat[of_part == k] for k in range(len(count))]
+            flat = np.concatenate(pieces)
+            by_part = np.array([len(x) for x in pieces])
         else:
-            variants = [0] * len(units)
-        get, add = [s.get for s in self.seen], out.append
-        for unit, v in zip(units, variants, strict=True):
-            ids = get[v](unit)
-            if ids is None:
-                ids = self.old[v].get(unit)
-                if ids is None:
-                    ids = self.join(unit, v)
-                if len(self.seen[v]) * VARIANTS >= self.keep:
-                    self.old[v], self.seen[v] = self.seen[v], {}
-                    get[v] = self.seen[v].get
-                self.seen[v][unit] = ids
-            add(ids)
+            by_part = np.bincount(part, n, len(count)).astype(np.int64) if len(count) else np.empty(0, np.int64)
+        return flat, np.bincount(np.array(doc, np.int64), by_part, len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
+
+    def encode(self, text: str, document: object = None) -> np.ndarray:
+        """Identifiers of a whole text (empty: none)."""
+        return self.encode_all([text], [document])[0]
 
     def decode(self, ids) -> str:
         """The text of identifiers that ``encode`` made; the leading mark is dropped."""
@@ -187,22 +323,25 @@ def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, dropout, seed)
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                b = whole.slice(a, 500)
-                col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
-                found = [m.encode(t or "", d) for t, d in zip(col["_text"].to_pylist(), col["_id"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({c: col[c] for c in others} | {ids: _lists(found)})
+            texts = [t or "" for t in whole.column(whole.schema.get_field_index("_text")).to_pylist()]
+            named = whole.column(whole.schema.get_field_index("_id")).to_pylist()
+            a = 0
+            while a < len(texts):
+                z, size = a, 0
+                while z < len(texts) and (z == a or size + len(texts[z]) <= BATCH_BYTES):
+                    size += len(texts[z])
+                    z += 1
+                flat, count = m.encode_all(texts[a:z], named[a:z])
+                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                b = whole.slice(a, z - a)
+                yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))})
+                a = z
 
     slim = docs.select(*others, F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)
     return slim.mapInArrow(run, f"{fields}`{ids}` array<int>")
 
 
-def _lists(found: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
-
-
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``rows`` with ``text`` in place of ``ids``; null identifiers decode to null. No shuffle."""
     others = [c for c in rows.columns if c not in (text, ids)]

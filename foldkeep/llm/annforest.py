@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldkeep.session import lean
+
 
 @dataclass
 class Forest:
@@ -192,12 +194,12 @@ def nearest(
                 found.append([{"tree": t, "leaf": n} for t, n in f.search(v, f.reach * r if np.isfinite(r) else np.inf)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())])))], names=["id", "v", "visit"])
 
-    indexed = x.mapInArrow(place, f"id {of}, v array<double>, leaf array<int>").select("id", "v", F.posexplode("leaf").alias("tree", "leaf"))
+    indexed = x.mapInArrow(lean(place), f"id {of}, v array<double>, leaf array<int>").select("id", "v", F.posexplode("leaf").alias("tree", "leaf"))
     # a row a leaf, at most trees * 2**depth
     sizes = indexed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int")).drop("n")
     sizes = F.broadcast(sizes)
     indexed = indexed.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    asked = q.mapInArrow(look, f"id {of}, v array<double>, visit array<struct<tree:int,leaf:int>>").select("id", "v", F.explode("visit").alias("c")).select("id", "v", "c.tree", "c.leaf")
+    asked = q.mapInArrow(lean(look), f"id {of}, v array<double>, visit array<struct<tree:int,leaf:int>>").select("id", "v", F.explode("visit").alias("c")).select("id", "v", "c.tree", "c.leaf")
     asked = asked.join(sizes, ["tree", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     names = ["tree", "leaf", "part", "query", "id", "v"]
     both = indexed.withColumn("query", F.lit(0)).select(names).union(asked.withColumn("query", F.lit(1)).select(names))
@@ -229,6 +231,6 @@ def nearest(
         if held:
             yield from done(held)
 
-    found = dealt.mapInArrow(rank, f"query_id {of}, vec_id {of}, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = dealt.mapInArrow(lean(rank), f"query_id {of}, vec_id {of}, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldkeep.session import lean
+
 # The byte-level pre-tokenizer's split pattern, as the vocabulary's library defines it.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -149,4 +151,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", n_bytes:
     keep = [c for c in docs.columns if c not in (text, n_bytes, n_tokens)]
     slim = docs.select(*keep, F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias(n_bytes), text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != text)
-    return slim.mapInArrow(run, f"{fields}, `{n_tokens}` long")
+    return slim.mapInArrow(lean(run), f"{fields}, `{n_tokens}` long")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from foldkeep.llm.links import components
 from foldkeep.llm.windows import hashed, mix, window_hashes
-from foldkeep.session import materialize
+from foldkeep.session import lean, materialize
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 20, 5
@@ -232,7 +232,7 @@ def jaccard_classes(
     d = prefix_length(threshold, recall)
     keyed = lambda: docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).cast("binary").alias("text"))
     of = docs.schema[doc_id].dataType.simpleString()
-    rows = materialize(keyed().mapInArrow(lambda b: _sketched(b, shingle, d), f"doc_id {of}, tie long, cls binary, size long, sketch binary, keys array<long>"), "jaccard-rows")
+    rows = materialize(keyed().mapInArrow(lean(lambda b: _sketched(b, shingle, d)), f"doc_id {of}, tie long, cls binary, size long, sketch binary, keys array<long>"), "jaccard-rows")
     # one row a class: its members, and one of them that stands for its text
     classes = rows.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
@@ -251,7 +251,7 @@ def jaccard_classes(
     least = TREES * DEPTH * threshold - SLACK * (TREES * DEPTH * threshold * (1 - threshold)) ** 0.5
     base = "cls binary, tree int, key long, own int, lo int, hi int, copies long, sketch binary, keys binary"
     ordered = member.select(*[c.split()[0] for c in base.split(", ")]).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    left = materialize(ordered.mapInArrow(lambda b: _groups(b, 20_000, lambda t: _partnered(t, least)), base), "jaccard-members")
+    left = materialize(ordered.mapInArrow(lean(lambda b: _groups(b, 20_000, lambda t: _partnered(t, least))), base), "jaccard-members")
 
     wanted = materialize(left.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep.doc_id").alias("_d"), F.col("rep.tie").alias("_t")), "jaccard-wanted")
     few = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
@@ -263,9 +263,9 @@ def jaccard_classes(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["cls", "shingles"])
 
     # a repeated row stands for its class several times: one is enough
-    sets_of = texts.mapInArrow(sets, "cls binary, shingles binary").dropDuplicates(["cls"])
+    sets_of = texts.mapInArrow(lean(sets), "cls binary, shingles binary").dropDuplicates(["cls"])
     full = left.drop("sketch").join(sets_of, "cls").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    found = materialize(full.mapInArrow(lambda b: _groups(b, 5_000, lambda t: _verified(t, threshold)), "cls binary, root binary, links long"), "jaccard-links")
+    found = materialize(full.mapInArrow(lean(lambda b: _groups(b, 5_000, lambda t: _verified(t, threshold))), "cls binary, root binary, links long"), "jaccard-links")
 
     joined = components(found.where("cls <> root"), "cls", "root")
     near = found.groupBy("cls").agg(F.sum("links").alias("links"))

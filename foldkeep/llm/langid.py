@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from foldkeep.session import lean
+
 from foldkeep.llm.windows import borders, word_hashes
 
 UNKNOWN = "und"
@@ -313,11 +315,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                b = whole.slice(a, 2000)
+            for a in range(0, whole.num_rows, 1000):
+                b = whole.slice(a, 1000)
                 names, scores = shared.value.predict(b.column(b.schema.get_field_index(text)).to_pylist())
                 yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {lang_pred: pa.array(names, pa.string()), score: pa.array(scores, pa.float64())})
 
     slim = docs.select(*others)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema)
-    return slim.mapInArrow(run, f"{fields}`{lang_pred}` string, `{score}` double")
+    return slim.mapInArrow(lean(run), f"{fields}`{lang_pred}` string, `{score}` double")

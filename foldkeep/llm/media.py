@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldkeep.session import materialize
+from foldkeep.session import lean, materialize
 
 #: Samples a row of an image, and rows a tile; payloads are padded to whole tiles.
 WIDTH = 24
@@ -122,7 +122,7 @@ def parse_interleaved(pages: DataFrame, html: str = "html", items: str = "items"
 
     slim = pages.select(*keep, html)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema if f.name != html)
-    return slim.mapInArrow(run, f"{fields}`{items}` array<{ITEM}>")
+    return slim.mapInArrow(lean(run), f"{fields}`{items}` array<{ITEM}>")
 
 
 def padded(payload: Column) -> Column:
@@ -187,7 +187,7 @@ def media_features(media: DataFrame, digest: str = "digest") -> DataFrame:
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out)
 
-    return media.select(digest, "media").mapInArrow(run, f"{digest} string, {FEATURES}")
+    return media.select(digest, "media").mapInArrow(lean(run), f"{digest} string, {FEATURES}")
 
 
 def resolve(items: DataFrame, media: DataFrame, digest: str = "digest") -> DataFrame:

@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldkeep.session import lean
+
 #: Different segmentations that one unit can get under one seed.
 VARIANTS = 4
 
@@ -339,7 +341,7 @@ def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, doc_
 
     slim = docs.select(*others, F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)
-    return slim.mapInArrow(run, f"{fields}`{ids}` array<int>")
+    return slim.mapInArrow(lean(run), f"{fields}`{ids}` array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -353,4 +355,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
             yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {text: pa.array(said, pa.string())})
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*others).schema)
-    return rows.select(*others, ids).mapInArrow(run, f"{fields}`{text}` string")
+    return rows.select(*others, ids).mapInArrow(lean(run), f"{fields}`{text}` string")

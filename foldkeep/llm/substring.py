@@ -27,13 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldkeep.session import lean
+
 from foldkeep.llm.windows import borders, hashed, mix, window_hashes
 
 WIDTH = 20
 #: Words of the hashes among which anchors are chosen.
 ANCHOR = 10
 #: Words that a task gathers before it compares and sends them on.
-GATHER = 1_000_000
+GATHER = 600_000
 
 _NULL_LAST = (1 << 63) - 1
 _SENT = "anchor long, kind int, doc long, tie long, start int, place int, own binary"
@@ -204,9 +206,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not 0 < anchor <= width:
         raise ValueError("the anchor must lie inside the window")
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_LAST)).alias("doc"), F.xxhash64(text).alias("tie"), F.col(text).cast("binary").alias("text"))
-    sent = keyed.mapInArrow(lambda b: _send(b, width, anchor, gather), _SENT)
+    sent = keyed.mapInArrow(lean(lambda b: _send(b, width, anchor, gather)), _SENT)
     dealt = sent.repartition("anchor").sortWithinPartitions("anchor")
-    spans = dealt.mapInArrow(lambda b: _compare(b, width), _SPAN)
+    spans = dealt.mapInArrow(lean(lambda b: _compare(b, width)), _SPAN)
     return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -274,4 +276,4 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             yield pa.RecordBatch.from_pydict({c: col[c] for c in others} | arrays | ({kept: pa.array(left, pa.string())} if kept else {}))
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)
-    return both.mapInArrow(run, f"{fields}n_words long, n_removed long, kept_sha256 string" + (f", `{kept}` string" if kept else ""))
+    return both.mapInArrow(lean(run), f"{fields}n_words long, n_removed long, kept_sha256 string" + (f", `{kept}` string" if kept else ""))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldkeep.session import materialize
+from foldkeep.session import lean, materialize
 
 #: Most labelled rows of each label for the vocabulary and as examples; most terms; neighbours; examples of a block.
 FIT_ROWS, TERMS, NEIGHBOURS, BLOCK = 3000, 256, 15, 64
@@ -209,7 +209,7 @@ def term_counts(docs: DataFrame, vocabulary: list[str], text: str = "text", term
 
     slim = docs.select(*others, text)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)
-    return slim.mapInArrow(run, f"{fields}`{terms}` array<struct<term:int,n:int>>")
+    return slim.mapInArrow(lean(run), f"{fields}`{terms}` array<struct<term:int,n:int>>")
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, most_terms: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
@@ -240,7 +240,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
                     n.setdefault(t, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([v[1] for v in n.values()], pa.int64()), pa.array([v[0] for v in n.values()], pa.int64())], names=["term", "pos", "neg"])
 
-    counted = sampled.mapInArrow(spread, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = sampled.mapInArrow(lean(spread), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counted = materialize(counted.where("pos + neg >= 3"), "toxic-term-counts")
     pos, neg = (min(fit_rows, totals.get(y, 0)) for y in (1, 0))
     # only what can be chosen at all comes to the driver, the most frequent first
@@ -279,4 +279,4 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))], names=["doc_id", "score", "evidence"])
 
     of = slim.schema["doc_id"].dataType.simpleString()
-    return slim.select("doc_id", "terms").mapInArrow(run, f"doc_id {of}, score double, evidence array<struct<doc_id:bigint,similarity:double>>")
+    return slim.select("doc_id", "terms").mapInArrow(lean(run), f"doc_id {of}, score double, evidence array<struct<doc_id:bigint,similarity:double>>")

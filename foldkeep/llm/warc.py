@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldkeep.session import materialize
+from foldkeep.session import lean, materialize
 
 # Fixed values of the WARC format.
 MAGIC = "WARC/1.1\r\n"
@@ -123,7 +123,7 @@ def candidates(spark: SparkSession, path: str, magic: str = MAGIC) -> DataFrame:
     alone, and over the ranges of a file from one row a range.
     """
     n = len(magic)
-    p = materialize(_scan(spark, path, magic).mapInArrow(lambda b: _pieces(b, n), PIECE), "warc-pieces")
+    p = materialize(_scan(spark, path, magic).mapInArrow(lean(lambda b: _pieces(b, n)), PIECE), "warc-pieces")
     upto = Window.partitionBy("file", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     blocks = p.groupBy("file", "block").agg(F.sum(F.col("size") + F.col("magic")).alias("bytes"))
     start = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -193,7 +193,7 @@ def read_warc(spark: SparkSession, path: str, magic: str = MAGIC, payload: bool
                 ids.append(idx)
             yield pa.RecordBatch.from_pydict({"file": b.column(0), "block": b.column(1), "value": b.column(2), "idx": pa.array(ids, pa.int32())})
 
-    texts = _scan(spark, path, magic).mapInArrow(numbered, "file string, block long, value binary, idx int")
+    texts = _scan(spark, path, magic).mapInArrow(lean(numbered), "file string, block long, value binary, idx int")
     parts = texts.join(owned, ["file", "block", "idx"]).groupBy("file", "from").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("v"), F.first("head").alias("head"), F.first("length").alias("length"))
     glued = F.aggregate(F.slice("v", 2, 1 << 30), F.element_at("v", 1)["value"], lambda a, x: F.concat(a, F.lit(magic).cast("binary"), x["value"]))
     whole = parts.select("file", F.col("from").alias("offset"), F.expr("head").alias("head"), F.col("length").alias("n"), glued.alias("all"))

@@ -8,7 +8,7 @@ unit an agenda holds every adjacent pair whose join is a piece; the best score
 agendas of many units run side by side, as rows of a matrix, a step of all of
 them at a time; ``join`` is the same for a single unit. With dropout each candidate taken from the agenda is skipped for good with
 probability ``dropout``, by a keyed hash of the seed, the unit, its variant and
-the candidate; so a rerun gives the same pieces, and equal units of different
+the candidate's two pieces; so a rerun gives the same pieces, and equal units of different
 documents or places get different ones. The variant is one of ``VARIANTS``, by
 a keyed hash of the document and the unit's place.
 
@@ -43,14 +43,14 @@ _MASK = (1 << 64) - 1
 #: Bits for a symbol in a pair's key, and for a place in an agenda entry.
 SYMBOL, PLACE = 24, 32
 _AT = (1 << PLACE) - 1
-_ODD = 0x9E3779B97F4A7C15
-#: Fixed random numbers by a candidate's place and sizes.
-_NOISE = np.random.default_rng(20240301).integers(0, 1 << 63, 4096, dtype=np.uint64)
+_ODD, _PAIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Units up to these numbers of characters share a matrix; longer ones are joined one by one.
 _WIDTHS = (4, 6, 8, 10, 12, 16, 20, 26, 34)
 _NONE = np.iinfo(np.int32).max
+#: Identifiers that are decoded at once.
+DECODE_IDS = 1 << 19
 #: Bytes of texts whose units are joined at once.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _unit_keys(codes: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -126,6 +126,9 @@ class Pieces:
             self.bytes_of[i] = names[i].replace(MARK, " ").encode()
         for b, i in enumerate(self.byte):
             self.bytes_of[i] = bytes([b])
+        self.letters = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.length = np.array([len(x) for x in self.bytes_of])
+        self.begin = np.cumsum(self.length) - self.length
         self.table = PairTable(self.pair, self.rank)
         self.char = np.arange(0x110000, dtype=np.int32) + n
         for p, i in self.id.items():
@@ -155,9 +158,9 @@ class Pieces:
                 j = right[i]
                 if part[i] < 0 or j >= m or (p := pair(part[i] << SYMBOL | part[j])) is None or rank[p] != top >> PLACE:
                     continue  # one of the two was joined meanwhile
-                k = right[j]
-                if limit and (key ^ int(_NOISE[(i * 289 + j * 17 + k) & 4095])) * _ODD & _MASK < limit:
+                if limit and (key ^ ((part[i] << SYMBOL | part[j]) * _PAIR & _MASK)) * _ODD & _MASK < limit:
                     continue
+                k = right[j]
                 part[i] = p
                 part[j] = -1
                 right[i] = k
@@ -175,48 +178,49 @@ class Pieces:
                 out.append(p)
         return out
 
-    def _candidates(self, sym: np.ndarray, start: np.ndarray, row: np.ndarray, col: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Ranks of the candidates at (row, col): no candidate past the end, without a piece, or skipped."""
-        a, b = sym[row, col], sym[row, col + 1]
-        r = self.table.rank[self.table.find(a, np.maximum(b, 0))]
-        r = np.where((a >= 0) & (b >= 0), r, _NONE)
+    def _candidates(self, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (``_NONE``: no piece, or skipped) and pieces of candidates, given by their two symbols."""
+        at = self.table.find(a, b)
+        r = self.table.rank[at]
         if self.limit:
-            noise = _NOISE[(start[row, col] * 289 + start[row, col + 1] * 17 + start[row, col + 2]) & 4095]
-            r = np.where((key[row] ^ noise) * np.uint64(_ODD) < np.uint64(self.limit), _NONE, r)
-        return r
+            both = (a.astype(np.int64) << SYMBOL | b).astype(np.uint64) * np.uint64(_PAIR)
+            r = np.where((key ^ both) * np.uint64(_ODD) < np.uint64(self.limit), _NONE, r)
+        return r, self.table.piece[at]
 
     def join_rows(self, codes: np.ndarray, variant: np.ndarray) -> np.ndarray:
         """Symbols of units, given as rows of character codes (0 past their end); -1 past the last symbol."""
         m, w = codes.shape
-        sym = np.full((m, w + 1), -1, np.int32)
-        sym[:, :w] = np.where(codes > 0, self.char[codes], -1)
-        size = (codes > 0).sum(1)
-        start = np.minimum(np.arange(w + 2), size[:, None]).astype(np.int32)
+        sym = np.where(codes > 0, self.char[codes], -1)
         key = _unit_keys(codes, self._salt(variant)) if self.limit else np.zeros(m, np.uint64)
-        row, col = np.repeat(np.arange(m), w), np.tile(np.arange(w), m)
-        rank = self._candidates(sym, start, row, col, key).reshape(m, w)
-        live = np.arange(m)
-        ahead = np.arange(w)
-        while True:
-            at = rank[live].argmin(1)
-            some = rank[live, at] < _NONE
-            live, at = live[some], at[some]
-            if not len(live):
-                return sym
-            piece = self.table.piece[self.table.find(sym[live, at], sym[live, at + 1])]
+        # rank and piece of the candidate that begins at each place
+        rank, piece = np.full((m, w), _NONE, np.int32), np.full((m, w), -1, np.int32)
+        row, col = np.nonzero(sym[:, 1:] >= 0)
+        rank[row, col], piece[row, col] = self._candidates(sym[row, col], sym[row, col + 1], key[row])
+        live = np.flatnonzero(rank.min(1) < _NONE)
+        done = sym
+        sym, rank, piece, key = sym[live], rank[live], piece[live], key[live]
+        ahead = np.arange(w - 1)
+        while len(live):
+            every = np.arange(len(live))
+            at = rank.argmin(1)
+            joined = piece[every, at]
             # what stands after the joined pair moves one place to the left
-            later = ahead[None, :] > at[:, None]
-            for x, last in ((sym, -1), (start, None), (rank, _NONE)):
-                y = x[live]
-                moved = np.empty_like(y)
-                moved[:, :-1] = y[:, 1:]
-                moved[:, -1] = y[:, -1] if last is None else last
-                keep = later if x.shape[1] == w else np.pad(later, ((0, 0), (0, x.shape[1] - w)), constant_values=True)
-                x[live] = np.where(keep, moved, y)
-            sym[live, at] = piece
-            rank[live, at] = self._candidates(sym, start, live, at, key)
-            prior = at > 0
-            rank[live[prior], at[prior] - 1] = self._candidates(sym, start, live[prior], at[prior] - 1, key)
+            later = ahead >= at[:, None] + 1
+            for x, last in ((sym, -1), (rank, _NONE), (piece, -1)):
+                np.copyto(x[:, :-1], x[:, 1:].copy(), where=later)
+                x[:, -1] = last
+            sym[every, at] = joined
+            rank[every, at] = _NONE
+            for own, c in ((every, at), (np.flatnonzero(at > 0), at[at > 0] - 1)):
+                after = np.minimum(c + 1, w - 1)
+                some = (sym[own, after] >= 0) & (c + 1 < w)
+                own, c = own[some], c[some]
+                rank[own, c], piece[own, c] = self._candidates(sym[own, c], sym[own, c + 1], key[own])
+            more = rank.min(1) < _NONE
+            if not more.all():
+                done[live[~more]] = sym[~more]
+                live, sym, rank, piece, key = live[more], sym[more], rank[more], piece[more], key[more]
+        return done
 
     def join_all(self, units: list[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of units one after the other, and the number of each."""
@@ -276,8 +280,10 @@ class Pieces:
             index = index * VARIANTS + ((place >> np.uint64(40)) % np.uint64(VARIANTS)).astype(np.int64)
         else:
             index = index * VARIANTS
-        each, back = np.unique(index, return_inverse=True)
         words = units.dictionary.to_pylist()
+        present = np.zeros(len(words) * VARIANTS + 1, bool)
+        present[index] = True
+        each, back = np.flatnonzero(present), (np.cumsum(present) - 1)[index]
         ids, size = self.join_all([words[i] for i in (each // VARIANTS).tolist()], each % VARIANTS)
         begin = np.cumsum(size) - size
         n = size[back]
@@ -297,10 +303,17 @@ class Pieces:
         """Identifiers of a whole text (empty: none)."""
         return self.encode_all([text], [document])[0]
 
+    def decode_all(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
+        """Texts of identifiers that lie one after the other, ``count`` for each; leading marks are dropped."""
+        size = self.length[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.letters[np.repeat(self.begin[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        at = ends[np.concatenate([[0], np.cumsum(count)])].tolist()
+        return [data[a + 1 : z].decode() for a, z in zip(at[:-1], at[1:], strict=True)]
+
     def decode(self, ids) -> str:
         """The text of identifiers that ``encode`` made; the leading mark is dropped."""
-        get = self.bytes_of.__getitem__
-        return b"".join(map(get, ids))[1:].decode() if len(ids) else ""
+        return self.decode_all(np.asarray(ids, np.int64), np.array([len(ids)]))[0]
 
 
 _models: dict[tuple, Pieces] = {}
@@ -351,7 +364,14 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, 0.0, 0)
         for b in batches:
-            said = [None if x is None else m.decode(x) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            lists = b.column(b.schema.get_field_index(ids))
+            flat, count = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
+            ends, said, a = np.concatenate([[0], np.cumsum(count)]), [], 0
+            while a < len(count):
+                z = max(a + 1, int(np.searchsorted(ends, ends[a] + DECODE_IDS, "right")) - 1)
+                said += m.decode_all(flat[ends[a] : ends[z]], count[a:z])
+                a = z
+            said = [t if ok else None for t, ok in zip(said, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {text: pa.array(said, pa.string())})
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*others).schema)

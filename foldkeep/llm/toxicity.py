@@ -102,27 +102,32 @@ class BlockMax:
         return cls(terms, blocks, len(vectors))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of largest cosine (above 0), largest first, ties to the smaller row."""
+        """The k rows of largest cosine (above 0), largest first, ties to the smaller row.
+
+        The blocks of largest bounds are scored first; then all that can still
+        hold one of the k, and the others never.
+        """
         n = -(-self.rows // BLOCK)
         bound = np.zeros(n)
         for t, w in zip(term, weight, strict=True):
             b, top = self.blocks[t]
             bound[b] += w * top
-        found_rows, found, least = np.empty(0, int), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term, weight, strict=True):
-                rows, own = self.terms[t]
-                a, z = np.searchsorted(rows, [b * BLOCK, (b + 1) * BLOCK])
-                score[rows[a:z] - b * BLOCK] += w * own[a:z]
-            hit = np.flatnonzero(score > 0)
-            found_rows, found = np.r_[found_rows, hit + b * BLOCK], np.r_[found, score[hit]]
-            keep = np.lexsort((found_rows, -np.round(found, 9)))[:k]
-            found_rows, found = found_rows[keep], found[keep]
-            least = found[-1] if len(found) == k else 0.0
-        return found_rows, found
+        first = np.argsort(-bound, kind="stable")[: -(-k // BLOCK) + 2]
+        rows, sims = self._best(np.isin(np.arange(n), first) & (bound > 0), term, weight, k)
+        least = sims[-1] if len(sims) == k else 0.0
+        able = (bound > 0) & (bound >= least - 1e-9)
+        return (rows, sims) if not able[~np.isin(np.arange(n), first)].any() else self._best(able, term, weight, k)
+
+    def _best(self, chosen: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of the chosen blocks."""
+        score = np.zeros(len(chosen) * BLOCK)
+        for t, w in zip(term, weight, strict=True):
+            rows, own = self.terms[t]
+            inside = chosen[rows // BLOCK]
+            score[rows[inside]] += w * own[inside]
+        hit = np.flatnonzero(score > 0)
+        keep = hit[np.lexsort((hit, -np.round(score[hit], 9)))[:k]]
+        return keep, score[keep]
 
 
 @dataclass
@@ -279,4 +284,8 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))], names=["doc_id", "score", "evidence"])
 
     of = slim.schema["doc_id"].dataType.simpleString()
-    return slim.select("doc_id", "terms").mapInArrow(lean(run), f"doc_id {of}, score double, evidence array<struct<doc_id:bigint,similarity:double>>")
+    kind = "array<struct<doc_id:bigint,similarity:double>>"
+    # texts without terms need no search; the others are few and slim, and are dealt out evenly
+    plain = slim.where(F.size("terms") == 0).select("doc_id", F.lit(float(m.prior)).alias("score"), F.expr(f"cast(array() as {kind})").alias("evidence"))
+    some = slim.where(F.size("terms") > 0).select("doc_id", "terms").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return plain.unionByName(some.mapInArrow(lean(run), f"doc_id {of}, score double, evidence {kind}"))

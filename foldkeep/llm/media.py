@@ -194,9 +194,9 @@ def resolve(items: DataFrame, media: DataFrame, digest: str = "digest") -> DataF
     """References with the columns of their media, by digest; references that nothing resolves keep nulls.
 
     ``media`` may hold a digest several times (copies are equal by definition);
-    one row a digest is kept before the join, so that no reference multiplies.
-    A digest that very many references share is a skewed key of an equi-join,
-    whose large partitions Spark splits at run time.
+    one row a digest is kept before the join, and written, so that no reference
+    multiplies and the join is of two plain exchanges: a digest that very many
+    references share is then a skewed key whose partition Spark splits.
     """
     one = media.groupBy(digest).agg(*[F.first(c, ignorenulls=True).alias(c) for c in media.columns if c != digest])
-    return items.join(one, digest, "left")
+    return items.join(materialize(one, "media-by-digest"), digest, "left")

@@ -193,10 +193,14 @@ def media_features(media: DataFrame, digest: str = "digest") -> DataFrame:
 def resolve(items: DataFrame, media: DataFrame, digest: str = "digest") -> DataFrame:
     """References with the columns of their media, by digest; references that nothing resolves keep nulls.
 
+    Columns of ``items`` that clash with the media's are replaced.
+
     ``media`` may hold a digest several times (copies are equal by definition);
     one row a digest is kept before the join, and written, so that no reference
     multiplies and the join is of two plain exchanges: a digest that very many
     references share is then a skewed key whose partition Spark splits.
     """
-    one = media.groupBy(digest).agg(*[F.first(c, ignorenulls=True).alias(c) for c in media.columns if c != digest])
+    news = [c for c in media.columns if c != digest]
+    one = media.groupBy(digest).agg(*[F.first(c, ignorenulls=True).alias(c) for c in news])
+    items = items.drop(*news)
     return items.join(materialize(one, "media-by-digest"), digest, "left")

@@ -157,11 +157,11 @@ def mixed_rows(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text:
 
     ``mixed`` is the result of ``mix`` for the same ``docs``; ``doc_id`` must be unique here.
     """
-    m = mixed.select(F.col("doc_id").alias("_id"), "size", "taken")
-    whole, part = F.expr("taken div greatest(size, 1)"), F.expr("taken % greatest(size, 1)")
+    m = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    whole, part = F.expr("_taken div greatest(_size, 1)"), F.expr("_taken % greatest(_size, 1)")
     rows = (
         docs.join(m, F.col(doc_id).eqNullSafe(F.col("_id")))
-        .where(F.col("taken") > 0)
+        .where(F.col("_taken") > 0)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), (whole + F.when(part > 0, 1).otherwise(0)).cast("int"))))
     )
     cut = F.when(F.col("_copy") > whole, first_words(F.col(text), part)).otherwise(F.col(text))

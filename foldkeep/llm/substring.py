@@ -253,9 +253,9 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """
     new = {"n_words", "n_removed", "kept_sha256", kept} - {None}
     others = [c for c in docs.columns if c != text and c not in new]
-    spans = repeated_spans(docs, doc_id, text, width, anchor, gather)
+    spans = repeated_spans(docs, doc_id, text, width, anchor, gather).toDF("_sdoc", "_stie", "_spans")
     keyed = docs.select(*others, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_LAST)).alias("_doc"), F.xxhash64(text).alias("_tie"), F.col(text).alias("_text"))
-    both = keyed.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_tie") == F.col("tie")), "left").select(*others, "_text", F.col("spans.start").alias("_a"), F.col("spans.stop").alias("_b"))
+    both = keyed.join(spans, (F.col("_doc") == F.col("_sdoc")) & (F.col("_tie") == F.col("_stie")), "left").select(*others, "_text", F.col("_spans.start").alias("_a"), F.col("_spans.stop").alias("_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

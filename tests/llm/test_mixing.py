@@ -71,6 +71,11 @@ def test_mixed_rows_hold_the_words_taken(spark):
     assert got == want
 
 
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 9, 9, 9), (2, "d e", "t", 9, 9, 9)], "doc_id long, text string, source string, size int, taken int, target int")
+    assert mix(docs).count() == 2 and mixed_rows(docs, mix(docs)).columns == docs.columns
+
+
 def test_heavier_documents_are_taken_more_often(spark):
     n = 4000
     data = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("c").alias("source"))

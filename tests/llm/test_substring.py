@@ -76,6 +76,12 @@ def test_nulls_repeats_long_texts_and_clashes(spark):
     assert dedup_windows(df.where("false")).isEmpty()
 
 
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a " * 30, 7, 7, 7)], "doc_id long, text string, doc int, tie int, spans int")
+    got = dedup_windows(df).first()
+    assert (got.doc, got.tie, got.spans, got.n_removed) == (7, 7, 7, 29)
+
+
 def test_helpers():
     r = np.random.default_rng(1)
     x = r.integers(0, 9, 200).astype(np.uint64)

@@ -766,3 +766,95 @@ def strict_numbers(spark, sf):
     e = table(spark, sf, "events")
     text = F.when(F.col("value") > 50, F.concat(F.lit("+"), F.col("value").cast("string"))).otherwise(F.concat(F.lit(" "), F.col("value").cast("string")))
     return e.select(F.col("event_id").alias("req_id"), values.strict_double(text).alias("v"))
+
+
+# --- general decisions, streams and workloads ---------------------------------------
+
+
+@query(None)
+def decide_commands(spark, sf):
+    """Effects of a stream in which one command's outcome decides the next one's, by the general decider."""
+    from foldkeep.operators.decide import decide
+
+    effects, _ = decide(_requests(spark, sf))
+    return effects.groupBy("op").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH e AS ({EV}), c AS (SELECT key, min(seq) AS first_seq FROM e GROUP BY key) SELECT e.seq AS req_id, CASE WHEN e.seq = c.first_seq THEN 'simple' ELSE 'nil' END AS kind FROM e JOIN c USING (key)")
+def decide_set_nx(spark, sf):
+    from foldkeep.operators.decide import decide
+
+    reqs = events(spark, sf).select(F.col("seq").alias("req_id"), "at_ms", F.array(F.lit("SET"), F.col("key"), F.col("val"), F.lit("NX")).alias("args"))
+    return decide(reqs)[1].select("req_id", "kind")
+
+
+def _log_folder(spark, sf, rows: DataFrame, parts: int) -> str:
+    """A log folder that grew in parts, one after the other, as a log does."""
+    from foldkeep.schema import LOG
+    from foldkeep.session import new_path
+
+    path = new_path(spark, "log")
+    top = rows.agg(F.max("seq")).first()[0] + 1
+    for i in range(parts):
+        part = rows.where((F.col("seq") >= top * i // parts) & (F.col("seq") < top * (i + 1) // parts))
+        part.select(*[c.split()[0] for c in LOG.split(", ")]).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query(f"WITH e AS ({EV}) SELECT key, arg_max(score, seq) AS value, max(seq) AS seq FROM e GROUP BY key")
+def stream_fold(spark, sf):
+    """The fold as a stream of micro-batches over a log folder."""
+    from foldkeep.session import new_path
+    from foldkeep.streaming.fold_stream import FoldStream, log_source
+
+    src = _log_folder(spark, sf, as_log(events(spark, sf), F.lit("SET"), True, elem=None, val="val"), 2)
+    s = FoldStream(spark, new_path(spark, "state"))
+    s.start(log_source(spark, src, files=1), new_path(spark, "checkpoint")).awaitTermination()
+    element, meta = s.state()
+    return element.join(meta.select("key", F.col("latest_seq").alias("seq")), "key").select("key", F.col("val").cast("double").alias("value"), "seq")
+
+
+@query(ORACLE_SQL["flush_reasons"])
+def stream_compaction(spark, sf):
+    """Compaction with timers over a stream, its flushes counted by reason."""
+    from foldkeep.session import new_path
+    from foldkeep.streaming.compaction_stream import FLUSHED, compact_stream
+
+    setting, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, provider)
+    try:
+        e = events(spark, sf).select("key", "seq", "at_ms")
+        end = e.agg(F.max("at_ms") + 10**10).first()[0]  # a write far on, at which every timer is due
+        e = e.union(spark.createDataFrame([("end", 1 << 40, end)], e.schema)).withColumn("ts", F.timestamp_millis("at_ms"))
+        src, out = new_path(spark, "writes"), new_path(spark, "flushes")
+        e.repartitionByRange(2, "at_ms").sortWithinPartitions("at_ms").write.parquet(src)
+        writes = spark.readStream.schema(e.schema).parquet(src)
+        compact_stream(writes, QUIET, 40_000_000).writeStream.format("parquet").option("checkpointLocation", new_path(spark, "checkpoint")).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+    return spark.read.schema(FLUSHED).parquet(out).groupBy("reason").agg(F.count("*").alias("flushes"), F.sum("writes").alias("writes"))
+
+
+@query(None)
+def workload_zipf(spark, sf):
+    """An open-loop workload with skewed keys, its operations counted."""
+    from foldkeep.workload import requests
+
+    return requests(spark, 20_000, 1000, {"GET": 0.95, "SET": 0.05}, rate=10_000, theta=0.99).groupBy("op").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("SELECT count(*) AS n, max(i) AS last_us FROM range(5000) t(i)")
+def workload_latency(spark, sf):
+    from foldkeep.workload import histogram, latencies, requests
+
+    r = requests(spark, 5000, 100, {"GET": 1.0}, rate=1000).withColumn("done_us", F.col("due_us") + F.col("req_id"))
+    h = histogram(latencies(r), digits=9)
+    return h.agg(F.sum("n").alias("n"), F.max("bucket_us").alias("last_us"))
+
+
+@query("SELECT event_type AS op, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1 UNION ALL SELECT 'poison', count(*) FROM events WHERE event_type = 'error'")
+def poison_quarantine(spark, sf):
+    e = as_log(events(spark, sf), F.when(F.col("elem") == "error", "BOOM").otherwise("SADD"))
+    good, bad = compact.quarantine(e)
+    return good.groupBy(F.col("elem").alias("op")).agg(F.count("*").alias("n")).unionByName(bad.agg(F.count("*").alias("n")).withColumn("op", F.lit("poison")))

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from foldkeep.operators.compact import deltas
 from foldkeep.operators.merge import merge
 from foldkeep.schema import ELEMENT, LOG, META
+from foldkeep.session import materialize
 
 
 class FoldStream:
@@ -49,7 +50,7 @@ class FoldStream:
         if floors:
             element, meta = (t.where(~F.col("shard").isin(*floors)) for t in (element, meta))
         shards = batch.where("key is not null").select("key", "shard").distinct()
-        element, meta = merge(element, meta, deltas(batch))
+        element, meta = merge(element, meta, materialize(deltas(batch), "stream-delta"))
         own = shards.withColumnRenamed("shard", "_s")
         placed = lambda t, cols: t.join(own, "key", "left").withColumn("shard", F.coalesce("shard", "_s")).select(*cols)
         placed(element, [c.split()[0] for c in ELEMENT.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{number}/element")

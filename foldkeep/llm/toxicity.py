@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldkeep.llm.windows import hashed, window_hashes
 from foldkeep.session import lean, materialize
 
 #: Most labelled rows of each label for the vocabulary and as examples; most terms; neighbours; examples of a block.
@@ -181,6 +182,13 @@ def pooled(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[n
     return at, np.array([(p[1] + own * v) / (p[0] + own) for p, v in zip(pool, at, strict=True)])
 
 
+def near_key(text: bytes) -> int:
+    """The smallest hash of a text's five-word windows (of its words, if it has fewer), which near copies mostly share."""
+    words = hashed(text)
+    h = window_hashes(words, min(5, max(1, len(words))))
+    return int(h.min().view(np.int64)) if len(h) else 0
+
+
 def choose_terms(counts: list[tuple[str, int, int]], pos: int, neg: int, tried: int, most: int = TERMS) -> list[str]:
     """The terms that go with the label most surely, from the numbers of labelled and other rows that hold each.
 
@@ -223,7 +231,8 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     ``labels`` holds the rows to learn from, by ``doc_id``; of identifiers that
     it repeats the largest label counts, null labels and identifiers do not.
     At most ``fit_rows`` rows of each label are sampled (by hash, so reruns
-    agree); they choose the terms and are the examples. Null and empty texts have no terms and so get the score of such
+    agree); they are the examples, and choose the terms, near copies counted
+    once. Null and empty texts have no terms and so get the score of such
     texts. Without any labelled row all scores are 0.5 and without evidence.
     ``evidence`` holds the nearest examples' identifiers and similarities.
     """
@@ -237,6 +246,14 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     chosen = materialize(chosen, "toxic-sample")  # at most 2 * fit_rows rows
     sampled = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("_y", F.col(text).alias("text"))
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = pa.array([near_key((x.as_py() or "").encode()) for x in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), near], names=["_y", "text", "near"])
+
+    # near copies are one piece of evidence, however many there are
+    sampled = materialize(sampled.mapInArrow(lean(marked), "_y int, text string, near long").dropDuplicates(["near"]).select("_y", "text"), "toxic-texts")
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: dict[str, list[int]] = {}
@@ -247,7 +264,8 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
     counted = sampled.mapInArrow(lean(spread), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counted = materialize(counted.where("pos + neg >= 3"), "toxic-term-counts")
-    pos, neg = (min(fit_rows, totals.get(y, 0)) for y in (1, 0))
+    kept = {r._y: r.n for r in sampled.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    pos, neg = kept.get(1, 0), kept.get(0, 0)
     # only what can be chosen at all comes to the driver, the most frequent first
     likely = counted.where((F.col("pos") >= 3) & (F.col("pos") * max(1, neg) >= 3 * F.col("neg") * max(1, pos))).orderBy(F.desc("pos"), "term").limit(40 * most_terms)
     vocabulary = choose_terms([(r.term, r.pos, r.neg) for r in likely.collect()], pos, neg, counted.count(), most_terms)

@@ -251,9 +251,6 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             near = pa.array([near_key((x.as_py() or "").encode()) for x in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), near], names=["_y", "text", "near"])
 
-    # near copies are one piece of evidence, however many there are
-    sampled = materialize(sampled.mapInArrow(lean(marked), "_y int, text string, near long").dropDuplicates(["near"]).select("_y", "text"), "toxic-texts")
-
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: dict[str, list[int]] = {}
@@ -262,13 +259,18 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
                     n.setdefault(t, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([v[1] for v in n.values()], pa.int64()), pa.array([v[0] for v in n.values()], pa.int64())], names=["term", "pos", "neg"])
 
-    counted = sampled.mapInArrow(lean(spread), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counted = materialize(counted.where("pos + neg >= 3"), "toxic-term-counts")
-    kept = {r._y: r.n for r in sampled.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    pos, neg = kept.get(1, 0), kept.get(0, 0)
-    # only what can be chosen at all comes to the driver, the most frequent first
-    likely = counted.where((F.col("pos") >= 3) & (F.col("pos") * max(1, neg) >= 3 * F.col("neg") * max(1, pos))).orderBy(F.desc("pos"), "term").limit(40 * most_terms)
-    vocabulary = choose_terms([(r.term, r.pos, r.neg) for r in likely.collect()], pos, neg, counted.count(), most_terms)
+    def chosen_terms(texts: DataFrame) -> list[str]:
+        counted = texts.mapInArrow(lean(spread), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counted = materialize(counted.where("pos + neg >= 3"), "toxic-term-counts")
+        kept = {r._y: r.n for r in texts.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+        pos, neg = kept.get(1, 0), kept.get(0, 0)
+        # only what can be chosen at all comes to the driver, the most frequent first
+        likely = counted.where((F.col("pos") >= 3) & (F.col("pos") * max(1, neg) >= 3 * F.col("neg") * max(1, pos))).orderBy(F.desc("pos"), "term").limit(40 * most_terms)
+        return choose_terms([(r.term, r.pos, r.neg) for r in likely.collect()], pos, neg, counted.count(), most_terms)
+
+    # near copies are one piece of evidence, however many there are; only where that leaves nothing, each counts
+    sampled = materialize(sampled.mapInArrow(lean(marked), "_y int, text string, near long"), "toxic-texts")
+    vocabulary = chosen_terms(sampled.dropDuplicates(["near"]).select("_y", "text")) or chosen_terms(sampled.select("_y", "text"))
 
     slim = materialize(term_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), vocabulary), "toxic-terms")
     seen = {r.term: r.n for r in slim.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}

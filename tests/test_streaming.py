@@ -18,7 +18,8 @@ def rows(element, meta):
     return sorted((r.key, r.type, r.elem or "", r.val) for r in element.collect()), sorted((r.key, r.type, r.abs_ttl_ms, r.cardinality, r.latest_seq) for r in meta.collect())
 
 
-def test_fold_stream_equals_fold(spark, tmp_path):
+@pytest.mark.parametrize("every", [2, 16])
+def test_fold_stream_equals_fold(spark, tmp_path, every):
     log = q._typed_log(q.events(spark, SF)).select(*[c.split()[0] for c in LOG.split(", ")]).where("seq <> 600")
     flush = log.limit(1).select(*[F.lit("FLUSH").alias("op") if c == "op" else F.lit(600).cast("long").alias("seq") if c == "seq" else F.lit(None).cast("string").alias("key") if c == "key" else F.col(c) for c in log.columns])
     # the first write of a key after the flush makes it anew
@@ -27,7 +28,7 @@ def test_fold_stream_equals_fold(spark, tmp_path):
     src = str(tmp_path / "log")
     for a, z in ((0, 300), (300, 700), (700, 1 << 30)):
         log.where(f"seq >= {a} and seq < {z}").coalesce(1).write.mode("append").parquet(src)
-    s = FoldStream(spark, str(tmp_path / "state"))
+    s = FoldStream(spark, str(tmp_path / "state"), every=every)
     run = s.start(log_source(spark, src, files=1), str(tmp_path / "cp"))
     run.awaitTermination()
     assert s.version() == 2
@@ -35,6 +36,8 @@ def test_fold_stream_equals_fold(spark, tmp_path):
     assert rows(*s.state()) == want
     s.absorb(log, 1)  # a batch that comes again changes nothing
     assert s.version() == 2 and rows(*s.state()) == want
+    s.rebase()
+    assert s.tail() == [] and rows(*s.state()) == want
 
 
 def test_compaction_stream_equals_batch(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldkeep.operators.fold import after_flush, at, elements_of, is_reset, keys_of, type_of
+from foldkeep.operators.fold import after_flush, at, code, elements_of, is_reset, keys_of, op_of, type_of
 from foldkeep.schema import ADDS, REMOVES
 
 
@@ -19,11 +19,11 @@ def deltas(log: DataFrame) -> DataFrame:
     key, as in the delta's own form.
     """
     log = after_flush(log)
+    timed, typed = F.when(F.col("op").isin("PEXPIREAT", "PERSIST", "SET") | is_reset(), at()), F.when(type_of(F.col("op")).isNotNull(), at())
     touched = log.groupBy("shard", "key").agg(
-        F.max_by(F.when(F.col("op").isin("PEXPIREAT", "PERSIST", "SET") | is_reset(), F.struct("op", "ttl_ms")), F.when(F.col("op").isin("PEXPIREAT", "PERSIST", "SET") | is_reset(), at())).alias("ttl"),
-        F.min("seq").alias("first_seq"), F.count_distinct("seq").alias("write_count"),
-        F.max_by(F.when(type_of(F.col("op")).isNotNull(), type_of(F.col("op"))), F.when(type_of(F.col("op")).isNotNull(), at())).alias("last_type"),
-    )
+        F.max_by(code(), timed).alias("_ttl_code"), F.max_by(F.coalesce("ttl_ms", F.lit(0)), timed).alias("_ttl_ms"),
+        F.min("seq").alias("first_seq"), F.count_distinct("seq").alias("write_count"), F.max_by(code(), typed).alias("_type_code"),
+    ).withColumn("last_type", type_of(op_of(F.col("_type_code"))))
     keys = keys_of(log).join(touched, ["shard", "key"])
     kind = F.when(F.col("reset_op").isNotNull() & (F.col("reset_op") != "DEL"), type_of(F.col("reset_op"))).otherwise(F.col("last_type"))
     keys = keys.withColumn("type", kind)
@@ -37,8 +37,8 @@ def deltas(log: DataFrame) -> DataFrame:
     out = keys.join(lists, ["shard", "key"], "left")
     adds = F.coalesce("adds", F.expr("cast(array() as array<struct<elem:string,val:string,score:double>>)"))
     removes = F.coalesce("removes", F.expr("cast(array() as array<string>)"))
-    op, ms = F.col("ttl")["op"], F.coalesce(F.col("ttl")["ttl_ms"], F.lit(0))
-    intent = F.when(F.col("ttl").isNull(), "unchanged").when(op.isin("PEXPIREAT", "SET") & (ms > 0), "set").otherwise("cleared")
+    op, ms = op_of(F.col("_ttl_code")), F.coalesce("_ttl_ms", F.lit(0))
+    intent = F.when(F.col("_ttl_code").isNull(), "unchanged").when(op.isin("PEXPIREAT", "SET") & (ms > 0), "set").otherwise("cleared")
     return out.select(
         "key", "type",
         ((F.col("reset_op") == "DEL") & (F.size(adds) == 0)).alias("tombstone"), F.col("reset_seq").isNotNull().alias("delete_all"), intent.alias("ttl_intent"),

@@ -20,8 +20,25 @@ def is_reset() -> Column:
     return F.col("op").isin("SET", "DEL") | F.coalesce("replaces_state", F.lit(False))
 
 
+#: Effects by their code, counted from 1.
+OPS = ("SET", "DEL", "FLUSH", "PEXPIREAT", "PERSIST", "SADD", "SREM", "ZADD", "ZREM", "HSET", "HDEL")
+
+#: Most effects of one command; sequences of a shard stay below 2**43, else the product overflows, which is an error.
+MOST_EFFECTS = 1 << 20
+
+
 def at() -> Column:
-    return F.struct("seq", "ord")
+    """A row's place in its shard as one number, which hash aggregates can hold (a struct would need a sort)."""
+    return F.col("seq") * MOST_EFFECTS + F.col("ord")
+
+
+def code(op: Column | str = "op") -> Column:
+    """An effect as a number, for the same reason."""
+    return F.array_position(F.array(*[F.lit(o) for o in OPS]), F.col(op) if isinstance(op, str) else op).cast("int")
+
+
+def op_of(code: Column) -> Column:
+    return F.try_element_at(F.array(*[F.lit(o) for o in OPS]), code)
 
 
 def type_of(op: Column) -> Column:
@@ -43,12 +60,13 @@ def keys_of(log: DataFrame) -> DataFrame:
         F.when(F.col("op").isin("SET", "PEXPIREAT"), F.coalesce("ttl_ms", F.lit(0)))
         .when((F.col("op") == "PERSIST") | is_reset(), F.lit(0).cast("bigint"))
     )
-    return log.groupBy("shard", "key").agg(
+    found = log.groupBy("shard", "key").agg(
         F.max(F.when(is_reset(), F.col("seq"))).alias("reset_seq"),
-        F.max_by(F.when(is_reset(), F.col("op")), F.when(is_reset(), at())).alias("reset_op"),
+        F.max_by(code(), F.when(is_reset(), at())).alias("_code"),
         F.max_by(ttl, F.when(ttl.isNotNull(), at())).alias("abs_ttl_ms"),
         F.max("seq").alias("latest_seq"),
     )
+    return found.select("shard", "key", "reset_seq", op_of(F.col("_code")).alias("reset_op"), "abs_ttl_ms", "latest_seq")
 
 
 def elements_of(log: DataFrame) -> DataFrame:

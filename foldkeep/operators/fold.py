@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldkeep.schema import ADDS, REMOVES, TYPE_OF_OP
+from foldkeep.session import materialize
 
 
 def is_reset() -> Column:
@@ -75,8 +76,8 @@ def elements_of(log: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "key", "elem").agg(F.max_by(F.struct("op", "val", "score", "seq"), at()).alias("last")).select("shard", "key", "elem", "last.*")
 
 
-def fold(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(element, meta)`` of a log.
+def fold(log: DataFrame, written: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(element, meta)`` of a log; ``written`` folds once into a table of the shared folder, from which both are read.
 
     A key without a reset in the log is not held (it may be merged over a base,
     see ``merge``); an emptied collection doesn't exist; expiry isn't judged
@@ -89,6 +90,8 @@ def fold(log: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(keys, ["shard", "key"])
         .where((F.col("elem_seq") >= F.col("reset_seq")) & ~F.col("op").isin(*REMOVES) & (type_of(F.col("op")) == F.col("type")))
     )
+    if written:
+        live = materialize(live.select("shard", "key", "type", "elem", "val", "score", "abs_ttl_ms", "latest_seq"), "state")
     element = live.select("shard", "key", "type", "elem", "val", "score")
     meta = live.groupBy("shard", "key").agg(
         F.first("type").alias("type"), F.first("abs_ttl_ms").alias("abs_ttl_ms"), F.count("*").alias("cardinality"), F.first("latest_seq").alias("latest_seq")

@@ -19,6 +19,7 @@ from foldkeep.operators.reads import Keyspace
 from foldkeep.plans import parse, registry
 from foldkeep.sources import log as logs
 from foldkeep.sources import resp
+from foldkeep.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -858,3 +859,33 @@ def poison_quarantine(spark, sf):
     e = as_log(events(spark, sf), F.when(F.col("elem") == "error", "BOOM").otherwise("SADD"))
     good, bad = compact.quarantine(e)
     return good.groupBy(F.col("elem").alias("op")).agg(F.count("*").alias("n")).unionByName(bad.agg(F.count("*").alias("n")).withColumn("op", F.lit("poison")))
+
+
+# --- replay of a million entries --------------------------------------------------------
+
+
+MILLION = 1_000_000
+
+
+def million(spark: SparkSession) -> DataFrame:
+    """A log of a million SETs of 100,000 keys, one byte each."""
+    rows = spark.range(MILLION).select(
+        F.col("id").alias("seq"), (F.col("id") * 7919 % 100_000).cast("string").alias("key"), (F.col("id") % 10).cast("string").alias("val"), F.lit(0).cast("long").alias("at_ms")
+    )
+    return as_log(rows, F.lit("SET"), True, elem=None, val="val")
+
+
+@query("SELECT count(*) AS keys, sum(v)::BIGINT AS total, max(s) AS latest FROM (SELECT i * 7919 % 100000 AS k, arg_max(i % 10, i) AS v, max(i) AS s FROM range(1000000) t(i) GROUP BY 1)")
+def replay_million(spark, sf):
+    element, meta = fold(million(spark), written=True)
+    e = element.agg(F.count("*").alias("keys"), F.sum(F.col("val").cast("long")).alias("total"))
+    return e.crossJoin(meta.agg(F.max("latest_seq").alias("latest")))  # two rows of one number each
+
+
+@query("SELECT count(*) AS keys, sum(v)::BIGINT AS total, max(s) AS latest FROM (SELECT i * 7919 % 100000 AS k, arg_max(i % 10, i) AS v, max(i) AS s FROM range(1000000) t(i) GROUP BY 1)")
+def merge_million(spark, sf):
+    """The later half of the log as deltas over the state that the earlier half makes."""
+    log = million(spark)
+    element, meta = merge.merge(*fold(log.where(F.col("seq") < MILLION // 2), written=True), materialize(compact.deltas(log.where(F.col("seq") >= MILLION // 2)), "deltas"))
+    e = element.agg(F.count("*").alias("keys"), F.sum(F.col("val").cast("long")).alias("total"))
+    return e.crossJoin(meta.agg(F.max("latest_seq").alias("latest")))

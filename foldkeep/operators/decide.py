@@ -28,18 +28,35 @@ def keys_column(args: Column) -> Column:
     )
 
 
+#: Most flushes whose places are handed to every task; with more, all requests are one group.
+MOST_FLUSHES = 10_000
+
+
 def groups(requests: DataFrame) -> DataFrame:
-    """``requests`` with ``group``: the requests of a group share keys, those of different groups don't. A flush ties all keys into one."""
-    r = requests.withColumn("_keys", keys_column(F.col("args")))
-    if not r.where(F.upper(F.element_at("args", 1)).isin("FLUSHDB", "FLUSHALL", "DBSIZE")).isEmpty():
+    """``requests`` with ``group``: the requests of a group depend on each other, those of different groups don't.
+
+    Commands tie keys together; a flush parts what came before it from what
+    comes after, as it leaves nothing that a later command could see. DBSIZE
+    looks at all keys and so ties all requests into one group.
+    """
+    r = requests.withColumn("_keys", keys_column(F.col("args"))).withColumn("_name", F.upper(F.try_element_at("args", F.lit(1))))
+    mode = F.upper(F.try_element_at("args", F.lit(2)))
+    done = (F.size("args") == 1) | ((F.size("args") == 2) & mode.isin("ASYNC", "SYNC"))  # any other is refused and flushes nothing
+    flush = F.coalesce(F.col("_name").isin("FLUSHDB", "FLUSHALL") & done, F.lit(False))
+    at = [x.req_id for x in r.where(flush).select("req_id").orderBy("req_id").limit(MOST_FLUSHES + 1).collect()]
+    if len(at) > MOST_FLUSHES or not r.where("_name = 'DBSIZE'").isEmpty():
         return requests.withColumn("group", F.lit("*"))
-    first = F.coalesce(F.try_element_at("_keys", F.lit(1)), F.concat(F.lit("\x00"), F.col("req_id").cast("string")))
+    epoch = F.size(F.filter(F.array(*[F.lit(x) for x in at]), lambda x: x < F.col("req_id"))) if at else F.lit(0)
+    # a request without keys depends on nothing but a flush
+    alone = F.concat(F.lit("\x00"), F.col("req_id").cast("string"))
+    r = r.withColumn("_key", F.coalesce(F.try_element_at("_keys", F.lit(1)), alone))
     ties = r.where(F.size("_keys") > 1).select(F.element_at("_keys", 1).alias("a"), F.explode(F.slice("_keys", F.lit(2), F.size("_keys"))).alias("b"))
-    r = r.withColumn("_key", first)
     if ties.isEmpty():
-        return r.withColumn("group", F.col("_key")).select(*requests.columns, "group")
-    g = key_groups(ties)
-    return r.join(g.withColumnRenamed("key", "_key"), "_key", "left").select(*requests.columns, F.coalesce("group", "_key").alias("group"))
+        group = F.col("_key")
+    else:
+        r = r.join(key_groups(ties).withColumnRenamed("key", "_key"), "_key", "left")
+        group = F.coalesce("group", "_key")
+    return r.select(*requests.columns, F.concat(epoch.cast("string"), F.lit(":"), group).alias("group"))
 
 
 def _run(parts: pd.DataFrame) -> Iterator[tuple]:

@@ -88,6 +88,14 @@ def test_decide_then_fold_equals_the_model(spark, seed, flush):
         assert n == {k: v[3] for k, v in held(model).items()}
 
 
+def test_flushes_part_groups_unless_refused(spark):
+    reqs = [(0, 1, ["SET", "k", "a"]), (1, 2, ["FLUSHDB", "NOW"]), (2, 3, ["SET", "k", "b", "NX"]), (3, 4, ["flushall", "async"]), (4, 5, ["SET", "k", "c", "NX"]), (5, 6, ["GET", "k"])]
+    _, replies = by_model(reqs)
+    _, answered = decide(spark.createDataFrame(reqs, "req_id long, at_ms long, args array<string>"))
+    got = {r.req_id: (r.kind, r.s if r.err is None else r.err) for r in answered.collect()}
+    assert got == {i: (k, v) for i, (k, v) in replies.items()} and got[2][0] == "nil" and got[4] == ("simple", "OK")
+
+
 def test_gaps(spark):
     df = spark.createDataFrame([(0, 1), (0, 2), (0, 4), (1, 1), (1, 2)], "shard int, seq long")
     assert [(r.shard, r.seq, r.before) for r in gaps(df).collect()] == [(0, 4, 2)]

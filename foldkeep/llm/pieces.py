@@ -7,10 +7,11 @@ unit an agenda holds every adjacent pair whose join is a piece; the best score
 (leftmost on ties) is taken and joined, and new pairs join the agenda. The
 agendas of many units run side by side, as rows of a matrix, a step of all of
 them at a time; ``join`` is the same for a single unit. With dropout each candidate taken from the agenda is skipped for good with
-probability ``dropout``, by a keyed hash of the seed, the unit, its variant and
-the candidate's two pieces; so a rerun gives the same pieces, and equal units of different
-documents or places get different ones. The variant is one of ``VARIANTS``, by
-a keyed hash of the document and the unit's place.
+probability ``dropout``, by a keyed hash of the seed, the document, the unit's
+place and the candidate's start and two pieces; so a rerun gives the same
+pieces, and every occurrence of a unit, and of a pair in it, is drawn by itself.
+Occurrences of a unit share a row as long as their draws agree; where they
+differ, the row is split.
 
 Decoding is exact for every text: marks decode to spaces, and characters that
 the model lacks, as well as U+2581 itself where a text holds it, are encoded as
@@ -32,9 +33,6 @@ from pyspark.sql import functions as F
 
 from foldkeep.session import lean
 
-#: Different segmentations that one unit can get under one seed.
-VARIANTS = 4
-
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _MASK = (1 << 64) - 1
@@ -43,23 +41,16 @@ _MASK = (1 << 64) - 1
 #: Bits for a symbol in a pair's key, and for a place in an agenda entry.
 SYMBOL, PLACE = 24, 32
 _AT = (1 << PLACE) - 1
-_ODD, _PAIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_ODD, _PAIR, _START = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Units up to these numbers of characters share a matrix; longer ones are joined one by one.
 _WIDTHS = (4, 6, 8, 10, 12, 16, 20, 26, 34)
 _NONE = np.iinfo(np.int32).max
+#: Occurrences of units that are joined side by side.
+TOGETHER = 60_000
 #: Identifiers that are decoded at once.
 DECODE_IDS = 1 << 19
 #: Bytes of texts whose units are joined at once.
-BATCH_BYTES = 4 << 20
-
-
-def _unit_keys(codes: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """A keyed hash of units, given as rows of character codes (0 past their end), by row."""
-    h = salt.copy()
-    for c in codes.T:
-        h = np.where(c > 0, (h ^ c.astype(np.uint64)) * np.uint64(0x100000001B3), h)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+BATCH_BYTES = 2 << 20
 
 
 class PairTable:
@@ -90,6 +81,12 @@ class PairTable:
         return at
 
 
+def _gathered(ids: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of the segmentations ``of`` one after the other, and the number of each, from those of all segmentations."""
+    n = size[of]
+    return ids[np.repeat((np.cumsum(size) - size)[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], n
+
+
 class Pieces:
     """A BPE model with byte fallback."""
 
@@ -137,11 +134,21 @@ class Pieces:
         self.dropout, self.seed = dropout, seed
         self.limit = min(int(dropout * (1 << 64)), _MASK)
 
-    def _salt(self, variant: np.ndarray) -> np.ndarray:
-        return (variant.astype(np.uint64) + np.uint64(self.seed * VARIANTS & _MASK)) * np.uint64(_ODD) + np.uint64(0xCBF29CE484222325)
-
-    def join(self, unit: str, variant: int) -> list[int]:
-        """Identifiers of one unit by agenda."""
+    def _salt(self, key: np.ndarray) -> np.ndarray:
+        """Keys of occurrences, by the seed."""
+        x = (key.astype(np.uint64) ^ np.uint64(self.seed * _PAIR + 0xCBF29CE484222325 & _MASK)) * np.uint64(_ODD)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(_PAIR)
+        return x ^ (x >> np.uint64(29))
+
+    def _skipped(self, key: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether occurrences of salted ``key`` skip the candidates that ``own`` picks from those given by start and two symbols."""
+        x = (left.astype(np.int64) << SYMBOL | right).astype(np.uint64) * np.uint64(_PAIR) + start.astype(np.uint64) * np.uint64(_START)
+        x = key ^ (x ^ (x >> np.uint64(31)))[own]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(_ODD)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(_PAIR) < np.uint64(self.limit)
+
+    def join(self, unit: str, key: int) -> list[int]:
+        """Identifiers of one occurrence of a unit by agenda."""
         n, of, pair, rank = self.size, self.id.get, self.pair.get, self.rank
         part = [of(c, n + ord(c)) for c in unit]
         m = len(part)
@@ -151,15 +158,19 @@ class Pieces:
             pop, push = heapq.heappop, heapq.heappush
             left, right = list(range(-1, m - 1)), list(range(1, m + 1))
             limit = self.limit
-            key = int(_unit_keys(np.array([[ord(c) for c in unit]]), self._salt(np.array([variant])))[0]) if limit else 0
+            salted = int(self._salt(np.array([key], np.uint64))[0])
             while agenda:
                 top = pop(agenda)
                 i = top & _AT
                 j = right[i]
                 if part[i] < 0 or j >= m or (p := pair(part[i] << SYMBOL | part[j])) is None or rank[p] != top >> PLACE:
                     continue  # one of the two was joined meanwhile
-                if limit and (key ^ ((part[i] << SYMBOL | part[j]) * _PAIR & _MASK)) * _ODD & _MASK < limit:
-                    continue
+                if limit:  # as _skipped
+                    x = (part[i] << SYMBOL | part[j]) * _PAIR + i * _START & _MASK
+                    x ^= salted ^ x >> 31
+                    x = (x ^ x >> 32) * _ODD & _MASK
+                    if (x ^ x >> 29) * _PAIR & _MASK < limit:
+                        continue
                 k = right[j]
                 part[i] = p
                 part[j] = -1
@@ -178,71 +189,99 @@ class Pieces:
                 out.append(p)
         return out
 
-    def _candidates(self, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (``_NONE``: no piece, or skipped) and pieces of candidates, given by their two symbols."""
+    def _candidates(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (``_NONE``: no piece) and pieces of candidates, given by their two symbols."""
         at = self.table.find(a, b)
-        r = self.table.rank[at]
-        if self.limit:
-            both = (a.astype(np.int64) << SYMBOL | b).astype(np.uint64) * np.uint64(_PAIR)
-            r = np.where((key ^ both) * np.uint64(_ODD) < np.uint64(self.limit), _NONE, r)
-        return r, self.table.piece[at]
+        return self.table.rank[at], self.table.piece[at]
 
-    def join_rows(self, codes: np.ndarray, variant: np.ndarray) -> np.ndarray:
-        """Symbols of units, given as rows of character codes (0 past their end); -1 past the last symbol."""
+    def join_rows(self, codes: np.ndarray, row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of segmentations (-1 past the last symbol), and the segmentation of each occurrence.
+
+        ``codes`` are units as rows of character codes (0 past their end); an occurrence has a row and a salted key.
+        """
         m, w = codes.shape
-        sym = np.where(codes > 0, self.char[codes], -1)
-        key = _unit_keys(codes, self._salt(variant)) if self.limit else np.zeros(m, np.uint64)
+        # one column more than characters, so that the last one is always empty
+        sym = np.full((m, w + 1), -1, np.int32)
+        sym[:, :w] = np.where(codes > 0, self.char[codes], -1)
+        start = np.tile(np.arange(w + 1, dtype=np.int32), (m, 1))
         # rank and piece of the candidate that begins at each place
-        rank, piece = np.full((m, w), _NONE, np.int32), np.full((m, w), -1, np.int32)
-        row, col = np.nonzero(sym[:, 1:] >= 0)
-        rank[row, col], piece[row, col] = self._candidates(sym[row, col], sym[row, col + 1], key[row])
-        live = np.flatnonzero(rank.min(1) < _NONE)
-        done = sym
-        sym, rank, piece, key = sym[live], rank[live], piece[live], key[live]
-        ahead = np.arange(w - 1)
-        while len(live):
-            every = np.arange(len(live))
+        rank, piece = np.full((m, w + 1), _NONE, np.int32), np.full((m, w + 1), -1, np.int32)
+        own, col = np.nonzero(sym[:, 1:] >= 0)
+        rank[own, col], piece[own, col] = self._candidates(sym[own, col], sym[own, col + 1])
+        done, n, of, occurrence = [], 0, np.empty(len(row), np.int64), np.arange(len(row))
+        ahead = np.arange(w)
+        while True:
             at = rank.argmin(1)
-            joined = piece[every, at]
+            live = rank[np.arange(len(at)), at] < _NONE
+            if not live.all():
+                done.append(sym[~live])
+                ended = ~live[row]
+                of[occurrence[ended]] = n + (np.cumsum(~live) - 1)[row[ended]]
+                n += len(done[-1])
+                occurrence, key, row = occurrence[~ended], key[~ended], (np.cumsum(live) - 1)[row[~ended]]
+                sym, start, rank, piece, at = sym[live], start[live], rank[live], piece[live], at[live]
+            if not len(at):
+                return np.concatenate(done), of
+            every = np.arange(len(at))
+            if self.limit:
+                skip = self._skipped(key, start[every, at], sym[every, at], sym[every, at + 1], row)
+                some = np.bincount(row[skip], minlength=len(at))
+                whole = some == np.bincount(row, minlength=len(at))
+                split = np.flatnonzero((some > 0) & ~whole)
+                # those that skip leave for a new row, if others of theirs join
+                to = every.copy()
+                to[split] = len(at) + np.arange(len(split))
+                row = np.where(skip, to[row], row)
+                rests = np.concatenate([np.flatnonzero(whole), to[split]])
+                sym, start, rank, piece = (np.concatenate([x, x[split]]) for x in (sym, start, rank, piece))
+                at = np.concatenate([at, at[split]])
+                rank[rests, at[rests]] = _NONE
+                every = np.flatnonzero(~whole)
+                at[rests] = w + 1
+            joined = piece[every, at[every]]
             # what stands after the joined pair moves one place to the left
             later = ahead >= at[:, None] + 1
-            for x, last in ((sym, -1), (rank, _NONE), (piece, -1)):
+            for x in (sym, start, rank, piece):
                 np.copyto(x[:, :-1], x[:, 1:].copy(), where=later)
-                x[:, -1] = last
+            at = at[every]
             sym[every, at] = joined
             rank[every, at] = _NONE
-            for own, c in ((every, at), (np.flatnonzero(at > 0), at[at > 0] - 1)):
-                after = np.minimum(c + 1, w - 1)
-                some = (sym[own, after] >= 0) & (c + 1 < w)
+            for own, c in ((every, at), (every[at > 0], at[at > 0] - 1)):
+                some = sym[own, c + 1] >= 0
                 own, c = own[some], c[some]
-                rank[own, c], piece[own, c] = self._candidates(sym[own, c], sym[own, c + 1], key[own])
-            more = rank.min(1) < _NONE
-            if not more.all():
-                done[live[~more]] = sym[~more]
-                live, sym, rank, piece, key = live[more], sym[more], rank[more], piece[more], key[more]
-        return done
-
-    def join_all(self, units: list[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers of units one after the other, and the number of each."""
-        size = np.array([len(u) for u in units])
-        if not len(size):
-            return np.empty(0, np.int32), np.empty(0, np.int64)
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # unit, place, identifier
-        low = 0
-        plain = np.array(["\x00" not in u for u in units])
+                rank[own, c], piece[own, c] = self._candidates(sym[own, c], sym[own, c + 1])
+
+    def segment(self, words: list[str], index: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Identifiers of segmentations one after the other, the number of each, and the segmentation of each occurrence.
+
+        An occurrence is of the unit ``words[index]`` and has a key.
+        """
+        size, of = np.array([len(u) for u in words], np.int64), np.empty(len(index), np.int64)
+        if not len(index):
+            return np.empty(0, np.int32), np.empty(0, np.int64), of
+        plain = np.array(["\x00" not in u for u in words])
+        salted = self._salt(key)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # segmentation, place, identifier
+        order = np.argsort(index, kind="stable")
+        high = np.where(plain, size, _NONE)[index[order]]
+        low = n = 0
         for w in _WIDTHS:
-            own = np.flatnonzero((size > low) & (size <= w) & plain)
+            mine = order[(high > low) & (high <= w)]
             low = w
-            for own in np.array_split(own, max(1, len(own) // 20_000)):
-                if not len(own):
-                    continue
-                codes = np.array([units[i] for i in own], dtype=f"U{w}").view(np.uint32).reshape(len(own), w).astype(np.int64)
-                sym = self.join_rows(codes, variant[own])
+            for own in (mine[i : i + TOGETHER] for i in range(0, len(mine), TOGETHER)):
+                new = np.r_[True, np.diff(index[own]) != 0]
+                these = [words[i] for i in index[own][new].tolist()]
+                codes = np.array(these, dtype=f"U{w}").view(np.uint32).reshape(len(these), w).astype(np.int64)
+                sym, mapped = self.join_rows(codes, np.cumsum(new) - 1, salted[own])
+                of[own] = n + mapped
                 r, c = np.nonzero(sym >= 0)
-                parts.append((own[r], c, sym[r, c]))
-        for i in np.flatnonzero((size > low) | ~plain):
-            ids = self.join(units[i], int(variant[i]))
-            parts.append((np.full(len(ids), i), np.arange(len(ids)), np.array(ids, np.int32)))
+                parts.append((n + r, c, sym[r, c]))
+                n += len(sym)
+        for i in order[high > low].tolist():
+            ids = self.join(words[index[i]], int(key[i]))
+            parts.append((np.full(len(ids), n), np.arange(len(ids)), np.array(ids, np.int32)))
+            of[i] = n
+            n += 1
         unit, place, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((place, unit))
         unit, ids = unit[order], ids[order]
@@ -254,7 +293,11 @@ class Pieces:
             unit, at = np.repeat(unit, times), np.repeat(np.arange(len(ids)), times)
             ids = ids[at]
             ids[np.isin(at, foreign)] = np.concatenate(spelled)
-        return ids.astype(np.int32), np.bincount(unit, minlength=len(units))
+        return ids.astype(np.int32), np.bincount(unit, minlength=n), of
+
+    def join_all(self, units: list[str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of units one after the other, and the number of each; every one has a key."""
+        return _gathered(*self.segment(units, np.arange(len(units)), key))
 
     def encode_all(self, texts: list[str], documents: list) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of whole texts one after the other, and the number of each."""
@@ -268,26 +311,20 @@ class Pieces:
                 units = _UNIT.findall((MARK if not k else "") + part.replace(" ", MARK))
                 marked.append(units)
                 doc.append(d)
-                first.append(xxhash.xxh64_intdigest(f"{documents[d]}/{k}", self.seed & _MASK) if self.limit else 0)
+                # the text counts too, so that documents that share an identifier don't share draws
+                first.append(xxhash.xxh64_intdigest(part, xxhash.xxh64_intdigest(f"{documents[d]}/{k}", self.seed & _MASK)) if self.limit else 0)
         count = np.array([len(u) for u in marked], np.int64)
         own = np.array([len(u) == 1 and len(u[0]) == 40 and u[0] == MARK * 40 and not f for u, f in zip(marked, first, strict=True)], bool) if any(MARK in t for t in texts) else np.zeros(len(count), bool)
         units = pa.array([u for x in marked for u in x], pa.string()).dictionary_encode()
-        index = units.indices.to_numpy().astype(np.int64)
+        index, words = units.indices.to_numpy().astype(np.int64), units.dictionary.to_pylist()
         if self.limit:
             start = np.repeat(np.array(first, np.uint64), count)
             place = (np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64) * np.uint64(_ODD) + start
-            place = (place ^ (place >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            index = index * VARIANTS + ((place >> np.uint64(40)) % np.uint64(VARIANTS)).astype(np.int64)
+            ids, size, back = self.segment(words, index, (place ^ (place >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9))
         else:
-            index = index * VARIANTS
-        words = units.dictionary.to_pylist()
-        present = np.zeros(len(words) * VARIANTS + 1, bool)
-        present[index] = True
-        each, back = np.flatnonzero(present), (np.cumsum(present) - 1)[index]
-        ids, size = self.join_all([words[i] for i in (each // VARIANTS).tolist()], each % VARIANTS)
-        begin = np.cumsum(size) - size
-        n = size[back]
-        flat = ids[np.repeat(begin[back], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            ids, size, back = self.segment(words, np.arange(len(words)), np.zeros(len(words), np.uint64))
+            back = back[index]
+        flat, n = _gathered(ids, size, back)
         part = np.repeat(np.arange(len(count)), count)
         if own.any():
             three = np.array([self.byte[b] for b in MARK.encode()], np.int32)

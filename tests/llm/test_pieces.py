@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +78,23 @@ def test_query_is_lossless(spark):
     assert got.where("not lossless").isEmpty() and got.count() == docs.count()
     want = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("decoded_sha256"))
     assert sorted(got.select("doc_id", "decoded_sha256").collect()) == sorted(want.collect())
+
+
+def test_every_occurrence_is_drawn_by_itself():
+    m = Pieces(PATH, 0.3, 5)
+    # pairs of one unit: with one draw for a pair, all are joined or none
+    a, plain = m.encode("abab" * 2000, 1).tolist(), Pieces(PATH).encode("abab" * 2000).tolist()
+    assert len({tuple(a[i : i + 4]) for i in range(0, len(a), 4)}) > 10 > len(set(plain))
+    # occurrences of one unit: more than a few forms, of which the plain one is the most frequent
+    forms = Counter(tuple(m.encode("understanding", i)) for i in range(500))
+    assert len(forms) > 6 and forms.most_common(1)[0][0] == tuple(Pieces(PATH).encode("understanding").tolist())
+    inside = m.encode("understanding " * 300, 1)
+    assert m.decode(inside) == "understanding " * 300 and len({m.encode("understanding " * 300, i).tobytes() for i in range(9)}) == 9
+
+
+def test_single_candidates_keep_the_rate():
+    m = Pieces(PATH, 0.1, 6)
+    joined = np.mean([len(m.join(f"{MARK}a", k)) == 1 for k in range(4000)])
+    assert 0.88 < joined < 0.92
+    _, count = m.join_all([f"{MARK}a"] * 4000, np.arange(4000))
+    assert np.mean(count == 1) == joined

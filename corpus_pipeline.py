@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldkeep.llm.jaccard import jaccard_classes
+from foldkeep.llm.jaccard import jaccard_rows
 from foldkeep.llm.langid import UNKNOWN, fit, fold, identify
 from foldkeep.llm.mixing import mix, mixed_rows
 from foldkeep.llm.pieces import encode
@@ -35,15 +35,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return seen.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def once(docs: DataFrame, *keys: str) -> DataFrame:
+    """One row of those with equal keys, the smallest by the other columns."""
+    rest = [c for c in COLUMNS if c not in keys]
+    return docs.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_rest")).select(*keys, "_rest.*").select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays; of rows that repeat a doc_id, one does."""
-    classes = materialize(jaccard_classes(docs).select("doc_id", "class_id"), "pipeline-classes")
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    """The document with the smallest doc_id (null last) of each group stays; of rows that repeat doc_id and text, one does."""
+    rows = materialize(jaccard_rows(docs).select("doc_id", "tie", "stays"), "pipeline-classes")
+    gone = rows.where(~F.col("stays")).select(F.col("doc_id").alias("_gone"), F.col("tie").alias("_tie")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
-    if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id"])
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_tie")), "left_anti").select(*COLUMNS)
+    if not rows.where("stays").groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        left = once(left, "doc_id", "text")
     return left
 
 
@@ -53,10 +59,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = materialize(mix(docs).select("doc_id", "size", "taken"), "pipeline-mix")
+    # rows that are equal in doc_id, source and text share what they take
+    each = mix(docs, tie=True).groupBy("doc_id", "tie").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("n"))
+    taken = materialize(each, "pipeline-mix")
+    docs = docs.select(*COLUMNS)
+    if not taken.where("n > 1").isEmpty():
+        docs = once(docs, "doc_id", "source", "text")
+    taken = taken.drop("n")
     if taken.count() <= BROADCAST_ROWS:
         taken = F.broadcast(taken)
-    out = mixed_rows(docs.select(*COLUMNS), taken)
+    out = mixed_rows(docs, taken)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

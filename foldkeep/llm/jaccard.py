@@ -229,13 +229,24 @@ def jaccard_classes(
     repeat a doc_id are rows of their own; a null doc_id gets the smallest
     non-null one of its class, or null. An empty table gives an empty result.
     """
+    return jaccard_rows(docs, doc_id, text, shingle, threshold, recall, block, broadcast_rows).drop("tie", "stays")
+
+
+def jaccard_rows(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, broadcast_rows: int = 1_000_000
+) -> DataFrame:
+    """``jaccard_classes`` with ``tie``, the hash of the row's text, and ``stays``, whether the row stands for its class.
+
+    The row of the smallest doc_id (null last) and tie does, and so does each row
+    that repeats both; so does each row without words.
+    """
     d = prefix_length(threshold, recall)
     keyed = lambda: docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).cast("binary").alias("text"))
     of = docs.schema[doc_id].dataType.simpleString()
     rows = materialize(keyed().mapInArrow(lean(lambda b: _sketched(b, shingle, d)), f"doc_id {of}, tie long, cls binary, size long, sketch binary, keys array<long>"), "jaccard-rows")
     # one row a class: its members, and one of them that stands for its text
     classes = rows.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
     )
     classes = materialize(classes, "jaccard-classes")
 
@@ -269,9 +280,11 @@ def jaccard_classes(
 
     joined = components(found.where("cls <> root"), "cls", "root")
     near = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    info = classes.select("cls", "copy_id", "copies").join(near, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = info.where("links is not null").groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    info = info.join(smallest, "root", "left").select("cls", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = classes.select("cls", "copy_id", "copies", "rep").join(near, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    smallest = info.where("links is not null").groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min("rep").alias("first"))
+    info = info.join(smallest, "root", "left").select("cls", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("first", "rep").alias("first"))
+    stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")))
     return rows.join(info, "cls", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.col("size").alias("n_shingles")
-    )
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.col("size").alias("n_shingles"),
+        "tie", stays.alias("stays"),
+    )

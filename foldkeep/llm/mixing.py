@@ -90,8 +90,9 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST_EPOCHS,
     broadcast_rows: int = 100_000,
+    tie: bool = False,
 ) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, size, source, source_size, target, taken``.
+    """Per row of ``docs``: ``doc_id, size, source, source_size, target, taken``, and ``tie`` (of text and source) if asked for.
 
     ``taken`` is the number of the row's words in the mix, whole epochs
     included; the sum over a source is its target rounded to a whole number.
@@ -135,7 +136,7 @@ def mix(
         border = F.broadcast(border)
     rows = slim.join(border, F.col("source").eqNullSafe(F.col("its"))).drop("its")
     out = lambda df, part: df.select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
+        "doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *([F.xxhash64("tie", "source").alias("tie")] if tie else [])
     )
     inside = rows.where(F.col("class") == F.col("at"))
     outside = rows.where(F.col("at").isNull() | (F.col("class") != F.col("at")))
@@ -152,15 +153,19 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
 
 
-def mixed_rows(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_rows(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each document's row once an epoch, and its first words where the budget ends inside it.
 
-    ``mixed`` is the result of ``mix`` for the same ``docs``; ``doc_id`` must be unique here.
+    ``mixed`` is the result of ``mix`` for the same ``docs``; ``doc_id`` must be unique here, or with it the ``tie`` that ``mixed`` has.
     """
-    m = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    tied = "tie" in mixed.columns
+    m = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), *([F.col("tie").alias("_tie")] if tied else []))
+    same = F.col(doc_id).eqNullSafe(F.col("_id"))
+    if tied:
+        same = same & (F.xxhash64(F.xxhash64(text), F.col(source)) == F.col("_tie"))
     whole, part = F.expr("_taken div greatest(_size, 1)"), F.expr("_taken % greatest(_size, 1)")
     rows = (
-        docs.join(m, F.col(doc_id).eqNullSafe(F.col("_id")))
+        docs.join(m, same)
         .where(F.col("_taken") > 0)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), (whole + F.when(part > 0, 1).otherwise(0)).cast("int"))))
     )

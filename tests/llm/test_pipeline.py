@@ -85,5 +85,24 @@ def test_empty_and_odd_documents(spark):
         assert ids in ([4, 5], [])
 
 
+def test_rows_without_or_with_shared_identifiers_are_told_apart(spark):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, long("a")), (None, long("a")), (None, long("b")), (None, long("b")), (None, long("c")), (7, long("d")), (7, long("e")), (7, long("e")), (8, long("e") + " more"), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], tables_schema())
+    left = materialize(cp.near_duplicates(spark, docs, SF), "test-shared")
+    want = [(1, long("a")), (None, long("b")), (None, long("c")), (7, long("d")), (7, long("e")), (None, ""), (None, None)]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
+    # and no later stage takes one for the other: a mix of one source has each of its documents once
+    mixed = cp.source_mixing(spark, cp.substring_dedup(spark, left, SF), SF)
+    assert Counter((r.doc_id, r.text) for r in mixed.collect()) == Counter((i, t) for i, t in want if t)
+    # rows that only became equal share what they take
+    twice = spark.createDataFrame([(None, "x y z", "en", "s", 5)] * 2 + [(None, "x y z", "en", "t", 5), (3, "u v", "en", "s", 3)], tables_schema())
+    words = mix(twice).groupBy("source").agg({"taken": "sum"}).collect()
+    got = Counter()
+    for r in cp.source_mixing(spark, twice, SF).collect():
+        got[r.source] += len(r.text.split())
+    assert dict(got) == {r[0]: r[1] for r in words if r[1]}
+
+
 def tables_schema():
     return "doc_id long, text string, lang string, source string, n_chars long"

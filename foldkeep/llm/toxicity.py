@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and a vote by distance.
 
-Terms are whole lower-case words and beginnings of words. Those that a bounded
-sample of labelled rows associates with the label make up the vocabulary; their
-document frequencies are counted over all documents. A text's vector has its
-terms' TF-IDF weights, by one automaton over the whole text. Labelled examples
-(again a bounded sample) lie in an inverted index in blocks, each term with its
-largest weight in each block: a query bounds what a block can score, looks into
-blocks from the best bound down, and skips those that cannot reach its k-th
-neighbour, so the neighbours are exact. Votes weigh by similarity and by how
-many labelled rows of its class an example stands for; a table fitted on further
-labelled rows (monotone, by pooling) turns votes into rates, so scores are
-calibrated. The nearest examples are kept as evidence. Texts without any term
-of the vocabulary get the rate of the label among labelled rows without one.
+A text's vector has all words of the whole text, hashed to ``BUCKETS`` places,
+and besides them, with the share ``CHOSEN`` of its squared length, the chosen
+terms: whole words and beginnings of words that a bounded sample of labelled
+rows associates with the label. Document frequencies of both are counted over
+all documents. Labelled examples of both labels (again a bounded sample) lie in
+an inverted index in blocks, each term with its largest weight in each block: a
+query bounds what a block can score, looks into blocks from the best bound
+down, and skips those that cannot reach its k-th neighbour, so the neighbours
+are exact. Every text with a word is looked up. Votes weigh by similarity and by
+how many labelled rows of its class an example stands for; for texts with chosen
+terms a table fitted on further labelled rows (monotone, by pooling) turns votes
+into rates, so scores are calibrated. Other texts have the rate of the label
+among labelled rows without chosen terms, unless the vote of close examples is
+above it. The nearest examples are kept as evidence.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ from foldkeep.session import lean, materialize
 FIT_ROWS, TERMS, NEIGHBOURS, BLOCK = 3000, 256, 15, 64
 #: Most examples whose own votes calibrate.
 CALIBRATE = 1500
+#: Places of hashed words, and the share of chosen terms in the square of a vector's length.
+BUCKETS, CHOSEN = 1 << 20, 0.8
+#: Texts whose words are counted at once, in characters.
+BATCH_CHARS = 2 << 20
 #: Lengths of the beginnings of words that are terms too (marked by a final ``*``).
 BEGINNINGS = (4, 5, 6)
 
@@ -77,12 +84,45 @@ class Matcher:
         return sorted(found.items())
 
 
+def word_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the hashed words of each text (ascending, each once), how often each occurs, and where each text's begin."""
+    found = [_WORD.findall(t.lower()) for t in texts]
+    words = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
+    place = np.array([xxhash.xxh64_intdigest(w) % BUCKETS for w in words.dictionary.to_pylist()], np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+    both, n = np.unique(row * BUCKETS + place[words.indices.to_numpy()] if len(row) else np.empty(0, np.int64), return_counts=True)
+    return both % BUCKETS, n, np.searchsorted(both, np.arange(len(texts) + 1) * BUCKETS)
+
+
+def parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``BATCH_CHARS``."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        if i > a and size + len(t) > BATCH_CHARS:
+            yield a, i
+            a, size = i, 0
+        size += len(t)
+    if a < len(texts):
+        yield a, len(texts)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``size`` of them, one range after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
+
+
 @dataclass
 class BlockMax:
     """An inverted index of unit vectors, with each term's largest weight in each block."""
 
-    terms: list[tuple[np.ndarray, np.ndarray]]  # by term: rows ascending, weights
-    blocks: list[tuple[np.ndarray, np.ndarray]]  # by term: blocks ascending, largest weights
+    terms: np.ndarray  # those that occur, ascending
+    entries: np.ndarray  # by term: where its entries begin, one a block
+    block: np.ndarray  # by entry: block, largest weight, where its rows begin
+    top: np.ndarray
+    begin: np.ndarray
+    row: np.ndarray  # by term and row: row, weight
+    weight: np.ndarray
     rows: int
 
     @classmethod
@@ -92,15 +132,11 @@ class BlockMax:
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
         order = np.lexsort((rows, term))
         rows, term, weight = rows[order], term[order], weight[order]
-        cut = np.searchsorted(term, np.arange(vocabulary + 1))
-        terms, blocks = [], []
-        for a, z in zip(cut[:-1], cut[1:], strict=True):
-            terms.append((rows[a:z], weight[a:z]))
-            b = rows[a:z] // BLOCK
-            own = np.unique(b)
-            top = np.maximum.reduceat(weight[a:z], np.searchsorted(b, own)) if z > a else np.empty(0)
-            blocks.append((own, top))
-        return cls(terms, blocks, len(vectors))
+        blocks = -(-len(vectors) // BLOCK) + 1
+        entry, begin = np.unique(term.astype(np.int64) * blocks + rows // BLOCK, return_index=True)
+        terms, entries = np.unique(entry // blocks, return_index=True)
+        top = np.maximum.reduceat(weight, begin) if len(begin) else np.empty(0)
+        return cls(terms, np.append(entries, len(entry)), entry % blocks, top, np.append(begin, len(rows)), rows, weight, len(vectors))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest cosine (above 0), largest first, ties to the smaller row.
@@ -108,25 +144,30 @@ class BlockMax:
         The blocks of largest bounds are scored first; then all that can still
         hold one of the k, and the others never.
         """
+        at = np.minimum(np.searchsorted(self.terms, term), max(0, len(self.terms) - 1))
+        known = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
+        at, weight = at[known], weight[known]
+        size = self.entries[at + 1] - self.entries[at]
+        entry, weight = _ranges(self.entries[at], size), np.repeat(weight, size)
         n = -(-self.rows // BLOCK)
-        bound = np.zeros(n)
-        for t, w in zip(term, weight, strict=True):
-            b, top = self.blocks[t]
-            bound[b] += w * top
-        first = np.argsort(-bound, kind="stable")[: -(-k // BLOCK) + 2]
-        rows, sims = self._best(np.isin(np.arange(n), first) & (bound > 0), term, weight, k)
+        bound = np.bincount(self.block[entry], weight * self.top[entry], n)
+        first = np.zeros(n, bool)
+        first[np.argsort(-bound, kind="stable")[: -(-k // BLOCK) + 2]] = True
+        rows, sims = self._best(first & (bound > 0), entry, weight, k)
         least = sims[-1] if len(sims) == k else 0.0
         able = (bound > 0) & (bound >= least - 1e-9)
-        return (rows, sims) if not able[~np.isin(np.arange(n), first)].any() else self._best(able, term, weight, k)
+        return (rows, sims) if not able[~first].any() else self._best(able, entry, weight, k)
 
-    def _best(self, chosen: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, chosen: np.ndarray, entry: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best rows of the chosen blocks."""
-        score = np.zeros(len(chosen) * BLOCK)
-        for t, w in zip(term, weight, strict=True):
-            rows, own = self.terms[t]
-            inside = chosen[rows // BLOCK]
-            score[rows[inside]] += w * own[inside]
+        inside = chosen[self.block[entry]]
+        entry, weight = entry[inside], weight[inside]
+        size = self.begin[entry + 1] - self.begin[entry]
+        at = _ranges(self.begin[entry], size)
+        score = np.bincount(self.row[at], np.repeat(weight, size) * self.weight[at], len(chosen) * BLOCK)
         hit = np.flatnonzero(score > 0)
+        if len(hit) > 4 * k:  # ties with the k-th stay
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-8]
         keep = hit[np.lexsort((hit, -np.round(score[hit], 9)))[:k]]
         return keep, score[keep]
 
@@ -141,30 +182,41 @@ class Model:
     labels: np.ndarray
     stands_for: np.ndarray
     index: BlockMax
-    prior: float  # rate of the label among labelled rows without terms
-    rate: float  # and among those with terms
+    prior: float  # rate of the label among labelled rows without chosen terms
+    rate: float  # and among those with some
     votes: np.ndarray  # calibration: votes ascending, and their rates
     rates: np.ndarray
     k: int
-
-    def vector(self, counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array([i for i, _ in counts], int)
-        w = (1 + np.log([n for _, n in counts])) * self.idf[t]
-        return t, w / max(np.sqrt((w**2).sum()), 1e-12)
-
-    def vote(self, counts: list[tuple[int, int]], skip: int | None = None) -> tuple[float, list[tuple[int, float]]]:
-        """The weighted share of the label among the nearest examples, and these with their similarities."""
-        rows, sims = self.index.nearest(*self.vector(counts), self.k + (skip is not None))
+    word_idf: np.ndarray  # by hashed word
+
+    def vector(self, counts: list[tuple[int, int]], place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a unit vector, from counts of the chosen terms and of hashed words."""
+        t = np.array([i for i, _ in counts], np.int64)
+        w = (1 + np.log(np.array([n for _, n in counts], float))) * self.idf[t]
+        v = (1 + np.log(n)) * self.word_idf[place]
+        share = CHOSEN if len(t) and len(place) else 1.0
+        w *= np.sqrt(share) / max(np.sqrt((w**2).sum()), 1e-12)
+        v *= np.sqrt(1 - share if len(t) else 1.0) / max(np.sqrt((v**2).sum()), 1e-12)
+        return np.concatenate([t, place + len(self.vocabulary)]), np.concatenate([w, v])
+
+    def vote(self, vector: tuple[np.ndarray, np.ndarray], chosen: bool, skip: int | None = None) -> tuple[float, list[tuple[int, float]]]:
+        """The weighted share of the label among the nearest examples, and these with their similarities.
+
+        Where no chosen term says what matters, only close examples count for much.
+        """
+        rows, sims = self.index.nearest(*vector, self.k + (skip is not None))
         keep = rows != (-1 if skip is None else skip)
         rows, sims = rows[keep][: self.k], np.minimum(sims[keep][: self.k], 1.0)
-        w = sims**2 / (1.05 - sims) * self.stands_for[rows]
+        w = sims ** (2 if chosen else 6) / (1.05 - sims) * self.stands_for[rows]
         own = 0.2 * self.stands_for.mean() if len(self.ids) else 1.0
-        return float(((w * self.labels[rows]).sum() + own * self.rate) / (w.sum() + own)), list(zip(rows.tolist(), sims.tolist(), strict=True))
+        return float(((w * self.labels[rows]).sum() + own * (self.rate if chosen else self.prior)) / (w.sum() + own)), list(zip(rows.tolist(), sims.tolist(), strict=True))
 
-    def score(self, counts: list[tuple[int, int]]) -> tuple[float, list[tuple[int, float]]]:
-        if not counts:
+    def score(self, counts: list[tuple[int, int]], place: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        if not counts and not len(place):
             return self.prior, []
-        v, near = self.vote(counts)
+        v, near = self.vote(self.vector(counts, place, n), bool(counts))
+        if not counts:
+            return max(v, self.prior), near
         return (float(np.interp(v, self.votes, self.rates)) if len(self.votes) else v), near
 
 
@@ -232,8 +284,8 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     it repeats the largest label counts, null labels and identifiers do not.
     At most ``fit_rows`` rows of each label are sampled (by hash, so reruns
     agree); they are the examples, and choose the terms, near copies counted
-    once. Null and empty texts have no terms and so get the score of such
-    texts. Without any labelled row all scores are 0.5 and without evidence.
+    once. Null and empty texts have no words and so get the rate of texts
+    without chosen terms. Without any labelled row all scores are 0.5 and without evidence.
     ``evidence`` holds the nearest examples' identifiers and similarities.
     """
     spark = docs.sparkSession
@@ -282,30 +334,60 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     overall = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     rate = lambda has: (n.get((has, 1), 0) + overall) / (n.get((has, 1), 0) + n.get((has, 0), 0) + 1)
 
-    learned = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.size("terms") > 0).select("doc_id", "_y", "terms")
-    mine = sorted({(r.doc_id, r._y, tuple((t.term, t.n) for t in r.terms)) for r in learned.collect()})
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            texts = [x or "" for x in b.column(0).to_pylist()]
+            for lo, hi in parts(texts):
+                total += np.bincount(word_counts(texts[lo:hi])[0], minlength=BUCKETS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["place", "n"])
+
+    # at most BUCKETS rows
+    often = docs.select(F.col(text).alias("text")).mapInArrow(lean(frequencies), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    word_idf = np.full(BUCKETS, np.log(rows + 1) + 1, np.float32)
+    word_idf[often.column("place").to_numpy()] = np.log((rows + 1) / (often.column("n").to_numpy() + 1)) + 1
+
+    def examined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Matcher(vocabulary)
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for x in b.column(2).to_pylist():
+                place, n, _ = word_counts([x or ""])
+                out[0].append(np.array(match(x or ""), np.int64).tobytes())
+                out[1].append(place.tobytes())
+                out[2].append(n.astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(o, pa.binary()) for o in out]], names=["doc_id", "_y", "chosen", "place", "n"])
+
+    examples = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select(F.col(doc_id).alias("doc_id"), "_y", F.col(text).alias("text"))
+    examples = examples.mapInArrow(lean(examined), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, _y int, chosen binary, place binary, n binary").where("length(place) > 0").toArrow()
+    mine = sorted(set(zip(*[examples.column(c).to_pylist() for c in examples.column_names], strict=True)))
     each = {y: totals.get(y, 0) / max(1, min(fit_rows, totals.get(y, 0))) for y in (0, 1)}
     y, stands = np.array([r[1] for r in mine], float), np.array([each[r[1]] for r in mine])
-    m = Model(vocabulary, idf, [r[0] for r in mine], y, stands, None, rate(False), rate(True), np.empty(0), np.empty(0), k)
-    m.index = BlockMax.of([m.vector(list(r[2])) for r in mine], len(vocabulary))
-    test = np.random.default_rng(1).permutation(len(mine))[:CALIBRATE]
+    m = Model(vocabulary, idf, [r[0] for r in mine], y, stands, None, rate(False), rate(True), np.empty(0), np.empty(0), k, word_idf)
+    whole = lambda x: np.frombuffer(x, np.int64)
+    vectors = [m.vector([tuple(x) for x in whole(r[2]).reshape(-1, 2).tolist()], whole(r[3]), whole(r[4])) for r in mine]
+    m.index = BlockMax.of(vectors, len(vocabulary) + BUCKETS)
+    some = np.flatnonzero([len(r[2]) > 0 for r in mine])
+    test = np.random.default_rng(1).permutation(some)[:CALIBRATE]
     if len(test) >= 50:
-        m.votes, m.rates = pooled(np.array([m.vote(list(mine[i][2]), i)[0] for i in test]), y[test], stands[test])
+        m.votes, m.rates = pooled(np.array([m.vote(vectors[i], True, i)[0] for i in test]), y[test], stands[test])
     shared = spark.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        match = Matcher(m.vocabulary)
         for b in batches:
             scores, evidence = [], []
-            for x in b.column(1).to_pylist():
-                s, near = m.score([(t["term"], t["n"]) for t in x])
-                scores.append(min(1.0, max(0.0, s)))
-                evidence.append([{"doc_id": m.ids[i], "similarity": v} for i, v in near[:3]])
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            for lo, hi in parts(texts):
+                place, n, begin = word_counts(texts[lo:hi])
+                for i, x in enumerate(texts[lo:hi]):
+                    s, near = m.score(match(x), place[begin[i] : begin[i + 1]], n[begin[i] : begin[i + 1]])
+                    scores.append(min(1.0, max(0.0, s)))
+                    evidence.append([{"doc_id": m.ids[j], "similarity": v} for j, v in near[:3]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))], names=["doc_id", "score", "evidence"])
 
     of = slim.schema["doc_id"].dataType.simpleString()
     kind = "array<struct<doc_id:bigint,similarity:double>>"
-    # texts without terms need no search; the others are few and slim, and are dealt out evenly
-    plain = slim.where(F.size("terms") == 0).select("doc_id", F.lit(float(m.prior)).alias("score"), F.expr(f"cast(array() as {kind})").alias("evidence"))
-    some = slim.where(F.size("terms") > 0).select("doc_id", "terms").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return plain.unionByName(some.mapInArrow(lean(run), f"doc_id {of}, score double, evidence {kind}"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {of}, score double, evidence {kind}")

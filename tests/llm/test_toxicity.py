@@ -64,3 +64,16 @@ def test_odd_rows(spark):
     assert fit_and_score(docs.where("false"), labels).isEmpty()
     one = fit_and_score(docs, labels.where("toxic = 1")).where("doc_id = 303").first().score
     assert 0 <= one <= 1
+
+
+def test_copies_of_examples_without_chosen_terms_are_found(spark):
+    bad = [(i, "what a filthy nincompoop you are " + "word " * i) for i in range(60)]
+    good = [(100 + i, "a calm and friendly sentence " + "word " * i) for i in range(60)]
+    rare = "ein ganz seltener schmaehsatz aus dem hinterland mit lauter einmaligen silben"
+    copies = [(400, rare, 1), (401, rare, None), (402, rare + " eben", None), (403, "ein ganz anderer satz ueber das wetter", None)]
+    docs = spark.createDataFrame(bad + good + [c[:2] for c in copies], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in bad] + [(i, 0) for i, _ in good] + [(400, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in fit_and_score(docs, labels).collect()}
+    assert got[401].score > 0.5 and got[402].score > 0.5 and got[403].score < 0.2
+    assert all(got[i].evidence[0].doc_id == 400 for i in (401, 402)) and got[401].evidence[0].similarity > 0.999
+    assert all(got[i].evidence for i, _ in good)

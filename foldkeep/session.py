@@ -47,6 +47,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes that a worker hands on between two trims.
+TRIM_BYTES = 16 << 20
+
+
 def trim() -> None:
     """Give memory that is free inside this process back to the machine, where the C library can."""
     import ctypes
@@ -63,7 +67,21 @@ def lean(run):
     """A function over batches for ``mapInArrow`` that leaves no idle memory in its worker, which Spark keeps for later tasks."""
 
     def wrapped(batches):
-        yield from run(batches)
+        size = 0
+        for b in run(batches):
+            size += b.nbytes
+            yield b
+            if size > TRIM_BYTES:
+                size = 0
+                trim()
         trim()
 
     return wrapped
+
+
+def free_name(df: DataFrame, name: str, *more: str) -> str:
+    """``name``, or with as many underscores in front as no column of ``df`` and none of ``more`` has (in any case)."""
+    taken = {c.lower() for c in (*df.columns, *more)}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

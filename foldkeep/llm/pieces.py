@@ -6,8 +6,7 @@ piece of the model crosses its border, so units are encoded one by one. In a
 unit an agenda holds every adjacent pair whose join is a piece; the best score
 (leftmost on ties) is taken and joined, and new pairs join the agenda. The
 agendas of many units run side by side, as rows of a matrix, a step of all of
-them at a time; ``join`` is the same for a single unit. With dropout each candidate taken from the agenda is skipped for good with
-probability ``dropout``, by a keyed hash of the seed, the document, the unit's
+them at a XX ``dropout``, by a keyed hash of the seed, the document, the unit's
 place and the candidate's start and two pieces; so a rerun gives the same
 pieces, and every occurrence of a unit, and of a pair in it, is drawn by itself.
 Occurrences of a unit share a row as long as their draws agree; where they
@@ -27,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldkeep.session import lean
+from foldkeep.session import free_name, lean
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -46,11 +46,11 @@ _ODD, _PAIR, _START = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _WIDTHS = (4, 6, 8, 10, 12, 16, 20, 26, 34)
 _NONE = np.iinfo(np.int32).max
 #: Occurrences of units that are joined side by side.
-TOGETHER = 60_000
+TOGETHER = 40_000
 #: Identifiers that are decoded at once.
-DECODE_IDS = 1 << 19
+DECODE_IDS = 1 << 18
 #: Bytes of texts whose units are joined at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 class PairTable:
@@ -301,21 +301,25 @@ class Pieces:
 
     def encode_all(self, texts: list[str], documents: list) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of whole texts one after the other, and the number of each."""
-        marked, doc, first = [], [], []
+        # runs of units; those of no units stand for a mark of the text itself, which is spelled in bytes
+        runs, doc, first = [], [], []
         for d, t in enumerate(texts):
             for k, part in enumerate(t.split(MARK) if t else []):
-                if k:  # a mark of the text itself, as a unit that stands for its bytes
-                    marked.append([MARK * 40])
+                if k:
+                    runs.append([])
                     doc.append(d)
                     first.append(0)
-                units = _UNIT.findall((MARK if not k else "") + part.replace(" ", MARK))
-                marked.append(units)
+                runs.append(_UNIT.findall((MARK if not k else "") + part.replace(" ", MARK)))
                 doc.append(d)
                 # the text counts too, so that documents that share an identifier don't share draws
                 first.append(xxhash.xxh64_intdigest(part, xxhash.xxh64_intdigest(f"{documents[d]}/{k}", self.seed & _MASK)) if self.limit else 0)
-        count = np.array([len(u) for u in marked], np.int64)
-        own = np.array([len(u) == 1 and len(u[0]) == 40 and u[0] == MARK * 40 and not f for u, f in zip(marked, first, strict=True)], bool) if any(MARK in t for t in texts) else np.zeros(len(count), bool)
-        units = pa.array([u for x in marked for u in x], pa.string()).dictionary_encode()
+                if k and not part:  # two marks in a row, or one at the end: nothing stands between them
+                    runs.pop(), doc.pop(), first.pop()
+        if not runs:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        count = np.array([len(u) for u in runs], np.int64)
+        marks = np.flatnonzero(count == 0)
+        units = pa.array([u for x in runs for u in x], pa.string()).dictionary_encode()
         index, words = units.indices.to_numpy().astype(np.int64), units.dictionary.to_pylist()
         if self.limit:
             start = np.repeat(np.array(first, np.uint64), count)
@@ -325,16 +329,13 @@ class Pieces:
             ids, size, back = self.segment(words, np.arange(len(words)), np.zeros(len(words), np.uint64))
             back = back[index]
         flat, n = _gathered(ids, size, back)
-        part = np.repeat(np.arange(len(count)), count)
-        if own.any():
-            three = np.array([self.byte[b] for b in MARK.encode()], np.int32)
-            of_part = np.repeat(part, n)
-            pieces = [three if own[k] else flat[of_part == k] for k in range(len(count))]
-            flat = np.concatenate(pieces)
-            by_part = np.array([len(x) for x in pieces])
-        else:
-            by_part = np.bincount(part, n, len(count)).astype(np.int64) if len(count) else np.empty(0, np.int64)
-        return flat, np.bincount(np.array(doc, np.int64), by_part, len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
+        by_run = np.bincount(np.repeat(np.arange(len(count)), count), n, len(count)).astype(np.int64)
+        if len(marks):
+            spelled = np.array([self.byte[b] for b in MARK.encode()], np.int32)
+            ends = np.cumsum(by_run)
+            flat = np.insert(flat, np.repeat(ends[marks], len(spelled)), np.tile(spelled, len(marks)))
+            by_run[marks] = len(spelled)
+        return flat, np.bincount(np.array(doc, np.int64), by_run, len(texts)).astype(np.int64)
 
     def encode(self, text: str, document: object = None) -> np.ndarray:
         """Identifiers of a whole text (empty: none)."""
@@ -368,29 +369,28 @@ def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, doc_
     """``docs`` with ``ids`` (array<int>) in place of ``text``; no shuffle.
 
     Null and empty texts have no identifiers; rows with equal doc_id and text
-    have equal ones. A clashing column ``ids`` is replaced.
+    have equal ones (a null doc_id is one like others). Very long texts are
+    encoded whole, by themselves. A clashing column ``ids`` is replaced; columns
+    of any other name pass through.
     """
     others = [c for c in docs.columns if c not in (text, ids)]
+    named, said = free_name(docs, "_id"), free_name(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, dropout, seed)
         for whole in batches:
-            texts = [t or "" for t in whole.column(whole.schema.get_field_index("_text")).to_pylist()]
-            named = whole.column(whole.schema.get_field_index("_id")).to_pylist()
-            a = 0
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and (z == a or size + len(texts[z]) <= BATCH_BYTES):
-                    size += len(texts[z])
-                    z += 1
-                flat, count = m.encode_all(texts[a:z], named[a:z])
-                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            size = pc.fill_null(pc.binary_length(whole.column(whole.schema.get_field_index(said))), 0).to_numpy(zero_copy_only=False)
+            a, ends = 0, np.cumsum(size.astype(np.int64))
+            while a < whole.num_rows:
+                z = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + BATCH_BYTES, "right")))
                 b = whole.slice(a, z - a)
-                yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))})
+                flat, count = m.encode_all([t or "" for t in b.column(b.schema.get_field_index(said)).to_pylist()], b.column(b.schema.get_field_index(named)).to_pylist())
+                upto = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {ids: pa.ListArray.from_arrays(pa.array(upto), pa.array(flat, pa.int32()))})
                 a = z
 
-    slim = docs.select(*others, F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)
+    slim = docs.select(*[f"`{c}`" for c in others], F.col(doc_id).cast("string").alias(named), F.col(text).alias(said))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in others)
     return slim.mapInArrow(lean(run), f"{fields}`{ids}` array<int>")
 
 
@@ -400,16 +400,17 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, 0.0, 0)
-        for b in batches:
-            lists = b.column(b.schema.get_field_index(ids))
-            flat, count = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
-            ends, said, a = np.concatenate([[0], np.cumsum(count)]), [], 0
-            while a < len(count):
-                z = max(a + 1, int(np.searchsorted(ends, ends[a] + DECODE_IDS, "right")) - 1)
-                said += m.decode_all(flat[ends[a] : ends[z]], count[a:z])
+        for whole in batches:
+            lists = whole.column(whole.schema.get_field_index(ids))
+            ends, a = np.cumsum(lists.value_lengths().fill_null(0).to_numpy()), 0
+            while a < whole.num_rows:
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + DECODE_IDS, "right")))
+                b = whole.slice(a, z - a)
+                mine = b.column(b.schema.get_field_index(ids))
+                told = m.decode_all(mine.flatten().to_numpy(), mine.value_lengths().fill_null(0).to_numpy())
+                told = [t if ok else None for t, ok in zip(told, mine.is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {text: pa.array(told, pa.string())})
                 a = z
-            said = [t if ok else None for t, ok in zip(said, lists.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {text: pa.array(said, pa.string())})
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*others).schema)
-    return rows.select(*others, ids).mapInArrow(lean(run), f"{fields}`{text}` string")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in others)
+    return rows.select(*[f"`{c}`" for c in others], ids).mapInArrow(lean(run), f"{fields}`{text}` string")

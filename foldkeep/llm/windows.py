@@ -17,24 +17,30 @@ BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Powers of a base that are kept: more are made from these, and only for as long as they are used.
+KEPT = 1 << 14
+
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64, kept for later calls up to a bounded length."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        m = 1 << max(16, int(n - 1).bit_length())
-        have = np.empty(m, _U)
-        have[0], done = 1, 1
-        while done < m:
-            step = _U(pow(base, done, 1 << 64))
-            k = min(done, m - done)
-            have[done : done + k] = have[:k] * step
-            done += k
-        if m <= 1 << 22:
-            _powers[base] = have
-    return have[:n]
+    """``base**0 .. base**(n-1)`` modulo 2**64."""
+    if base not in _powers:
+        own = np.empty(KEPT, _U)
+        own[0], done = 1, 1
+        while done < KEPT:
+            own[done : 2 * done] = own[:done] * _U(pow(base, done, 1 << 64))
+            done *= 2
+        _powers[base] = own
+    low = _powers[base]
+    if n <= KEPT:
+        return low[:n]
+    blocks, step = -(-n // KEPT), pow(base, KEPT, 1 << 64)
+    high = np.empty(blocks, _U)
+    x = 1
+    for i in range(blocks):
+        high[i], x = x, x * step & 0xFFFFFFFFFFFFFFFF
+    return (high[:, None] * low[None, :]).ravel()[:n]
 
 
 def inverse(base: int) -> int:

@@ -98,3 +98,17 @@ def test_single_candidates_keep_the_rate():
     assert 0.88 < joined < 0.92
     _, count = m.join_all([f"{MARK}a"] * 4000, np.arange(4000))
     assert np.mean(count == 1) == joined
+
+
+def test_spaces_and_marks_of_any_number():
+    cases = [" " * 39, " " * 40, " " * 41, MARK, f"{MARK}{' ' * 40}{MARK}", f"{MARK}{MARK} {MARK}", f"a{MARK}", f"{MARK * 40}b"]
+    for dropout in (0.0, 0.2, 1.0):
+        m = Pieces(PATH, dropout, 2)
+        flat, count = m.encode_all(cases, list(range(len(cases))))
+        assert m.decode_all(flat, count) == cases
+
+
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, `_text` int, `_id` string")
+    got = decode(encode(df, PATH), PATH)
+    assert got.first().asDict() == {"doc_id": 1, "_text": 5, "_id": "x", "text": "a b"}

@@ -14,6 +14,7 @@ rounds.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -31,15 +32,13 @@ END = "\r\n\r\n"
 LEAST_REVISIT = 100
 
 
-def assign_revisits(rows: DataFrame, page_id: str, payload: str, least: int = LEAST_REVISIT) -> DataFrame:
-    """``page_id, refers_to`` of the rows whose payload of ``least`` bytes or more also belongs to a smaller ``page_id``.
+def first_pages(rows: DataFrame, page_id: str, payload: str, least: int = LEAST_REVISIT) -> DataFrame:
+    """``digest, first``: the smallest ``page_id`` of each payload of ``least`` bytes or more that several rows have (a row a digest).
 
-    Counts by digest are aggregated before the shuffle; the join on the digest
-    is a plain equi-join, whose large partitions Spark splits at run time.
+    Counts by digest are aggregated before the shuffle.
     """
     d = rows.where(F.octet_length(payload) >= least).select(F.col(page_id).alias("page_id"), F.sha2(payload, 256).alias("digest"))
-    first = d.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return d.join(first, "digest").where("page_id > refers_to or page_id is null").select("page_id", "refers_to")
+    return d.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
 
 
 def record_of(page_id: Column, url: Column, payload: Column, refers_to: Column) -> Column:
@@ -63,16 +62,19 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
 
     Null payloads are empty. Of records with equal payloads of 100 bytes or more
     that with the smallest ``page_id`` is the response, and the others are
-    revisits without a body that name it. ``page_id`` must be unique (a null one
-    sorts last). Revisits are found on digests alone; pages are joined with them
-    by broadcast if there are ``broadcast_rows`` at most, else by shuffle.
+    revisits without a body that name it; a null ``page_id`` is never the
+    smallest. Every row has one record: rows that share the smallest ``page_id``
+    are all responses, and where all of a payload's are null, so are these. An
+    empty table gives files without records. Rows find their response by digest,
+    by broadcast if there are ``broadcast_rows`` of these at most, else by shuffle.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    revisits = materialize(assign_revisits(rows, "page_id", "payload").withColumnRenamed("page_id", "_id"), "warc-revisits")
-    if revisits.count() <= broadcast_rows:
-        revisits = F.broadcast(revisits)
-    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")), "left")
-    rows.select(record_of(F.col("page_id"), F.col("url"), F.col("payload"), F.col("refers_to"))).write.option("lineSep", END).text(path)
+    first = materialize(first_pages(rows, "page_id", "payload"), "warc-first")
+    if first.count() <= broadcast_rows:
+        first = F.broadcast(first)
+    rows = rows.join(first, F.sha2("payload", 256) == F.col("digest"), "left")
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first"))
+    rows.select(record_of(F.col("page_id"), F.col("url"), F.col("payload"), refers)).write.option("lineSep", END).text(path)
 
 
 PIECE = "file string, block long, idx int, size long, magic int, head int, length long, type string, record_id string, target string, digest string, declared long, refers string, sha string"
@@ -86,7 +88,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], magic: int) -> Iterator[pa.Record
         out: dict[str, list] = {c: [] for c in names}
         for file, block, value in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             idx, at = (idx + 1 if at == (file, block) else 0), (file, block)
-            end = value.find(b"\r\n\r\n", 0, 1 << 20)
+            end = value.find(b"\r\n\r\n")
             fields: dict[str, str] = {}
             if end >= 0:
                 for line in value[:end].split(b"\r\n"):
@@ -116,22 +118,27 @@ def _scan(spark: SparkSession, path: str, magic: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
-def candidates(spark: SparkSession, path: str, magic: str = MAGIC) -> DataFrame:
-    """One row per occurrence of the magic: ``PIECE``, its ``offset``, and ``next``, where its record's successor would begin (null: no valid header).
+def located(p: DataFrame, magic: int) -> DataFrame:
+    """Pieces with their ``offset``, that of the magic before them.
 
-    Offsets are sums of sizes: within a range by a window over that range
-    alone, and over the ranges of a file from one row a range.
+    Offsets are sums of sizes of one and the same scan, which is why ``p`` must
+    be a written table: within a range by a window over that range alone, and
+    over the ranges of a file from one row a range.
     """
-    n = len(magic)
-    p = materialize(_scan(spark, path, magic).mapInArrow(lean(lambda b: _pieces(b, n)), PIECE), "warc-pieces")
     upto = Window.partitionBy("file", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = p.groupBy("file", "block").agg(F.sum(F.col("size") + F.col("magic")).alias("bytes"))
+    blocks = p.groupBy("file", "block").agg(F.sum(F.col("size") + magic).alias("bytes"))
     start = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("file", "block", start.alias("start"))
-    p = p.withColumn("within", F.coalesce(F.sum(F.col("size") + F.col("magic")).over(upto), F.lit(0))).join(blocks, ["file", "block"])
+    p = p.withColumn("within", F.coalesce(F.sum(F.col("size") + magic).over(upto), F.lit(0))).join(blocks, ["file", "block"])
     # what stands before a file's first magic has offset -1 times the magic's length, and is no candidate
-    p = p.withColumn("offset", F.col("start") + F.col("within") - n).where("offset >= 0")
-    return p.drop("start", "within").withColumn("next", F.col("offset") + n + F.col("head") + F.col("length") + len(END))
+    return p.withColumn("offset", F.col("start") + F.col("within") - magic).where("offset >= 0").drop("start", "within")
+
+
+def candidates(spark: SparkSession, path: str, magic: str = MAGIC) -> DataFrame:
+    """One row per occurrence of the magic: ``PIECE``, its ``offset``, and ``next``, where its record's successor would begin (null: no valid header)."""
+    n = len(magic)
+    p = materialize(_scan(spark, path, magic).mapInArrow(lean(lambda b: _pieces(b, n)), PIECE), "warc-pieces")
+    return located(p, n).withColumn("next", F.col("offset") + n + F.col("head") + F.col("length") + len(END))
 
 
 def reachable(c: DataFrame) -> DataFrame:
@@ -161,45 +168,78 @@ def reachable(c: DataFrame) -> DataFrame:
     return c.join(first, in_run).where(F.col("offset") >= F.col("from")).drop("run", "from")
 
 
-def read_warc(spark: SparkSession, path: str, magic: str = MAGIC, payload: bool = False) -> DataFrame:
-    """The records of WARC files: ``file, offset, type, record_id, target, length, payload_digest, declared, refers, sha`` and, if asked for, ``payload``.
+TEXT = "file string, block long, idx int, size long, value binary"
+
+
+def _near(batches: Iterator[pa.RecordBatch], magic: int, spans: dict[str, tuple[list[int], list[int], int]] | None) -> Iterator[pa.RecordBatch]:
+    """Every piece's size, and the texts of those that may lie in one of the spans (all texts, if no spans are given).
+
+    Spans are starts and ends by file, disjoint and ascending, with the size of
+    the file's largest piece: a range's first piece begins after the range by no
+    more than that, so a piece's offset is known up to as much here.
+    """
+    kind = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(f.split()[0], kind[f.split()[1]]) for f in TEXT.split(", ")])
+    at, idx, low = None, 0, 0
+    for b in batches:
+        out: dict[str, list] = {c: [] for c in schema.names}
+        for file, block, value in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if at != (file, block):
+                at, idx, low = (file, block), -1, block - 2 * magic
+            idx += 1
+            high = low + len(value) + 4 * magic
+            keep = spans is None
+            if not keep and file in spans:
+                starts, ends, largest = spans[file]
+                k = bisect.bisect_left(ends, low)
+                keep = k < len(starts) and starts[k] <= high + largest
+            low += len(value) + magic
+            for c, v in zip(schema.names, (file, block, idx, len(value), value if keep else None), strict=True):
+                out[c].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+
+def read_warc(spark: SparkSession, path: str, magic: str = MAGIC, payload: bool = False, broadcast_rows: int = 100_000) -> DataFrame:
+    """The records of uncompressed WARC files: ``file, offset, type, record_id, target, length, payload_digest, declared, refers, sha`` and, if asked for, ``payload``.
 
     ``sha`` is the SHA-256 of the body as read, also of bodies that hold the
     magic and so came in several pieces: those are put together in a second
-    pass, over these records' pieces alone. A record whose end lies past the
-    file's end (a torn tail) is dropped, as is everything after it.
+    pass, from these records' pieces alone, found by their offsets. Headers and
+    payloads may have any length; each is held by one task as a whole. A record
+    whose end lies past the file's end (a torn tail) is dropped, as is everything
+    after it; a record inside its file whose body isn't found is an error.
     """
-    found = candidates(spark, path, magic)
+    n = len(magic)
+    found = materialize(candidates(spark, path, magic), "warc-located")
     r = materialize(reachable(found), "warc-records")
-    split = r.where("sha is null").select("file", F.col("offset").alias("from"), F.col("next").alias("upto"), F.col("head"), F.col("length"))
     names = ["file", "offset", "type", "record_id", "target", "length", F.regexp_replace("digest", "^sha256:", "").alias("payload_digest"), "declared", "refers", "sha"]
-    ask = split if not payload else r.select("file", F.col("offset").alias("from"), F.col("next").alias("upto"), "head", "length")
-    if not payload and split.isEmpty():
+    wanted = r if payload else r.where("sha is null")
+    if not payload and wanted.isEmpty():
         return r.select(*names)
-    spans = F.broadcast(ask) if ask.count() <= 100_000 else ask
-    c = found.select("file", "block", "idx", "offset")
+    ends = found.groupBy("file").agg(F.max(F.col("offset") + n + F.col("size")).alias("bytes"), F.max("size").alias("largest"))
+    ask = wanted.join(ends, "file").where(F.col("offset") + n + F.col("head") + F.col("length") <= F.col("bytes"))
+    ask = materialize(ask.select("file", F.col("offset").alias("from"), F.col("next").alias("upto"), "head", "length", "largest"), "warc-wanted")
+    spans = None
+    if not payload and ask.count() <= broadcast_rows:
+        spans = {}
+        for x in ask.orderBy("file", "from").toLocalIterator():
+            own = spans.setdefault(x["file"], ([], [], x["largest"]))
+            own[0].append(x["from"])
+            own[1].append(x["upto"])
+    shared = spark.sparkContext.broadcast(spans)
+    texts = materialize(_scan(spark, path, magic).mapInArrow(lean(lambda b: _near(b, n, shared.value)), TEXT), "warc-texts")
     # a piece belongs to the record whose span holds its offset: found by a window over the file's order, not by a range join
-    marks = c.withColumn("from", F.lit(None).cast("long")).unionByName(ask.select("file", F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("idx"), F.col("from").alias("offset"), "from"))
+    marks = located(texts, n).where("value is not null").select("file", "offset", "value", F.lit(None).cast("long").alias("from"))
+    marks = marks.unionByName(ask.select("file", F.col("from").alias("offset"), F.lit(None).cast("binary").alias("value"), "from"))
     order = Window.partitionBy("file").orderBy("offset", F.col("from").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = marks.withColumn("from", F.last("from", ignorenulls=True).over(order)).where("idx is not null and from is not null")
-    owned = owned.join(spans, ["file", "from"]).where(F.col("offset") < F.col("upto"))
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, idx = None, 0
-        for b in batches:
-            ids = []
-            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                idx, at = (idx + 1 if at == key else 0), key
-                ids.append(idx)
-            yield pa.RecordBatch.from_pydict({"file": b.column(0), "block": b.column(1), "value": b.column(2), "idx": pa.array(ids, pa.int32())})
-
-    texts = _scan(spark, path, magic).mapInArrow(lean(numbered), "file string, block long, value binary, idx int")
-    parts = texts.join(owned, ["file", "block", "idx"]).groupBy("file", "from").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("v"), F.first("head").alias("head"), F.first("length").alias("length"))
-    glued = F.aggregate(F.slice("v", 2, 1 << 30), F.element_at("v", 1)["value"], lambda a, x: F.concat(a, F.lit(magic).cast("binary"), x["value"]))
-    whole = parts.select("file", F.col("from").alias("offset"), F.expr("head").alias("head"), F.col("length").alias("n"), glued.alias("all"))
-    whole = whole.where(F.octet_length("all") >= F.col("head") + F.col("n")).select("file", "offset", F.substring(F.col("all"), F.col("head") + 1, F.col("n").cast("int")).alias("payload"))
-    out = r.select(*names)
-    if payload:
-        return out.join(whole, ["file", "offset"]).withColumn("sha", F.sha2("payload", 256))
-    again = whole.select("file", "offset", F.sha2("payload", 256).alias("again"))
-    return out.join(again, ["file", "offset"], "left").withColumn("sha", F.coalesce("sha", "again")).drop("again").where("sha is not null")
+    owned = marks.withColumn("from", F.last("from", ignorenulls=True).over(order)).where("value is not null and from is not null").join(ask, ["file", "from"]).where(F.col("offset") < F.col("upto"))
+    parts = owned.groupBy("file", "from").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("v"), F.first("head").alias("head"), F.first("length").alias("n"))
+    glued = F.array_join(F.transform("v", lambda x: F.hex(x["value"])), "".join(f"{b:02X}" for b in magic.encode()))
+    whole = parts.select("file", F.col("from").alias("offset"), "head", "n", F.unhex(glued).alias("all")).where(F.octet_length("all") >= F.col("head") + F.col("n"))
+    whole = whole.select("file", "offset", F.substring(F.col("all"), F.col("head") + 1, F.col("n").cast("int")).alias("payload"))
+    whole = whole.withColumn("again", F.sha2("payload", 256))
+    asked = ask.select("file", F.col("from").alias("offset"), F.lit(True).alias("asked"))
+    out = r.select(*names).join(asked, ["file", "offset"], "left").join(whole if payload else whole.drop("payload"), ["file", "offset"], "left")
+    lost = F.raise_error(F.concat(F.lit("no body was found for the record at "), F.col("offset").cast("string"), F.lit(" of "), F.col("file")))
+    sha = F.when(F.col("asked") & F.col("again").isNull(), lost).otherwise(F.coalesce("again", "sha"))
+    return out.withColumn("sha", sha).drop("again", "asked").where("sha is not null")

@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 
+from foldkeep.llm import warc
 from foldkeep.llm.warc import END, MAGIC, candidates, read_warc, write_warc
 from foldkeep.session import new_path
 
@@ -68,3 +69,45 @@ def test_torn_tail_is_dropped(spark, tmp_path):
     (tmp_path / "w/y.warc").write_bytes(("garbage" + whole).encode())
     got = read_warc(spark, str(tmp_path / "w")).collect()
     assert [r.record_id for r in got] == ["<a>", "<a>"]
+
+
+def test_repeated_and_null_identifiers_have_one_record_a_row(spark):
+    body = "p" * 200
+    data = [(1, "u", body, 0), (5, "u", body, 0), (5, "u", body, 0), (None, "u", body, 0), (None, "u", "q" * 150, 0), (None, "u", "q" * 150, 0), (7, "u", "r" * 120, 0), (7, "u", "r" * 120, 0)]
+    _, got = back(spark, data)
+    said = sorted((r.record_id, r.type, r.refers or "") for r in got)
+    name = lambda i: f"<urn:page:{i}>"
+    assert said == sorted([
+        (name(1), "response", ""), (name(5), "revisit", name(1)), (name(5), "revisit", name(1)), (name("null"), "revisit", name(1)),
+        (name("null"), "response", ""), (name("null"), "response", ""), (name(7), "response", ""), (name(7), "response", ""),
+    ])
+
+
+@pytest.mark.parametrize("payload", [True, False])
+def test_long_headers_and_payloads(spark, payload):
+    data = [(1, "u", "a" * 50, 0), (2, "http://" + "x" * 2_000_000, fake(40), 0), (3, "u", "b" * 3_000_000 + MAGIC, 0)]
+    _, got = back(spark, data, payload=payload)
+    assert {r.record_id: r.sha for r in got} == {f"<urn:page:{i}>": hashlib.sha256(h.encode()).hexdigest() for i, _, h, _ in data}
+
+
+def test_split_borders_that_differ_between_scans(spark):
+    """Ranges are cut anew for each job; bodies are found by their offsets, whatever the cut."""
+    path = new_path(spark, "test-warc")
+    rows = [(i, "u", fake(30 + i % 7) if i % 3 else "z" * (i * 11), 0) for i in range(120)]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string, offset int").coalesce(1), path)
+    sizes = iter([900, 2500, 700, 4000, 1300, 650] * 50)
+    real = warc._scan
+
+    def scan(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(next(sizes)))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        return real(*args)
+
+    warc._scan = scan
+    try:
+        got = read_warc(spark, path).collect()
+    finally:
+        warc._scan = real
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r.record_id: r.sha for r in got if r.type == "response"}.items() <= {f"<urn:page:{i}>": hashlib.sha256(h.encode()).hexdigest() for i, _, h, _ in rows}.items() and len(got) == 120

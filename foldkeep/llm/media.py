@@ -43,8 +43,8 @@ class _Sequence(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.skip = 0
-        self.figure: list[int] | None = None  # the media of the open figure
-        self.caption: list[str] | None = None
+        self.figures: list[tuple[list[int], list[str]]] = []  # of each open figure: its media, and its captions
+        self.caption: list[str] | None = None  # of the open figcaption
 
     def flush(self):
         said = " ".join("".join(self.text).split())
@@ -52,6 +52,29 @@ class _Sequence(HTMLParser):
         if said:
             self.items.append({"position": len(self.items), "kind": "text", "text": said, "digest": None, "caption": None})
 
+    def end_caption(self):
+        if self.caption is not None:
+            said = " ".join("".join(self.caption).split())
+            self.caption = None
+            if said and self.figures:
+                self.figures[-1][1].append(said)
+            elif said:  # without a figure it is a text
+                self.text.append(said)
+                self.flush()
+
+    def end_figure(self):
+        """A figure's caption goes to all its media, before and after it."""
+        self.end_caption()
+        media, captions = self.figures.pop()
+        for i in media:
+            self.items[i]["caption"] = " ".join(captions) or self.items[i]["caption"]
+
+    def finish(self):
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+        self.flush()
+
     def handle_starttag(self, tag, attrs):
         if tag in _SKIP:
             self.skip += 1
@@ -59,15 +82,17 @@ class _Sequence(HTMLParser):
         if tag in _BLOCK:
             self.flush()
         if tag == "figure":
-            self.figure = []
+            self.end_caption()
+            self.figures.append(([], []))
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         elif tag in ("img", "video", "audio", "source", "embed"):
             a = dict(attrs)
             self.flush()
             found = _DIGEST.match((a.get("src") or "").strip())
-            if self.figure is not None:
-                self.figure.append(len(self.items))
+            if self.figures:
+                self.figures[-1][0].append(len(self.items))
             self.items.append(
                 {"position": len(self.items), "kind": "media", "text": a.get("src"), "digest": found[1].lower() if found else None, "caption": a.get("alt") or a.get("title") or None}
             )
@@ -80,13 +105,10 @@ class _Sequence(HTMLParser):
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
             return
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split()) or None
-            for i in self.figure or []:
-                self.items[i]["caption"] = said or self.items[i]["caption"]
-            self.caption = None
-        if tag == "figure":
-            self.figure = None
+        if tag == "figcaption":
+            self.end_caption()
+        if tag == "figure" and self.figures:
+            self.end_figure()
         if tag in _BLOCK:
             self.flush()
 
@@ -100,15 +122,17 @@ def sequence_of(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
-    p.flush()
+    p.finish()
     return p.items
 
 
 def parse_interleaved(pages: DataFrame, html: str = "html", items: str = "items") -> DataFrame:
     """``pages`` without ``html`` and with ``items``, an array of ``ITEM`` in document order; no shuffle.
 
-    A figure's caption goes to each media reference in it; else the alternative
-    text is the caption. References that are no digests are kept with a null
+    A figure's caption goes to each media reference in it, wherever it stands
+    and whether or not it is closed (several are joined by a space); else the
+    alternative text is the caption. A caption outside figures is a text. Equal
+    pages have equal items; very long pages are parsed whole, one at a time. References that are no digests are kept with a null
     digest. Null and empty pages have an empty array. A clashing column
     ``items`` is replaced.
     """
@@ -120,7 +144,7 @@ def parse_interleaved(pages: DataFrame, html: str = "html", items: str = "items"
             found = pa.array([sequence_of(h.as_py()) for h in b.column(b.schema.get_field_index(html))], kind)
             yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in keep} | {items: found})
 
-    slim = pages.select(*keep, html)
+    slim = pages.select(*[f"`{c}`" for c in keep], f"`{html}`")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema if f.name != html)
     return slim.mapInArrow(lean(run), f"{fields}`{items}` array<{ITEM}>")
 

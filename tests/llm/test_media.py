@@ -60,3 +60,23 @@ def test_query_gives_every_document_once(spark):
         full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
         assert r.caption == f"{len(raw)} bytes" and r.position == 1 and r.feature
+
+
+def test_captions_stay_with_their_media():
+    said = lambda html: [(i["kind"], i["caption"] or i["text"]) for i in sequence_of(html)]
+    img = lambda c="": f'<img src="sha256:{A}" alt="{c}">'
+    assert said(f"<figure><figcaption>before</figcaption>{img('x')}</figure>") == [("media", "before")]
+    assert said(f"<figure>{img()}<figcaption>open</figure><p>then") == [("media", "open"), ("text", "then")]
+    assert said(f"<figure>{img()}<figcaption>never closed") == [("media", "never closed")]
+    assert said(f"<figure>{img()}{img()}<figcaption>both</figcaption></figure>{img('own')}") == [("media", "both")] * 2 + [("media", "own")]
+    assert said(f"<figure>{img()}<figcaption>a</figcaption><figure>{img()}<figcaption>b</figcaption></figure></figure>") == [("media", "a"), ("media", "b")]
+    assert said("<figcaption>alone</figcaption>") == [("text", "alone")]
+
+
+def test_very_long_pages_and_pages_of_the_table(spark):
+    long = "<p>" + "word " * 400_000 + "</p>" + f'<img src="sha256:{A}">'
+    items = sequence_of(long)
+    assert len(items) == 2 and len(items[0]["text"]) == 1_999_999
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = parse_interleaved(pages, items="url").collect()
+    assert len(got) == pages.count() and all([i.position for i in r.url] == list(range(len(r.url))) for r in got)

@@ -34,10 +34,12 @@ UNKNOWN = "und"
 #: Bits of the tables of n-grams and affixes, and most words of the lexicon.
 GRAM_BITS, AFFIX_BITS, LEXICON = 16, 14, 4096
 GRAMS = (2, 3, 4)
+#: Most characters of a document that is sampled to fit.
+FIT_CHARS = 200_000
 #: Words of documents that step through the chain together.
-CHAIN_WORDS = 300_000
+CHAIN_WORDS = 200_000
 #: Bytes whose n-grams are looked up at once.
-LOOK_BYTES = 1 << 20
+LOOK_BYTES = 1 << 19
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -113,20 +115,24 @@ class Model:
             out[at] += self.tables[name][:, codes].T
         return out
 
-    def document_means(self, e: np.ndarray, count: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """documents x labels: weighted means of the words' marginals; ``e`` holds the words of documents one after the other."""
-        out = np.zeros((len(count), e.shape[1]))
+    def document_means(self, e: np.ndarray, count: np.ndarray, weight: np.ndarray, said: np.ndarray | None = None) -> np.ndarray:
+        """documents x (labels + 1): weighted means of the words' marginals, and of each word's largest one.
+
+        ``e`` holds the words of documents one after the other; ``said`` is
+        filled with the label of each word, if it is given.
+        """
+        out = np.zeros((len(count), e.shape[1] + 1))
         order = np.argsort(-count, kind="stable")
         order = order[count[order] > 0]
         begin = np.cumsum(count) - count
         a = 0
         while a < len(order):
             z = a + max(1, int(np.searchsorted(np.cumsum(count[order[a:]]), CHAIN_WORDS, "right")))
-            out[order[a:z]] = self._chains(e, begin[order[a:z]], count[order[a:z]], weight)
+            out[order[a:z]] = self._chains(e, begin[order[a:z]], count[order[a:z]], weight, said)
             a = z
         return out
 
-    def _chains(self, e: np.ndarray, begin: np.ndarray, count: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def _chains(self, e: np.ndarray, begin: np.ndarray, count: np.ndarray, weight: np.ndarray, said: np.ndarray | None) -> np.ndarray:
         """Forward-backward over documents sorted by falling length, one step of all of them at a time."""
         steps = int(count[0])
         alive = np.searchsorted(-count, -np.arange(steps), "left")  # documents with more than t words
@@ -140,22 +146,25 @@ class Model:
             a = (a[:k] @ move if t else a) * np.exp(x - x.max(1, keepdims=True))
             a /= a.sum(1, keepdims=True)
             forward[edge[t] : edge[t + 1]] = a
-        total, weights = np.zeros((len(count), labels)), np.zeros(len(count))
+        total, weights = np.zeros((len(count), labels + 1)), np.zeros(len(count))
         b = np.ones((len(count), labels))
         for t in range(steps - 1, -1, -1):
             k = alive[t]
             p = forward[edge[t] : edge[t + 1]] * b[:k]
             p /= p.sum(1, keepdims=True)
             w = weight[at[t]]
-            total[:k] += p * w[:, None]
+            total[:k, :labels] += p * w[:, None]
+            total[:k, labels] += p.max(1) * w
+            if said is not None:
+                said[at[t]] = p.argmax(1)
             weights[:k] += w
             x = e[at[t]]
             b[:k] = (b[:k] * np.exp(x - x.max(1, keepdims=True))) @ move.T
             b[:k] /= b[:k].sum(1, keepdims=True)
         return total / np.maximum(weights, 1e-12)[:, None]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Label and score of each text; ``und`` and 0 for texts that are null or hold no letter."""
+    def _read(self, texts: list[str | None], said: bool = False) -> tuple[list[bool], np.ndarray, np.ndarray | None, np.ndarray]:
+        """Whether texts hold a letter, their means, the label of each word if asked for, and the number of words of each."""
         has = [any(map(str.isalpha, t or "")) for t in texts]
         raw = [t.lower().encode() if ok else b"" for t, ok in zip(texts, has, strict=True)]
         parts, counts, weights, a = [], [], [], 0
@@ -166,17 +175,39 @@ class Model:
                 z += 1
             data = np.frombuffer(b"\n".join(raw[a:z]), np.uint8)
             w = Words(data, *borders(data), self.lexicon)
-            letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+            letters = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int32)])
             parts.append(self.emissions(w))
             weights.append((letters[w.ends] > letters[w.starts]).astype(float))
             bound = np.cumsum([len(x) + 1 for x in raw[a:z]])
             counts.append(np.diff(np.searchsorted(w.starts, bound), prepend=0))
             a = z
         if not parts:
-            return [], []
-        mean = self.document_means(np.concatenate(parts), np.concatenate(counts), np.concatenate(weights))
-        best = mean.argmax(1)
-        return [self.labels[b] if ok else UNKNOWN for b, ok in zip(best, has, strict=True)], [float(min(1.0, m[b])) if ok else 0.0 for m, b, ok in zip(mean, best, has, strict=True)]
+            return has, np.zeros((0, len(self.labels) + 1)), np.empty(0, np.int64), np.empty(0, np.int64)
+        e, count = np.concatenate(parts), np.concatenate(counts)
+        label = np.full(len(e), -1, np.int64) if said else None
+        return has, self.document_means(e, count, np.concatenate(weights), label), label, count
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Label and score of each text, and the certainty of its words; ``und``, 0 and 0 for texts that are null or hold no letter."""
+        has, mean, _, _ = self._read(texts)
+        best = mean[:, :-1].argmax(1)
+        some = lambda x, ok: float(min(1.0, x)) if ok else 0.0
+        return (
+            [self.labels[b] if ok else UNKNOWN for b, ok in zip(best, has, strict=True)],
+            [some(m[b], ok) for m, b, ok in zip(mean, best, has, strict=True)],
+            [some(m[-1], ok) for m, ok in zip(mean, has, strict=True)],
+        )
+
+    def runs(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+        """Of each text the runs of words of one language: first word, word after the last one, label."""
+        _, _, label, count = self._read(texts, True)
+        out, a = [], 0
+        for n in count.tolist():
+            own = label[a : a + n]
+            cut = np.r_[0, np.flatnonzero(np.diff(own)) + 1, n] if n else np.zeros(1, int)
+            out.append([(int(x), int(y), self.labels[own[x]]) for x, y in zip(cut[:-1], cut[1:], strict=True)])
+            a += n
+        return out
 
 
 def train(texts: list[str], labels: list[str], rounds: int = 4, length: int = 64, batch: int = 256, rate: float = 0.25, seed: int = 3) -> Model:
@@ -283,43 +314,82 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % parts
 
 
-def sample(docs: DataFrame, per_lang: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``text, lang`` of at most ``per_lang`` labelled documents a language, the same ones in every run.
+def sample(docs: DataFrame, per_lang: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = FIT_CHARS) -> DataFrame:
+    """``text, lang`` of at most ``per_lang`` different labelled documents a language, the same ones in every run.
 
-    Chosen by hash on identifiers alone; their texts are then found by a
-    broadcast of at most ``per_lang`` keys a language.
+    Chosen by hash on identifiers and hashes of texts alone, among those of
+    ``most_chars`` characters at most; their texts are then found by a broadcast
+    of at most ``per_lang`` keys a language. Rows that repeat identifier, text
+    and language are one, so what is gathered is bounded in rows and bytes.
     """
-    slim = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("_i"), F.col(lang).alias("_l"), F.xxhash64(doc_id, F.lit(11)).alias("_h"))
-    order = Window.partitionBy("_l").orderBy("_h", "_i")
-    few = slim.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select("_i", "_l").distinct()
-    return docs.join(F.broadcast(few), (F.col(doc_id) == F.col("_i")) & (F.col(lang) == F.col("_l")), "left_semi").select(text, lang)
+    keyed = docs.where(F.col(lang).isNotNull() & F.length(text).between(1, most_chars)).select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.xxhash64(text).alias("x"), F.col(text).alias("t"))
+    slim = keyed.select("i", "l", "x", F.xxhash64("i", F.lit(11)).alias("h"))
+    order = Window.partitionBy("l").orderBy("h", "i", "x")
+    few = slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("i", "l", "x").distinct().toDF("_i", "_l", "_x")
+    mine = keyed.join(F.broadcast(few), F.col("i").eqNullSafe(F.col("_i")) & (F.col("l") == F.col("_l")) & (F.col("x") == F.col("_x")), "left_semi")
+    return mine.dropDuplicates(["i", "l", "x"]).select("t", "l")
+
 
+def fit(docs: DataFrame, per_lang: int = 250, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_langs: int = 1000) -> Model:
+    """A model from a bounded sample of ``docs``, ``per_lang`` documents of each language that their ``lang`` names (null: not used).
 
-def fit(docs: DataFrame, per_lang: int = 250, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model from a bounded sample of ``docs``, ``per_lang`` documents of each language that their ``lang`` names (null: not used)."""
-    got = sample(docs, per_lang, doc_id, text, lang).toArrow()
+    The model has about 1 MB a language and is handed to every task; more than
+    ``most_langs`` languages are an error.
+    """
+    got = sample(docs, per_lang, doc_id, text, lang).limit(per_lang * most_langs + 1).toArrow()
     pairs = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
+    if len({s for s, _ in pairs}) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     return train([t for _, t in pairs], [s for s, _ in pairs])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", certainty: str | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added (clashing columns are replaced), by whole texts; no shuffle.
 
-    ``und`` with score 0 for texts that are null or hold no letter, and for all
-    texts if the model has no labels.
+    ``score`` is the mean probability of the predicted language over the words
+    that hold a letter, and ``certainty``, if a column is named, that of each
+    word's own most probable language, which is high for text that mixes
+    languages clearly. ``und`` with score 0 for texts that are null or hold no
+    letter, and for all texts if the model has no labels. Of languages with
+    equal means the first by name is predicted; equal texts have equal results.
+    Very long texts step through the chain whole.
     """
-    others = [c for c in docs.columns if c not in (lang_pred, score)]
+    new = [lang_pred, score, *([certainty] if certainty else [])]
+    others = [c for c in docs.columns if c not in new]
     if not model.labels:
-        return docs.select(*others, F.lit(UNKNOWN).alias(lang_pred), F.lit(0.0).alias(score))
+        return docs.select(*[f"`{c}`" for c in others], F.lit(UNKNOWN).alias(lang_pred), *[F.lit(0.0).alias(c) for c in new[1:]])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                b = whole.slice(a, 1000)
+                found = shared.value.predict(b.column(b.schema.get_field_index(text)).to_pylist())
+                kinds = (pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {c: pa.array(x, k) for c, x, k in zip(new, found, kinds)})  # noqa: B905
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in others)
+    return docs.select(*[f"`{c}`" for c in others]).mapInArrow(lean(run), f"{fields}`{lang_pred}` string" + "".join(f", `{c}` double" for c in new[1:]))
+
+
+def label_words(docs: DataFrame, model: Model, text: str = "text", runs: str = "runs") -> DataFrame:
+    """``docs`` without ``text`` and with ``runs``, the runs of words of one language: ``array<struct<start:int,stop:int,lang:string>>``.
+
+    Words are counted from 0, and ``stop`` is not part of a run. Texts without
+    letters, and all texts where the model has no labels, have no runs.
+    """
+    others = [c for c in docs.columns if c not in (text, runs)]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 b = whole.slice(a, 1000)
-                names, scores = shared.value.predict(b.column(b.schema.get_field_index(text)).to_pylist())
-                yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {lang_pred: pa.array(names, pa.string()), score: pa.array(scores, pa.float64())})
+                texts = b.column(b.schema.get_field_index(text)).to_pylist()
+                found = shared.value.runs(texts) if shared.value.labels else [[] for _ in texts]
+                said = pa.array([[{"start": x, "stop": y, "lang": s} for x, y, s in r] for r in found], kind)
+                yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {runs: said})
 
-    slim = docs.select(*others)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema)
-    return slim.mapInArrow(lean(run), f"{fields}`{lang_pred}` string, `{score}` double")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in others)
+    return docs.select(*[f"`{c}`" for c in others], f"`{text}`").mapInArrow(lean(run), f"{fields}`{runs}` array<struct<start:int,stop:int,lang:string>>")

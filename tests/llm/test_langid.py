@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from foldkeep.llm.langid import Model, fit, fold, identify, sample, train
+from foldkeep.llm.langid import Model, fit, fold, identify, label_words, sample, train
 from foldkeep.llm.queries import op10_language_id
 
 
@@ -29,12 +29,14 @@ def test_forward_backward_equals_enumeration():
     count = np.array([4, 0, 1, 5])
     e, weight = rng.standard_normal((10, 3)), rng.integers(0, 2, 10).astype(float)
     weight[[0, 4]] = 1
-    got = m.document_means(e, count, weight)
+    said = np.full(10, -1)
+    got = m.document_means(e, count, weight, said)
     begin = np.cumsum(count) - count
     for d, n in enumerate(count):
         if not n:
             assert not got[d].any()
             continue
+        words, sure = got[d][:-1], got[d][-1]
         p = np.zeros((n, 3))
         for path in itertools.product(range(3), repeat=int(n)):
             s = m.start[path[0]] + sum(e[begin[d] + t, y] for t, y in enumerate(path)) + sum(m.move[a, b] for a, b in itertools.pairwise(path))
@@ -42,13 +44,20 @@ def test_forward_backward_equals_enumeration():
                 p[t, y] += np.exp(s)
         p /= p.sum(1, keepdims=True)
         w = weight[begin[d] : begin[d] + n]
-        assert np.allclose(got[d], (p * w[:, None]).sum(0) / max(w.sum(), 1e-12))
+        assert np.allclose(words, (p * w[:, None]).sum(0) / max(w.sum(), 1e-12))
+        assert np.isclose(sure, (p.max(1) * w).sum() / max(w.sum(), 1e-12))
+        assert said[begin[d] : begin[d] + n].tolist() == p.argmax(1).tolist()
 
 
 def test_code_switched_text_follows_its_larger_part(model):
     en, de = "the of and with that this the from " * 6, "der die und nicht das von mit ist " * 6
-    names, scores = model.predict([en + de[:60], de + en[:60], en * 40, en])
+    names, scores, sure = model.predict([en + de[:60], de + en[:60], en * 40, en])
     assert names == ["en", "de", "en", "en"] and scores[0] < scores[3]
+    # the words of a mixed text are certain of their own languages, and labelled piece by piece
+    assert sure[0] > 0.9 > scores[0]
+    (a, b, first), (c, d, then) = model.runs([en + de])[0]
+    assert (a, first, then, d) == (0, "en", "de", len((en + de).split())) and b == c and abs(b - len(en.split())) <= 2
+    assert model.runs([None, "", "12"]) == [[], [], []]
 
 
 def test_odd_texts(spark, model):
@@ -72,3 +81,15 @@ def test_sample_is_bounded_and_the_same_again(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a, b = sample(docs, 7).collect(), sample(docs.repartition(5), 7).collect()
     assert sorted(a) == sorted(b) and len(a) == 28
+
+
+def test_sample_of_repeated_rows_stays_bounded(spark):
+    docs = spark.createDataFrame([(1, "a b", "en")] * 50 + [(1, "c d", "en"), (None, "e f", "en"), (2, "x" * 300_000, "en")], "doc_id long, text string, lang string")
+    got = sorted(r[0] for r in sample(docs, 100).collect())
+    assert got == ["a b", "c d", "e f"]
+
+
+def test_labelled_words_of_a_table(spark, model):
+    df = spark.createDataFrame([(1, "the of and with that der die und nicht das", 7), (2, None, 8), (3, "", 9)], "doc_id long, text string, runs int")
+    got = {r.doc_id: r.runs for r in label_words(df, model).collect()}
+    assert got[2] == got[3] == [] and [r.lang for r in got[1]] == ["en", "de"] and got[1][-1].stop == 10

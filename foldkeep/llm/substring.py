@@ -4,16 +4,13 @@ A window is ``width`` consecutive words of one document. Each word that a
 window covers goes if the same word sequence also starts earlier, in a smaller
 document or before it in the same one; windows are judged on the input.
 
-Every window gets a 64-bit Rabin-Karp hash. Windows are dealt out by an anchor
-in them, the smallest of their inner ``ANCHOR``-word Rabin-Karp hashes: equal
-windows have equal anchors at equal places, and as neighbouring windows mostly
-share one, a row carries a whole run of windows (the anchor, and 32 bits of each
-window's own hash; two windows are taken as equal only if all 96 bits and the
-place agree). Before the shuffle each task drops the windows that it has seen
-earlier itself, whose removal is then certain; so a passage that very many
-documents share reaches the shuffle once a task and not once a document. After
-it, rows come sorted by anchor and are compared group by group. Removed runs
-become maximal intervals by document, which are joined back to the texts.
+Every window gets a 64-bit Rabin-Karp hash, and Spark counts by hash, in one
+exchange, how many of a window's equals start earlier: those with any go. Before
+the exchange each task drops the windows that it has seen earlier itself, whose
+removal is then certain; so a passage that very many documents share, or a line
+between ever different neighbours, is sent once a task and not once a document,
+and a key holds a row a task at most. Removed windows merge into maximal
+intervals by document, which are joined back to the texts.
 """
 
 from __future__ import annotations
@@ -23,216 +20,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldkeep.session import lean
-
 from foldkeep.llm.windows import borders, hashed, mix, window_hashes
+from foldkeep.session import free_name, lean
 
 WIDTH = 20
-#: Words of the hashes among which anchors are chosen.
-ANCHOR = 10
-#: Words that a task gathers before it compares and sends them on.
+#: Words that a task gathers before it sends their windows on.
 GATHER = 600_000
 
-_NULL_LAST = (1 << 63) - 1
-_SENT = "anchor long, kind int, doc long, tie long, start int, place int, own binary"
-_SCHEMA = pa.schema([("anchor", pa.int64()), ("kind", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("place", pa.int32()), ("own", pa.binary())])
-_SPAN = "doc long, tie long, start int, stop int"
-
-
-def sliding_argmin(x: np.ndarray, n: int) -> np.ndarray:
-    """For each window of ``n`` values the index of its smallest (the leftmost of equals)."""
-    best, at, span = x.copy(), np.arange(len(x)), 1
-    while span < n:
-        step = min(span, n - span)
-        other, where = best[step:], at[step:]
-        keep = best[: len(other)] <= other
-        best, at = np.where(keep, best[: len(other)], other), np.where(keep, at[: len(other)], where)
-        span += step
-    return at[: len(x) - n + 1]
 
-
-def _gathered(docs: list[tuple[int, int, bytes]], width: int, anchor: int) -> pa.RecordBatch | None:
-    """The rows that one task's gathered documents send: runs of windows (kind 0), and certain removals (kind 1)."""
-    docs.sort(key=lambda d: d[:2])
-    doc, start, win, anc, place = [], [], [], [], []
+def _gathered(docs: list[tuple], width: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The rows that one task's gathered documents send: windows (without ``stop``), and certain removals."""
+    docs.sort(key=lambda d: (d[0] is None, d[0] if d[0] is not None else 0, d[1]))
+    doc, start, win = [], [], []
     for i, (_, _, text) in enumerate(docs):
-        words = hashed(text)
-        if len(words) < width:
-            continue
-        w = window_hashes(words, width)
-        inner = window_hashes(words, anchor)
-        at = sliding_argmin(inner, width - anchor + 1)
-        doc.append(np.full(len(w), i, np.int32))
-        start.append(np.arange(len(w), dtype=np.int32))
-        win.append(w)
-        anc.append(inner[at])
-        place.append((at - np.arange(len(w))).astype(np.int32))
+        w = window_hashes(hashed(text), width)
+        if len(w):
+            doc.append(np.full(len(w), i, np.int32))
+            start.append(np.arange(len(w), dtype=np.int32))
+            win.append(w)
     if not win:
-        return None
-    doc, start, win, anc, place = map(np.concatenate, (doc, start, win, anc, place))
-    # the first of equal windows; rows are in the order of documents and starts, and the sort is stable.
-    # Rows that repeat a document's key and text count as one document, so equal starts of equal keys are not earlier.
+        return
+    doc, start, win = map(np.concatenate, (doc, start, win))
+    # the first of equal windows; rows are in the order of documents and starts, and the sort is stable
     order = np.argsort(win, kind="stable")
     s = win[order]
     new = np.r_[True, s[1:] != s[:-1]]
     head = np.empty(len(win), np.int64)
     head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-    key = np.array([d[0] for d in docs], np.int64)
-    tie = np.array([d[1] for d in docs], np.int64)
+    # rows that repeat a document's identifier and text count as one document, so equal starts of these are not earlier
+    name = np.cumsum([0] + [a[:2] != b[:2] for a, b in zip(docs[1:], docs[:-1])])  # noqa: B905
     own = np.arange(len(win))
-    same = (key[doc] == key[doc[head]]) & (tie[doc] == tie[doc[head]]) & (start == start[head])
-    first, gone = head == own, (head != own) & ~same
-    out = []
-    for kind, chosen in ((0, np.flatnonzero(first)), (1, np.flatnonzero(gone))):
-        if not len(chosen):
-            continue
-        joint = (np.diff(chosen) == 1) & (doc[chosen[1:]] == doc[chosen[:-1]])
-        if kind == 0:  # a run shares its anchor, whose place falls as the start rises
-            joint &= (anc[chosen[1:]] == anc[chosen[:-1]]) & (place[chosen[1:]] == place[chosen[:-1]] - 1)
-        cut = np.flatnonzero(~np.r_[False, joint])
-        ends = np.r_[cut[1:], len(chosen)]
-        lead = chosen[cut]
-        if kind == 0:
-            low = (win[chosen] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-            body = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(np.r_[cut, len(chosen)].astype(np.int32) * 4), pa.py_buffer(low)])
-            by, at = anc[lead].view(np.int64), place[lead]
-        else:
-            body = pa.nulls(len(cut), pa.binary())
-            by, at = mix(key[doc[lead]].view(np.uint64) ^ np.arange(len(lead), dtype=np.uint64)).view(np.int64), (start[chosen[ends - 1]] + width).astype(np.int32)
-        out.append(pa.RecordBatch.from_arrays(
-            [pa.array(by), pa.array(np.full(len(cut), kind, np.int32)), pa.array(key[doc[lead]]), pa.array(tie[doc[lead]]), pa.array(start[lead]), pa.array(at), body], schema=_SCHEMA
-        ))
-    return pa.Table.from_batches(out).combine_chunks()
-
-
-def _send(batches: Iterator[pa.RecordBatch], width: int, anchor: int, gather: int) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-
-    def flush():
-        sent = _gathered(held, width, anchor)
-        held.clear()
-        if sent is not None:
-            yield from sent.to_batches(max_chunksize=20_000)
-
+    same = (name[doc] == name[doc[head]]) & (start == start[head])
+    ids, ties = pa.array([d[0] for d in docs], kind), pa.array([d[1] for d in docs], pa.int64())
+    names = ["hash", "doc", "tie", "start", "stop"]
+    first, gone = np.flatnonzero(head == own), np.flatnonzero((head != own) & ~same)
+    for a in range(0, len(first), 50_000):
+        k = first[a : a + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(win[k].view(np.int64)), ids.take(pa.array(doc[k])), ties.take(pa.array(doc[k])), pa.array(start[k]), pa.nulls(len(k), pa.int32())], names=names)
+    if len(gone):
+        cut = np.flatnonzero(np.r_[True, (np.diff(gone) != 1) | (doc[gone[1:]] != doc[gone[:-1]])])
+        lead, last = gone[cut], gone[np.r_[cut[1:], len(gone)] - 1]
+        spread = mix(win[lead] + np.arange(len(lead), dtype=np.uint64)).view(np.int64)  # any number: nothing is compared with these
+        yield pa.RecordBatch.from_arrays([pa.array(spread), ids.take(pa.array(doc[lead])), ties.take(pa.array(doc[lead])), pa.array(start[lead]), pa.array((start[last] + width).astype(np.int32))], names=names)
+
+
+def _send(batches: Iterator[pa.RecordBatch], width: int, gather: int) -> Iterator[pa.RecordBatch]:
+    held, size, kind = [], 0, None
     for b in batches:
+        kind = b.schema.field(0).type
         for d, t, x in zip(b.column(0), b.column(1), b.column(2), strict=True):
             text = x.as_buffer().to_pybytes() if x.is_valid else b""
             held.append((d.as_py(), t.as_py(), text))
             size += len(text) // 6 + 1
             if size >= gather:
-                yield from flush()
-                size = 0
-    yield from flush()
-
-
-def _repeated(t: pa.Table, width: int) -> pa.Table | None:
-    """Spans of the windows in whole groups of anchors that repeat an earlier one."""
-    anc = t.column("anchor").to_numpy()
-    shared = np.r_[False, anc[1:] == anc[:-1]] | np.r_[anc[1:] == anc[:-1], False]
-    if not shared.any():
-        return None
-    t = t.filter(pa.array(shared)).combine_chunks()
-    anc, doc, tie, start, place = (t.column(c).to_numpy() for c in ("anchor", "doc", "tie", "start", "place"))
-    body = t.column("own").chunk(0)
-    low = np.frombuffer(b"".join(body.to_pylist()), "<u4")
-    n = np.array([len(x) // 4 for x in body.to_pylist()])
-    row = np.repeat(np.arange(len(n)), n)
-    step = np.arange(len(low)) - np.repeat(np.cumsum(n) - n, n)
-    at, off, a, d, tt = start[row] + step, place[row] - step, anc[row], doc[row], tie[row]
-    order = np.lexsort((at, tt, d, low, off, a))
-    a, off, low, d2, t2, at2 = a[order], off[order], low[order], d[order], tt[order], at[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (off[1:] != off[:-1]) | (low[1:] != low[:-1])]
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    late = (d2 != d2[lead]) | (t2 != t2[lead]) | (at2 != at2[lead])
-    hit = np.zeros(len(order), bool)
-    hit[order] = late
-    chosen = np.flatnonzero(hit)
-    if not len(chosen):
-        return None
-    joint = (np.diff(chosen) == 1) & (row[chosen[1:]] == row[chosen[:-1]])
-    cut = np.flatnonzero(~np.r_[False, joint])
-    ends = np.r_[cut[1:], len(chosen)] - 1
-    lead, last = chosen[cut], chosen[ends]
-    return pa.table({"doc": d[lead], "tie": tt[lead], "start": pa.array(at[lead], pa.int32()), "stop": pa.array(at[last] + width, pa.int32())})
-
-
-def _compare(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; the last group of what is held waits for the rest of it."""
-    held: list[pa.Table] = []
-    rows = 0
-
-    def spans(t: pa.Table):
-        sure = t.filter(pc.equal(t.column("kind"), 1))
-        if sure.num_rows:
-            yield pa.table({"doc": sure.column("doc"), "tie": sure.column("tie"), "start": sure.column("start"), "stop": sure.column("place")})
-        rest = t.filter(pc.equal(t.column("kind"), 0))
-        if rest.num_rows:
-            found = _repeated(rest, width)
-            if found is not None:
-                yield found
-
-    def emit(t):
-        for s in spans(t):
-            yield from s.combine_chunks().to_batches(max_chunksize=50_000)
-
-    for b in batches:
-        held.append(pa.Table.from_batches([b], schema=_SCHEMA))
-        rows += b.num_rows
-        if rows < 50_000:
-            continue
-        t = pa.concat_tables(held)
-        anc = t.column("anchor").to_numpy()
-        whole = int(np.searchsorted(anc, anc[-1], "left"))
-        if whole:
-            yield from emit(t.slice(0, whole))
-        held = [t.slice(whole)]
-        rows = 0
+                yield from _gathered(held, width, kind)
+                held, size = [], 0
     if held:
-        t = pa.concat_tables(held)
-        if t.num_rows:
-            yield from emit(t)
+        yield from _gathered(held, width, kind)
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, gather: int = GATHER) -> DataFrame:
-    """``doc, tie, spans`` of the documents with removals: word intervals ``[start, stop)`` whose union is what goes (``maximal`` merges them).
+def tie_of(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """What tells rows of one identifier apart: a hash of the text where identifiers repeat (or are null several times), else nothing."""
+    several = docs.groupBy(F.col(doc_id).alias("d")).agg(F.count("*").alias("n")).where("n > 1")
+    return F.lit(0).cast("long") if several.isEmpty() else F.xxhash64(text)
 
-    ``doc`` is the identifier (null: the largest number, as null sorts last) and
-    ``tie`` a hash of the text, by which rows of one identifier are told apart.
-    """
-    if not 0 < anchor <= width:
-        raise ValueError("the anchor must lie inside the window")
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_LAST)).alias("doc"), F.xxhash64(text).alias("tie"), F.col(text).cast("binary").alias("text"))
-    sent = keyed.mapInArrow(lean(lambda b: _send(b, width, anchor, gather)), _SENT)
-    dealt = sent.repartition("anchor").sortWithinPartitions("anchor")
-    spans = dealt.mapInArrow(lean(lambda b: _compare(b, width)), _SPAN)
-    return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gather: int = GATHER, tie: Column | None = None) -> DataFrame:
+    """``doc, tie, spans`` of the documents with removals: word intervals ``[start, stop)`` whose union is what goes (``maximal`` merges them)."""
+    of = docs.schema[doc_id].dataType.simpleString()
+    keyed = docs.select(F.col(doc_id).alias("doc"), (tie_of(docs, doc_id, text) if tie is None else tie).alias("tie"), F.col(text).cast("binary").alias("text"))
+    sent = keyed.mapInArrow(lean(lambda b: _send(b, width, gather)), f"hash long, doc {of}, tie long, start int, stop int")
+    # a window's number among its equals; rows that are equal in all three are one window
+    earlier = Window.partitionBy("hash").orderBy(F.col("doc").asc_nulls_last(), "tie", "start")
+    gone = sent.withColumn("nth", F.rank().over(earlier)).where("nth > 1 or stop is not null")
+    return gone.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", F.coalesce("stop", F.col("start") + width).alias("stop"))).alias("spans"))
 
 
-def maximal(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The same words as maximal, disjoint, ascending intervals."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def maximal(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
+    """The borders of the maximal, disjoint intervals that the spans cover among ``n`` words: starts and ends in turn."""
+    edge = np.zeros(n + 2, np.int64)
+    np.add.at(edge, starts + 1, 1)
+    np.add.at(edge, stops + 1, -1)
+    return np.flatnonzero(np.diff((np.cumsum(edge) > 0).astype(np.int8)))
 
 
-def keep_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Number of words, number removed, and the starts and ends of the words that stay."""
-    data = np.frombuffer(text, np.uint8)
-    starts, ends = borders(data)
-    if not spans:
+def keep_words(text: bytes, a: np.ndarray | None, z: np.ndarray | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Number of words, number removed, and the starts and ends of the words that stay once the spans ``[a, z)`` are gone."""
+    starts, ends = borders(np.frombuffer(text, np.uint8))
+    if a is None:
         return len(starts), 0, starts, ends
-    edge = np.zeros(len(starts) + 1, np.int32)
-    for a, b in maximal(spans):
-        edge[a], edge[b] = 1, -1
-    stay = np.cumsum(edge[:-1]) == 0
+    stay = np.ones(len(starts), bool)
+    cut = maximal(a, z, len(starts))
+    for x, y in zip(cut[::2], cut[1::2], strict=True):
+        stay[x:y] = False
     return len(starts), int(len(starts) - stay.sum()), starts[stay], ends[stay]
 
 
@@ -241,31 +124,33 @@ def joined(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
 
-def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, kept: str | None = None, anchor: int = ANCHOR, gather: int = GATHER) -> DataFrame:
+def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, kept: str | None = None, gather: int = GATHER) -> DataFrame:
     """``docs`` without ``text`` but with ``n_words, n_removed, kept_sha256``, and the text left in column ``kept`` if one is named.
 
     What is left are the kept words joined by one space; a text that loses no
     word is left as it is in ``kept``. Null and empty texts have no words;
-    texts of less than ``width`` words lose none. Of rows that repeat identifier
-    and text none counts as earlier than another; rows that share only the
-    identifier are ordered by a hash of the text. A null identifier sorts last.
+    texts of less than ``width`` words lose none; very long ones are read whole.
+    Identifiers may be of any type that has an order; a null one sorts last. Of
+    rows that repeat identifier and text none counts as earlier than another;
+    rows that share only the identifier are ordered by a hash of the text.
     Columns of ``docs`` that clash with a new name are replaced.
     """
     new = {"n_words", "n_removed", "kept_sha256", kept} - {None}
     others = [c for c in docs.columns if c != text and c not in new]
-    spans = repeated_spans(docs, doc_id, text, width, anchor, gather).toDF("_sdoc", "_stie", "_spans")
-    keyed = docs.select(*others, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_LAST)).alias("_doc"), F.xxhash64(text).alias("_tie"), F.col(text).alias("_text"))
-    both = keyed.join(spans, (F.col("_doc") == F.col("_sdoc")) & (F.col("_tie") == F.col("_stie")), "left").select(*others, "_text", F.col("_spans.start").alias("_a"), F.col("_spans.stop").alias("_b"))
+    tie = tie_of(docs, doc_id, text)
+    own, at, said, starts, stops, d, t = (free_name(docs, c) for c in ("_own", "_at", "_text", "_starts", "_stops", "_doc", "_tie"))
+    spans = repeated_windows(docs, doc_id, text, width, gather, tie).select(F.col("doc").alias(d), F.col("tie").alias(t), F.col("spans.start").alias(starts), F.col("spans.stop").alias(stops))
+    keyed = docs.select(*[f"`{c}`" for c in others], F.col(doc_id).alias(own), tie.alias(at), F.col(text).alias(said))
+    both = keyed.join(spans, F.col(own).eqNullSafe(F.col(d)) & (F.col(at) == F.col(t)), "left").select(*[f"`{c}`" for c in others], said, starts, stops)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": []}
             left = []
-            for x, starts, stops in zip(col["_text"], col["_a"], col["_b"], strict=True):
+            for x, a, z in zip(col[said], col[starts], col[stops], strict=True):
                 body = x.as_buffer().to_pybytes() if x.is_valid else b""
-                spans = list(zip(starts.as_py(), stops.as_py(), strict=True)) if starts.is_valid else []
-                n, gone, s, e = keep_words(body, spans)
+                n, gone, s, e = keep_words(body, a.values.to_numpy() if a.is_valid else None, z.values.to_numpy() if a.is_valid else None)
                 rest = joined(body, s, e)
                 out["n_words"].append(n)
                 out["n_removed"].append(gone)
@@ -275,5 +160,5 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             arrays = {c: pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()}
             yield pa.RecordBatch.from_pydict({c: col[c] for c in others} | arrays | ({kept: pa.array(left, pa.string())} if kept else {}))
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in others)
     return both.mapInArrow(lean(run), f"{fields}n_words long, n_removed long, kept_sha256 string" + (f", `{kept}` string" if kept else ""))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from foldkeep.llm import substring
-from foldkeep.llm.substring import dedup_windows, maximal, sliding_argmin
+from foldkeep.llm.substring import dedup_windows, maximal
 from foldkeep.llm.windows import hashed, window_hashes
 
 
@@ -40,12 +40,12 @@ def made(seed, n, vocabulary=40, passages=6):
     return rows
 
 
-@pytest.mark.parametrize("width,anchor,gather", [(20, 10, 1_000_000), (20, 10, 50), (5, 2, 30), (3, 3, 1), (1, 1, 10)])
-def test_equals_brute_force(spark, width, anchor, gather):
+@pytest.mark.parametrize("width,gather", [(20, 1_000_000), (20, 50), (5, 30), (3, 1), (1, 10)])
+def test_equals_brute_force(spark, width, gather):
     rows = made(width, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows, width)
-    got = dedup_windows(df, width=width, anchor=anchor, gather=gather, kept="left").collect()
+    got = dedup_windows(df, width=width, gather=gather, kept="left").collect()
     assert len(got) == len(rows)
     for r in got:
         n, gone, sha, kept = want[r.doc_id]
@@ -76,19 +76,43 @@ def test_nulls_repeats_long_texts_and_clashes(spark):
     assert dedup_windows(df.where("false")).isEmpty()
 
 
+def test_repeated_and_textual_identifiers(spark):
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", body), ("a", "x " + body), (None, body), ("c", "y " * 30 + body), ("c", body + " z")]
+    got = {}
+    for r in dedup_windows(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
+    assert got["a"] == [(41, 0)] and got["b"] == got[None] == [(40, 40)] and sorted(got["c"]) == [(41, 40), (70, 69)]
+    # rows that share an identifier are ordered by a hash of the text: one of the two keeps the passage
+    rows = [(7, body + " p"), (7, "q " + body), (None, "r " + body)]
+    got = dedup_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got) == [0, 40, 40]
+
+
+def test_a_line_between_ever_different_words(spark):
+    line = [f"l{i}" for i in range(12)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(9)] + line + [f"b{i}x{k}" for k in range(9)])) for i in range(400)]
+    rows += [(1000 + i, " ".join([f"a{i}x{k}" for k in range(9)] + line)) for i in range(50)]
+    got = {r.doc_id: r.n_removed for r in dedup_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 21 for i in range(50))
+
+
 def test_columns_with_clashing_names(spark):
-    df = spark.createDataFrame([(1, "a " * 30, 7, 7, 7)], "doc_id long, text string, doc int, tie int, spans int")
+    df = spark.createDataFrame([(1, "a " * 30, 7, 7, 7, 7, 7)], "doc_id long, text string, doc int, tie int, spans int, _text int, _doc int")
     got = dedup_windows(df).first()
-    assert (got.doc, got.tie, got.spans, got.n_removed) == (7, 7, 7, 29)
+    assert (got.doc, got.tie, got.spans, got["_text"], got["_doc"], got.n_removed) == (7, 7, 7, 7, 7, 29)
 
 
 def test_helpers():
     r = np.random.default_rng(1)
-    x = r.integers(0, 9, 200).astype(np.uint64)
-    for n in (1, 2, 3, 7, 11, 200):
-        assert sliding_argmin(x, n).tolist() == [i + int(np.argmin(x[i : i + n])) for i in range(200 - n + 1)]
+    for _ in range(20):
+        starts = r.integers(0, 40, 8)
+        stops = starts + r.integers(1, 12, 8)
+        covered = {w for a, z in zip(starts, stops, strict=True) for w in range(a, z)}
+        cut = maximal(starts, stops, 52)
+        assert {w for a, z in zip(cut[::2], cut[1::2], strict=True) for w in range(a, z)} == covered and (np.diff(cut) > 0).all()
     a = window_hashes(hashed(b"q w e r t y"), 3)
     b = window_hashes(hashed(b"  zz   w\te r\n"), 3)
     assert a[1] == b[1] and len(set(a.tolist())) == 4 and len(window_hashes(hashed(b"a b"), 3)) == 0
-    assert maximal([(5, 9), (1, 3), (3, 4), (20, 30), (8, 12)]) == [(1, 4), (5, 12), (20, 30)]
+    assert maximal(np.array([5, 1, 3, 20, 8]), np.array([9, 3, 4, 30, 12]), 30).tolist() == [1, 4, 5, 12, 20, 30]
     assert substring.WIDTH == 20

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from foldkeep.llm.jaccard import intersections, jaccard_classes, prefix_length
+from foldkeep.llm.jaccard import DEPTH, found_at, intersections, jaccard_classes, jaccard_rows, prefix_length
 from foldkeep.llm.links import components
 
 
@@ -100,9 +100,50 @@ def test_components_by_brute_force(spark):
 
 
 def test_helpers():
-    assert prefix_length(0.8, 0.9999) == 4 and prefix_length(0.8, 0.99) == 5
+    assert prefix_length(0.8, 0.9999) == 4 and prefix_length(0.8, 0.99, depth=5) == 5 and prefix_length(0.8, 0.99) == 6
     with pytest.raises(ValueError):
         prefix_length(0.01, 0.9999)
     r = np.random.default_rng(2)
     s = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(30)]
     assert (intersections(s, wide=7) == [[len(np.intersect1d(a, b)) for b in s] for a in s]).all()
+
+
+def test_recall_is_measured_level_by_level(spark):
+    """Links found at each level, and what these are taken to stand for, against all links."""
+    r = random.Random(4)
+    rows, every = [], 0
+    for g in range(150):
+        base = [f"{g}w{i}" for i in range(60)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(2):  # a replaced word changes five shingles: 0.84 and 0.97 of similarity
+            w = list(base)
+            w[r.choice([2, 0])] = f"n{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    every = sum(n for _, n in brute(rows).values()) // 2
+    report = []
+    out = jaccard_rows(spark.createDataFrame(rows, "doc_id long, text string"), report=report).collect()
+    assert [d for d, _, _ in report] == list(range(DEPTH, prefix_length() - 1, -1))
+    known = [n for _, n, _ in report]
+    assert known == sorted(known) and known[-1] == every == sum(x.n_links for x in out) // 2
+    assert all(abs(stands - every) < 0.02 * every for _, _, stands in report)
+    assert found_at(np.array([1.0, 0.8]), 4)[0] == 1 and 0.9999 < found_at(np.array([0.8]), 4)[0] < 1
+
+
+def test_prefixes_stay_long_where_links_are_surely_found(spark):
+    """Many links of high similarity and a modest recall: the climb ends before the shortest prefix."""
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[i * 6] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    report = []
+    out = jaccard_rows(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.999, report=report).collect()
+    assert len(report) == 1 and all(x.class_id == 0 and x.n_links == 59 for x in out)
+
+
+def test_textual_identifiers(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", t), ("a", t + " more"), (None, t), ("c", "other words")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": ("a", 2), "b": ("a", 2), None: ("a", 2), "c": ("c", 0)}

@@ -32,8 +32,8 @@ def test_stages_and_columns(tables):
 def test_language_id(spark, tables):
     model = fit(tables[0].where(fold("doc_id", 4) != 2))
     rows = tables[0].collect()
-    names, scores = model.predict([r.text for r in rows])
-    want = {r.doc_id for r, n, s in zip(rows, names, scores, strict=True) if n != "und" and s >= cp.LEAST_SCORE}
+    names, _, sure = model.predict([r.text for r in rows])
+    want = {r.doc_id for r, n, s in zip(rows, names, sure, strict=True) if n != "und" and s >= cp.LEAST_CERTAINTY}
     assert {r.doc_id for r in tables[1].collect()} == want and len(want) > 0.95 * len(rows)
 
 
@@ -106,3 +106,13 @@ def test_rows_without_or_with_shared_identifiers_are_told_apart(spark):
 
 def tables_schema():
     return "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_language_stage_keeps_mixed_texts_and_works_without_labels(spark):
+    three = "the of and with that this " * 5 + "der die und nicht das von " * 5 + "el los que por para una " * 5
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    odd = spark.createDataFrame([(-5, three, None, None, 1), (-6, "12 34", "en", None, 1)], tables_schema())
+    kept = {r.doc_id for r in cp.language_id(spark, docs.unionByName(odd), SF).select("doc_id").collect()}
+    assert -5 in kept and -6 not in kept
+    bare = spark.createDataFrame([(1, "a b", None, "s", 3), (2, "12", None, "s", 2), (3, None, None, "s", 0)], tables_schema())
+    assert [r.doc_id for r in cp.language_id(spark, bare, SF).collect()] == [1]

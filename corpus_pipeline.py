@@ -22,17 +22,20 @@ from foldkeep.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: A document goes if no language has this mean probability over its words.
-LEAST_SCORE = 0.4
+#: A document goes if its words' languages are less certain than this on average; a text that mixes languages clearly stays.
+LEAST_CERTAINTY = 0.4
 #: Keys are broadcast up to this number of rows.
 BROADCAST_ROWS = 1_000_000
 DROPOUT, SEED = 0.1, 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
     model = fit(docs.where(fold("doc_id", 4) != 2))
-    seen = identify(docs, model, lang_pred="_lang", score="_score")
-    return seen.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*COLUMNS)
+    if not model.labels:  # nothing to judge by: texts without letters go, all others stay
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    seen = identify(docs, model, lang_pred="_lang", score="_score", certainty="_sure")
+    return seen.where((F.col("_lang") != UNKNOWN) & (F.col("_sure") >= LEAST_CERTAINTY)).select(*COLUMNS)
 
 
 def once(docs: DataFrame, *keys: str) -> DataFrame:

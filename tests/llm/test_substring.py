@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from foldkeep.llm import substring
-from foldkeep.llm.substring import dedup_windows, maximal
+from foldkeep.llm.substring import dedup_windows, hot_anchors, maximal, sliding_argmin
 from foldkeep.llm.windows import hashed, window_hashes
 
 
@@ -40,12 +40,12 @@ def made(seed, n, vocabulary=40, passages=6):
     return rows
 
 
-@pytest.mark.parametrize("width,gather", [(20, 1_000_000), (20, 50), (5, 30), (3, 1), (1, 10)])
-def test_equals_brute_force(spark, width, gather):
+@pytest.mark.parametrize("width,anchor,gather", [(20, 10, 1_000_000), (20, 10, 50), (5, 2, 30), (3, 3, 1), (1, 1, 10)])
+def test_equals_brute_force(spark, width, anchor, gather):
     rows = made(width, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows, width)
-    got = dedup_windows(df, width=width, gather=gather, kept="left").collect()
+    got = dedup_windows(df, width=width, anchor=anchor, gather=gather, kept="left").collect()
     assert len(got) == len(rows)
     for r in got:
         n, gone, sha, kept = want[r.doc_id]
@@ -89,12 +89,19 @@ def test_repeated_and_textual_identifiers(spark):
     assert sorted(r.n_removed for r in got) == [0, 40, 40]
 
 
-def test_a_line_between_ever_different_words(spark):
-    line = [f"l{i}" for i in range(12)]
+def test_a_line_between_ever_different_words(spark, monkeypatch):
+    lines = ([f"l{s}-{i}" for i in range(12)] for s in range(1000))
+    line = next(x for x in lines if window_hashes(hashed(" ".join(x).encode()), 10).min() < 1 << 57)  # one that is mostly the anchor
     rows = [(i, " ".join([f"a{i}x{k}" for k in range(9)] + line + [f"b{i}x{k}" for k in range(9)])) for i in range(400)]
     rows += [(1000 + i, " ".join([f"a{i}x{k}" for k in range(9)] + line)) for i in range(50)]
-    got = {r.doc_id: r.n_removed for r in dedup_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 21 for i in range(50))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = hot_anchors(df, 20, 10, 1e-3, 1)
+    inner = window_hashes(hashed(" ".join(line).encode()), 10)
+    assert set(hot.tolist()) <= set(inner.tolist()) and len(hot)
+    for found in (np.empty(0, np.uint64), hot):  # the result is the same, however windows are dealt out
+        monkeypatch.setattr(substring, "hot_anchors", lambda *_, found=found: found)
+        got = {r.doc_id: r.n_removed for r in dedup_windows(df, gather=500).collect()}
+        assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 21 for i in range(50))
 
 
 def test_columns_with_clashing_names(spark):
@@ -105,6 +112,9 @@ def test_columns_with_clashing_names(spark):
 
 def test_helpers():
     r = np.random.default_rng(1)
+    x = r.integers(0, 9, 200).astype(np.uint64)
+    for n in (1, 2, 3, 7, 11, 200):
+        assert sliding_argmin(x, n).tolist() == [i + int(np.argmin(x[i : i + n])) for i in range(200 - n + 1)]
     for _ in range(20):
         starts = r.integers(0, 40, 8)
         stops = starts + r.integers(1, 12, 8)

@@ -162,7 +162,7 @@ def tie_of(docs: DataFrame, doc_id: str, text: str) -> Column:
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR, gather: int = GATHER, tie: Column | None = None) -> DataFrame:
-    """``doc, tie, spans`` of the documents with removals: word intervals ``[start, stop)`` whose union is what goes (``maximal`` merges them)."""
+    """``doc, tie, starts, stops`` of the documents with removals: word intervals ``[start, stop)`` whose union is what goes (``maximal`` merges them)."""
     if not 0 < anchor <= width:
         raise ValueError("the anchor must lie inside the window")
     of = docs.schema[doc_id].dataType.simpleString()
@@ -176,7 +176,9 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # a window's number among its equals; rows that are equal in all three are one window
     earlier = Window.partitionBy(*dealt, "place", "low").orderBy(F.col("doc").asc_nulls_last(), "tie", "start")
     gone = each.withColumn("nth", F.rank().over(earlier)).where("nth > 1 or stop is not null")
-    return gone.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", F.coalesce("stop", F.col("start") + width).alias("stop"))).alias("spans"))
+    sure = F.col("stop").isNotNull()
+    found = gone.groupBy("doc", "tie").agg(F.collect_list(F.when(~sure, F.col("start"))).alias("one"), F.collect_list(F.when(sure, F.col("start"))).alias("a"), F.collect_list("stop").alias("z"))
+    return found.select("doc", "tie", F.concat("one", "a").alias("starts"), F.concat(F.transform("one", lambda x: x + width), "z").alias("stops"))
 
 
 def maximal(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
@@ -219,7 +221,7 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     others = [c for c in docs.columns if c != text and c not in new]
     tie = tie_of(docs, doc_id, text)
     own, at, said, starts, stops, d, t = (free_name(docs, c) for c in ("_own", "_at", "_text", "_starts", "_stops", "_doc", "_tie"))
-    spans = repeated_windows(docs, doc_id, text, width, anchor, gather, tie).select(F.col("doc").alias(d), F.col("tie").alias(t), F.col("spans.start").alias(starts), F.col("spans.stop").alias(stops))
+    spans = repeated_windows(docs, doc_id, text, width, anchor, gather, tie).select(F.col("doc").alias(d), F.col("tie").alias(t), F.col("starts").alias(starts), F.col("stops").alias(stops))
     keyed = docs.select(*[f"`{c}`" for c in others], F.col(doc_id).alias(own), tie.alias(at), F.col(text).alias(said))
     both = keyed.join(spans, F.col(own).eqNullSafe(F.col(d)) & (F.col(at) == F.col(t)), "left").select(*[f"`{c}`" for c in others], said, starts, stops)
 

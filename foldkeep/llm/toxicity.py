@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldkeep.llm.windows import hashed, window_hashes
+from foldkeep.llm.windows import hashed, mix, window_hashes
 from foldkeep.session import lean, materialize
 
 #: Most labelled rows of each label for the vocabulary and as examples; most terms; neighbours; examples of a block.
-FIT_ROWS, TERMS, NEIGHBOURS, BLOCK = 3000, 256, 15, 64
+FIT_ROWS, TERMS, NEIGHBOURS, BLOCK = 3000, 256, 15, 32
 #: Most examples whose own votes calibrate.
 CALIBRATE = 1500
 #: Places of hashed words, and the share of chosen terms in the square of a vector's length.
@@ -112,64 +112,135 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
 
 
+def side_by_side(vectors: list[tuple[np.ndarray, np.ndarray]], size: int, dims: int = 256) -> np.ndarray:
+    """An order of vectors in which similar ones share blocks of ``size``, so that blocks' largest weights are close to their own vectors' weights.
+
+    Vectors are hashed to a few dimensions, and halved again and again along the
+    line between two members that lie far apart.
+    """
+    x = np.zeros((len(vectors), dims), np.float32)
+    for i, (t, w) in enumerate(vectors):
+        h = mix(t.astype(np.uint64))
+        x[i] = np.bincount((h % np.uint64(dims)).astype(np.int64), np.where(h >> np.uint64(63), w, -w), dims)
+    todo, out = [np.arange(len(vectors))], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= size:
+            out.append(own)
+            continue
+        p = x[own]
+        a = int(((p - p.mean(0)) ** 2).sum(1).argmax())
+        b = int(((p - p[a]) ** 2).sum(1).argmax())
+        own = own[np.argsort(p @ (p[b] - p[a]), kind="stable")]
+        half = -(-len(own) // (2 * size)) * size
+        todo += [own[half:], own[:half]]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+#: Terms that more than this share of the rows hold have whole lists instead of blocks.
+LONG_LIST = 0.03
+#: How far sums of single precision may be off.
+ROUGH = 1e-4
+
+
 @dataclass
 class BlockMax:
-    """An inverted index of unit vectors, with each term's largest weight in each block."""
+    """An inverted index of unit vectors without negative weights, with each term's largest weight in each block.
+
+    The few terms that many rows hold would be searched in every block: their
+    lists are kept whole, as rows of a matrix, and many queries are multiplied
+    with it at once. That sum bounds from below what a row scores, and with the
+    blocks' largest weights of the other terms from above.
+    """
 
-    terms: np.ndarray  # those that occur, ascending
+    long: np.ndarray  # terms with whole lists, ascending
+    terms: np.ndarray  # the others that occur, ascending
     entries: np.ndarray  # by term: where its entries begin, one a block
     block: np.ndarray  # by entry: block, largest weight, where its rows begin
     top: np.ndarray
     begin: np.ndarray
     row: np.ndarray  # by term and row: row, weight
     weight: np.ndarray
+    of: np.ndarray  # the vectors themselves: where each begins, their terms and weights
+    own: np.ndarray
+    size: np.ndarray
     rows: int
+    places: int
 
     @classmethod
-    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], vocabulary: int) -> BlockMax:
-        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, int)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
-        order = np.lexsort((rows, term))
-        rows, term, weight = rows[order], term[order], weight[order]
+    def of_vectors(cls, vectors: list[tuple[np.ndarray, np.ndarray]], places: int) -> BlockMax:
+        of = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
+        rows = np.repeat(np.arange(len(vectors)), np.diff(of))
+        own = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
+        size = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        known, n = np.unique(own, return_counts=True)
+        long = known[n > max(BLOCK, LONG_LIST * len(vectors))]
+        rare = ~np.isin(own, long)
+        order = np.flatnonzero(rare)[np.lexsort((rows[rare], own[rare]))]
+        row, term, weight = rows[order], own[order], size[order]
         blocks = -(-len(vectors) // BLOCK) + 1
-        entry, begin = np.unique(term.astype(np.int64) * blocks + rows // BLOCK, return_index=True)
+        entry, begin = np.unique(term * blocks + row // BLOCK, return_index=True)
         terms, entries = np.unique(entry // blocks, return_index=True)
         top = np.maximum.reduceat(weight, begin) if len(begin) else np.empty(0)
-        return cls(terms, np.append(entries, len(entry)), entry % blocks, top, np.append(begin, len(rows)), rows, weight, len(vectors))
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of largest cosine (above 0), largest first, ties to the smaller row.
-
-        The blocks of largest bounds are scored first; then all that can still
-        hold one of the k, and the others never.
-        """
+        return cls(long, terms, np.append(entries, len(entry)), entry % blocks, top, np.append(begin, len(row)), row, weight, of, own.astype(np.int32), size, len(vectors), places)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _prepared(self) -> tuple[np.ndarray, np.ndarray]:
+        """The whole lists as a matrix (terms x rows, filled up to whole blocks), and a place for a query's weights."""
+        if "_lists" not in self.__dict__:
+            n = -(-self.rows // BLOCK) * BLOCK
+            self._lists = np.zeros((len(self.long), n), np.float32)
+            held = np.flatnonzero(np.isin(self.own, self.long))
+            self._lists[np.searchsorted(self.long, self.own[held]), np.searchsorted(self.of, held, "right") - 1] = self.size[held]
+            self._query = np.zeros(self.places)
+        return self._lists, self._query
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k rows of largest cosine (above 0), largest first, ties to the smaller row."""
+        lists, _ = self._prepared()
+        out = []
+        for a in range(0, len(queries), 128):
+            some = queries[a : a + 128]
+            whole = np.zeros((len(some), len(self.long)), np.float32)
+            for i, (term, weight) in enumerate(some):
+                at = np.minimum(np.searchsorted(self.long, term), max(0, len(self.long) - 1))
+                held = self.long[at] == term if len(self.long) else np.zeros(len(term), bool)
+                whole[i, at[held]] = weight[held]
+            for query, score in zip(some, whole @ lists, strict=True):
+                out.append(self._search(*query, score, k) if self.rows else (np.empty(0, np.int64), np.empty(0)))
+        return out
+
+    def _search(self, term: np.ndarray, weight: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest rows of a query, given the scores by whole lists; blocks that cannot reach the k-th are never looked into."""
         at = np.minimum(np.searchsorted(self.terms, term), max(0, len(self.terms) - 1))
         known = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
-        at, weight = at[known], weight[known]
-        size = self.entries[at + 1] - self.entries[at]
-        entry, weight = _ranges(self.entries[at], size), np.repeat(weight, size)
-        n = -(-self.rows // BLOCK)
-        bound = np.bincount(self.block[entry], weight * self.top[entry], n)
-        first = np.zeros(n, bool)
-        first[np.argsort(-bound, kind="stable")[: -(-k // BLOCK) + 2]] = True
-        rows, sims = self._best(first & (bound > 0), entry, weight, k)
-        least = sims[-1] if len(sims) == k else 0.0
-        able = (bound > 0) & (bound >= least - 1e-9)
-        return (rows, sims) if not able[~first].any() else self._best(able, entry, weight, k)
-
-    def _best(self, chosen: np.ndarray, entry: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best rows of the chosen blocks."""
-        inside = chosen[self.block[entry]]
-        entry, weight = entry[inside], weight[inside]
-        size = self.begin[entry + 1] - self.begin[entry]
-        at = _ranges(self.begin[entry], size)
-        score = np.bincount(self.row[at], np.repeat(weight, size) * self.weight[at], len(chosen) * BLOCK)
-        hit = np.flatnonzero(score > 0)
-        if len(hit) > 4 * k:  # ties with the k-th stay
-            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k] - 1e-8]
-        keep = hit[np.lexsort((hit, -np.round(score[hit], 9)))[:k]]
-        return keep, score[keep]
+        at, by = at[known], weight[known]
+        n = self.entries[at + 1] - self.entries[at]
+        entry, by = _ranges(self.entries[at], n), np.repeat(by, n)
+        bound = score.reshape(-1, BLOCK).max(1) + np.bincount(self.block[entry], by * self.top[entry], len(score) // BLOCK)
+        kth = lambda x: np.partition(x, -k)[-k] if len(x) > k else 0.0
+        inside = (bound >= kth(score) - ROUGH)[self.block[entry]]
+        entry, by = entry[inside], by[inside]
+        n = self.begin[entry + 1] - self.begin[entry]
+        each = _ranges(self.begin[entry], n)
+        score = score + np.bincount(self.row[each], np.repeat(by, n) * self.weight[each], len(score))
+        able = np.flatnonzero((score >= max(kth(score) - 2 * ROUGH, 0)) & (score > 0))
+        exact = self._exact(term, weight, able)
+        able, exact = able[exact > 0], exact[exact > 0]
+        best = np.lexsort((able, -np.round(exact, 9)))[:k]
+        return able[best], exact[best]
+
+    def _exact(self, term: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The cosines of some rows in double precision."""
+        _, query = self._prepared()
+        query[term] = weight
+        n = self.of[rows + 1] - self.of[rows]
+        each = _ranges(self.of[rows], n)
+        out = np.bincount(np.repeat(np.arange(len(rows)), n), query[self.own[each]] * self.size[each], len(rows))
+        query[term] = 0
+        return out
 
 
 @dataclass
@@ -199,25 +270,31 @@ class Model:
         v *= np.sqrt(1 - share if len(t) else 1.0) / max(np.sqrt((v**2).sum()), 1e-12)
         return np.concatenate([t, place + len(self.vocabulary)]), np.concatenate([w, v])
 
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], chosen: bool, skip: int | None = None) -> tuple[float, list[tuple[int, float]]]:
+    def vote(self, found: tuple[np.ndarray, np.ndarray], chosen: bool, skip: int | None = None) -> tuple[float, list[tuple[int, float]]]:
         """The weighted share of the label among the nearest examples, and these with their similarities.
 
         Where no chosen term says what matters, only close examples count for much.
         """
-        rows, sims = self.index.nearest(*vector, self.k + (skip is not None))
+        rows, sims = found
         keep = rows != (-1 if skip is None else skip)
         rows, sims = rows[keep][: self.k], np.minimum(sims[keep][: self.k], 1.0)
         w = sims ** (2 if chosen else 6) / (1.05 - sims) * self.stands_for[rows]
         own = 0.2 * self.stands_for.mean() if len(self.ids) else 1.0
         return float(((w * self.labels[rows]).sum() + own * (self.rate if chosen else self.prior)) / (w.sum() + own)), list(zip(rows.tolist(), sims.tolist(), strict=True))
 
-    def score(self, counts: list[tuple[int, int]], place: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
-        if not counts and not len(place):
-            return self.prior, []
-        v, near = self.vote(self.vector(counts, place, n), bool(counts))
-        if not counts:
-            return max(v, self.prior), near
-        return (float(np.interp(v, self.votes, self.rates)) if len(self.votes) else v), near
+    def scores(self, texts: list[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Score and evidence of texts, given by the counts of chosen terms and of hashed words."""
+        some = [i for i, (counts, place, _) in enumerate(texts) if counts or len(place)]
+        out: list[tuple[float, list[tuple[int, float]]]] = [(self.prior, [])] * len(texts)
+        for i, found in zip(some, self.index.nearest([self.vector(*texts[i]) for i in some], self.k), strict=True):
+            chosen = bool(texts[i][0])
+            v, near = self.vote(found, chosen)
+            if not chosen:
+                v = max(v, self.prior)
+            elif len(self.votes):
+                v = float(np.interp(v, self.votes, self.rates))
+            out[i] = (v, near)
+        return out
 
 
 def pooled(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,21 +337,24 @@ def choose_terms(counts: list[tuple[str, int, int]], pos: int, neg: int, tried:
     return [t for _, t in sorted(good)[:most]]
 
 
-def term_counts(docs: DataFrame, vocabulary: list[str], text: str = "text", terms: str = "terms") -> DataFrame:
-    """``docs`` without the text and with ``terms``, the vocabulary's terms in it as ``array<struct<term:int,n:int>>``; no shuffle."""
+def term_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``doc_id, terms, place, n`` of ``doc_id, text``: the vocabulary's terms in each text, and its hashed words (as 32-bit numbers) with their counts; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    others = [c for c in docs.columns if c not in (text, terms)]
+    kind = pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(shared.value)
-        kind = pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())]))
         for b in batches:
-            found = [[{"term": t, "n": n} for t, n in match(x.as_py() or "")] for x in b.column(b.schema.get_field_index(text))]
-            yield pa.RecordBatch.from_pydict({c: b.column(b.schema.get_field_index(c)) for c in others} | {terms: pa.array(found, kind)})
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            for lo, hi in parts(texts):
+                found = [[{"term": t, "n": n} for t, n in match(x)] for x in texts[lo:hi]]
+                place, n, begin = word_counts(texts[lo:hi])
+                ends = pa.py_buffer((begin * 4).astype(np.int32))
+                packed = [pa.Array.from_buffers(pa.binary(), hi - lo, [None, ends, pa.py_buffer(x.astype("<i4").tobytes())]) for x in (place, n)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(found, kind), *packed], names=["doc_id", "terms", "place", "n"])
 
-    slim = docs.select(*others, text)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema)
-    return slim.mapInArrow(lean(run), f"{fields}`{terms}` array<struct<term:int,n:int>>")
+    of = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {of}, terms array<struct<term:int,n:int>>, place binary, n binary")
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, most_terms: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
@@ -284,19 +364,26 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     it repeats the largest label counts, null labels and identifiers do not.
     At most ``fit_rows`` rows of each label are sampled (by hash, so reruns
     agree); they are the examples, and choose the terms, near copies counted
-    once. Null and empty texts have no words and so get the rate of texts
-    without chosen terms. Without any labelled row all scores are 0.5 and without evidence.
-    ``evidence`` holds the nearest examples' identifiers and similarities.
+    once; of rows that share an identifier the smallest text is the example.
+    Null and empty texts have no words and so get the rate of texts without
+    chosen terms; very long ones are read whole. Without any labelled row all
+    scores are 0.5 and without evidence. Rows of equal text have equal scores.
+    ``evidence`` holds the nearest examples' identifiers (of any type that has an
+    order) and similarities, equal ones in a fixed order.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    of = docs.schema["doc_id"].dataType.simpleString()
+    kind = f"array<struct<doc_id:{of},similarity:double>>"
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     known = materialize(known.select("_id", (F.col("_y") > 0).cast("int").alias("_y"), F.xxhash64("_id", F.lit(23)).alias("_h")), "toxic-labels")
     totals = {r._y: r.n for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not totals:
-        return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.5).alias("score"), F.lit(None).cast("array<struct<doc_id:bigint,similarity:double>>").alias("evidence"))
+        return docs.select("doc_id", F.lit(0.5).alias("score"), F.lit(None).cast(kind).alias("evidence"))
     chosen = known.where("_y = 1").orderBy("_h", "_id").limit(fit_rows).unionByName(known.where("_y = 0").orderBy("_h", "_id").limit(fit_rows))
     chosen = materialize(chosen, "toxic-sample")  # at most 2 * fit_rows rows
-    sampled = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("_y", F.col(text).alias("text"))
+    mine_of = lambda df, *cols: df.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.first("_y").alias("_y"), F.min(F.struct(*cols)).alias("own")).select("doc_id", "_y", "own.*")
+    sampled = mine_of(docs, "text").select("_y", "text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,7 +411,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     sampled = materialize(sampled.mapInArrow(lean(marked), "_y int, text string, near long"), "toxic-texts")
     vocabulary = chosen_terms(sampled.dropDuplicates(["near"]).select("_y", "text")) or chosen_terms(sampled.select("_y", "text"))
 
-    slim = materialize(term_counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), vocabulary), "toxic-terms")
+    slim = materialize(term_counts(docs, vocabulary), "toxic-terms")
     seen = {r.term: r.n for r in slim.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     rows = slim.count()
     idf = np.array([np.log((rows + 1) / (seen.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))])
@@ -337,57 +424,44 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            texts = [x or "" for x in b.column(0).to_pylist()]
-            for lo, hi in parts(texts):
-                total += np.bincount(word_counts(texts[lo:hi])[0], minlength=BUCKETS)
+            for a in range(0, b.num_rows, 1000):  # a word is listed once a text
+                total += np.bincount(np.frombuffer(b"".join(b.column(0).slice(a, 1000).to_pylist()), "<i4"), minlength=BUCKETS)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["place", "n"])
 
     # at most BUCKETS rows
-    often = docs.select(F.col(text).alias("text")).mapInArrow(lean(frequencies), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    often = slim.select("place").mapInArrow(lean(frequencies), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     word_idf = np.full(BUCKETS, np.log(rows + 1) + 1, np.float32)
     word_idf[often.column("place").to_numpy()] = np.log((rows + 1) / (often.column("n").to_numpy() + 1)) + 1
 
-    def examined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(vocabulary)
-        for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for x in b.column(2).to_pylist():
-                place, n, _ = word_counts([x or ""])
-                out[0].append(np.array(match(x or ""), np.int64).tobytes())
-                out[1].append(place.tobytes())
-                out[2].append(n.astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(o, pa.binary()) for o in out]], names=["doc_id", "_y", "chosen", "place", "n"])
-
-    examples = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select(F.col(doc_id).alias("doc_id"), "_y", F.col(text).alias("text"))
-    examples = examples.mapInArrow(lean(examined), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, _y int, chosen binary, place binary, n binary").where("length(place) > 0").toArrow()
-    mine = sorted(set(zip(*[examples.column(c).to_pylist() for c in examples.column_names], strict=True)))
+    examples = mine_of(slim, "place", "n", "terms").where("length(place) > 0").toArrow()
+    whole = lambda x: np.frombuffer(x, "<i4").astype(np.int64)
+    mine = sorted(zip(*[examples.column(c).to_pylist() for c in ("doc_id", "_y", "place", "n", "terms")], strict=True), key=lambda r: r[0])
     each = {y: totals.get(y, 0) / max(1, min(fit_rows, totals.get(y, 0))) for y in (0, 1)}
+    bare = Model(vocabulary, idf, [], np.empty(0), np.empty(0), None, rate(False), rate(True), np.empty(0), np.empty(0), k, word_idf)
+    terms_in = lambda r: [(x["term"], x["n"]) for x in r[4]]
+    vectors = [bare.vector(terms_in(r), whole(r[2]), whole(r[3])) for r in mine]
+    order = side_by_side(vectors, BLOCK)
+    mine, vectors = [mine[i] for i in order], [vectors[i] for i in order]
     y, stands = np.array([r[1] for r in mine], float), np.array([each[r[1]] for r in mine])
-    m = Model(vocabulary, idf, [r[0] for r in mine], y, stands, None, rate(False), rate(True), np.empty(0), np.empty(0), k, word_idf)
-    whole = lambda x: np.frombuffer(x, np.int64)
-    vectors = [m.vector([tuple(x) for x in whole(r[2]).reshape(-1, 2).tolist()], whole(r[3]), whole(r[4])) for r in mine]
-    m.index = BlockMax.of(vectors, len(vocabulary) + BUCKETS)
-    some = np.flatnonzero([len(r[2]) > 0 for r in mine])
+    m = Model(vocabulary, idf, [r[0] for r in mine], y, stands, BlockMax.of_vectors(vectors, len(vocabulary) + BUCKETS), rate(False), rate(True), np.empty(0), np.empty(0), k, word_idf)
+    some = np.flatnonzero([len(r[4]) > 0 for r in mine])
     test = np.random.default_rng(1).permutation(some)[:CALIBRATE]
     if len(test) >= 50:
-        m.votes, m.rates = pooled(np.array([m.vote(vectors[i], True, i)[0] for i in test]), y[test], stands[test])
+        near = m.index.nearest([vectors[i] for i in test], k + 1)
+        m.votes, m.rates = pooled(np.array([m.vote(x, True, i)[0] for x, i in zip(near, test, strict=True)]), y[test], stands[test])
     shared = spark.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        match = Matcher(m.vocabulary)
-        for b in batches:
-            scores, evidence = [], []
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            for lo, hi in parts(texts):
-                place, n, begin = word_counts(texts[lo:hi])
-                for i, x in enumerate(texts[lo:hi]):
-                    s, near = m.score(match(x), place[begin[i] : begin[i + 1]], n[begin[i] : begin[i + 1]])
-                    scores.append(min(1.0, max(0.0, s)))
-                    evidence.append([{"doc_id": m.ids[j], "similarity": v} for j, v in near[:3]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))], names=["doc_id", "score", "evidence"])
-
-    of = slim.schema["doc_id"].dataType.simpleString()
-    kind = "array<struct<doc_id:bigint,similarity:double>>"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {of}, score double, evidence {kind}")
+        for whole_batch in batches:
+            for a in range(0, whole_batch.num_rows, 1000):
+                b = whole_batch.slice(a, 1000)
+                texts = [([(x["term"], x["n"]) for x in c], whole(p), whole(n)) for c, p, n in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+                said = m.scores(texts)
+                scores = [min(1.0, max(0.0, v)) for v, _ in said]
+                evidence = [[{"doc_id": m.ids[j], "similarity": v} for j, v in near[:3]] for _, near in said]
+                found = pa.array(evidence, pa.list_(pa.struct([("doc_id", b.schema.field(0).type), ("similarity", pa.float64())])))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), found], names=["doc_id", "score", "evidence"])
+
+    return slim.mapInArrow(lean(run), f"doc_id {of}, score double, evidence {kind}")

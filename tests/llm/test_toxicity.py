@@ -3,20 +3,22 @@ import zlib
 import numpy as np
 
 from foldkeep.llm.queries import op5_toxicity
-from foldkeep.llm.toxicity import BlockMax, Matcher, choose_terms, fit_and_score, pooled, terms_of
+from foldkeep.llm.toxicity import BlockMax, Matcher, Model, choose_terms, fit_and_score, pooled, terms_of, word_counts
 
 
 def test_block_max_neighbours_equal_brute_force():
     rng = np.random.default_rng(0)
     vocabulary = 40
     dense = rng.random((500, vocabulary)) * (rng.random((500, vocabulary)) < 0.1)
+    dense[:, 20:] *= rng.random((500, 20)) < 0.05  # some terms are rare
     dense[:50] = dense[50:100]  # ties
-    dense[np.arange(500), rng.integers(0, vocabulary, 500)] += 0.1
+    dense[np.arange(500), rng.integers(0, 20, 500)] += 0.1
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     vectors = [(np.flatnonzero(r), r[r > 0]) for r in dense]
-    index = BlockMax.of(vectors, vocabulary)
-    for q in dense[::17]:
-        got, sims = index.nearest(np.flatnonzero(q), q[q > 0], 12)
+    index = BlockMax.of_vectors(vectors, vocabulary)
+    assert 0 < len(index.long) and len(index.terms) > 0
+    queries = dense[::17]
+    for q, (got, sims) in zip(queries, index.nearest([(np.flatnonzero(q), q[q > 0]) for q in queries], 12), strict=True):
         exact = dense @ q
         want = [i for i in np.lexsort((np.arange(500), -np.round(exact, 9))) if exact[i] > 0][:12]
         assert got.tolist() == want and np.allclose(sims, exact[want])
@@ -77,3 +79,36 @@ def test_copies_of_examples_without_chosen_terms_are_found(spark):
     assert got[401].score > 0.5 and got[402].score > 0.5 and got[403].score < 0.2
     assert all(got[i].evidence[0].doc_id == 400 for i in (401, 402)) and got[401].evidence[0].similarity > 0.999
     assert all(got[i].evidence for i, _ in good)
+
+
+def test_scores_equal_a_plain_vote(spark):
+    """The query's scores by full cosines over dictionaries, without an index, from the same model."""
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(r.choice(words, r.integers(3, 40)).tolist() + (["vile"] * int(r.integers(1, 3)) if i % 3 == 0 else []))) for i in range(240)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in rows] + [(None, "")], "doc_id string, text string")
+    labels = spark.createDataFrame([(str(i), int(i % 3 == 0)) for i in range(160)], "doc_id string, toxic int")
+    kept = []
+    real = spark.sparkContext.broadcast
+    try:
+        spark.sparkContext.broadcast = lambda x: (kept.append(x), real(x))[1]
+        got = {x.doc_id: x for x in fit_and_score(docs, labels).collect()}
+    finally:
+        del spark.sparkContext.broadcast
+    m = next(x for x in kept if isinstance(x, Model))
+    match, text = Matcher(m.vocabulary), dict((str(i), t) for i, t in rows)
+
+    def vector(t):
+        place, n, _ = word_counts([t])
+        return dict(zip(*[x.tolist() for x in m.vector(match(t), place, n)], strict=True)), bool(match(t))
+
+    own = [vector(text[i])[0] for i in m.ids]
+    for i, t in text.items():
+        v, chosen = vector(t)
+        sims = [sum(w * o[k] for k, w in v.items() if k in o) for o in own]
+        near = sorted((j for j in range(len(own)) if sims[j] > 0), key=lambda j: (-round(sims[j], 9), j))[: m.k]
+        w = [min(sims[j], 1.0) ** (2 if chosen else 6) / (1.05 - min(sims[j], 1.0)) * m.stands_for[j] for j in near]
+        base = 0.2 * m.stands_for.mean()
+        vote = (sum(a * m.labels[j] for a, j in zip(w, near, strict=True)) + base * (m.rate if chosen else m.prior)) / (sum(w) + base)
+        want = max(vote, m.prior) if not chosen else float(np.interp(vote, m.votes, m.rates)) if len(m.votes) else vote
+        assert abs(got[i].score - want) < 1e-6 and [e.doc_id for e in got[i].evidence] == [m.ids[j] for j in near[:3]]

@@ -40,7 +40,7 @@ def deltas(log: DataFrame) -> DataFrame:
     op, ms = op_of(F.col("_ttl_code")), F.coalesce("_ttl_ms", F.lit(0))
     intent = F.when(F.col("_ttl_code").isNull(), "unchanged").when(op.isin("PEXPIREAT", "SET") & (ms > 0), "set").otherwise("cleared")
     return out.select(
-        "key", "type",
+        "shard", "key", "type",
         ((F.col("reset_op") == "DEL") & (F.size(adds) == 0)).alias("tombstone"), F.col("reset_seq").isNotNull().alias("delete_all"), intent.alias("ttl_intent"),
         F.when(intent == "set", ms).otherwise(F.lit(0)).cast("bigint").alias("abs_ttl_ms"), adds.alias("adds"),
         F.when(F.col("reset_seq").isNull(), removes).otherwise(F.expr("cast(array() as array<string>)")).alias("removes"),
@@ -67,6 +67,14 @@ def emitted(delta: DataFrame) -> DataFrame:
     return delta.select("key", F.posexplode(body).alias("ord", "w")).select("key", "ord", "w.*")
 
 
+def expired_as_deletes(delta: DataFrame, now_ms: int) -> DataFrame:
+    """Deltas at an instant: those whose key has expired by then are flushed as its deletion, whatever they hold."""
+    gone = (F.col("ttl_intent") == "set") & (F.col("abs_ttl_ms") <= now_ms)
+    empty = lambda c: F.when(gone, F.slice(c, 1, 0)).otherwise(F.col(c)).alias(c)
+    new = {"tombstone": (F.col("tombstone") | gone).alias("tombstone"), "delete_all": (F.col("delete_all") | gone).alias("delete_all"), "adds": empty("adds"), "removes": empty("removes")}
+    return delta.select(*[new.get(c, F.col(c)) for c in delta.columns])
+
+
 def flush_at(first_seen_ms: Column, last_modified_ms: Column, eviction_s: Column, quiet_s: int, safety_s: int) -> Column:
     """``struct(at_ms, reason)`` of a buffered key's next flush: quiet for long enough, or just before its eviction."""
     quiet = last_modified_ms + quiet_s * 1000

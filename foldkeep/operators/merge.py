@@ -16,20 +16,19 @@ def merge(element: DataFrame, meta: DataFrame, delta: DataFrame) -> tuple[DataFr
 
     A delta with ``delete_all`` needs no base, nor does one of another type than
     the base's (its key's elements of other types go). Keys without elements
-    are gone. Untouched keys pass through one anti-join.
+    are gone. Untouched keys pass through one anti-join. New keys lie in their
+    delta's shard. Deltas are read several times, so hand in a written table.
     """
-    d = delta.select("key", F.col("type").alias("_t"), "tombstone", "delete_all", "ttl_intent", F.col("abs_ttl_ms").alias("_ttl"), "adds", "removes", "last_seq")
+    d = delta.select("shard", "key", F.col("type").alias("_t"), "tombstone", "delete_all", "ttl_intent", F.col("abs_ttl_ms").alias("_ttl"), "adds", "removes", "last_seq")
     rules = d.select("key", "_t", (F.col("tombstone") | F.col("delete_all")).alias("_all"))
-    adds = d.where("not tombstone").select("key", F.col("_t").alias("type"), F.explode("adds").alias("a")).select("key", "type", "a.*")
+    adds = d.where("not tombstone").select("shard", "key", F.col("_t").alias("type"), F.explode("adds").alias("a")).select("shard", "key", "type", "a.*")
     removes = d.select("key", F.explode("removes").alias("elem"))
     # a string has one element, without a name
     named = lambda c: F.coalesce(c, F.lit(""))
     dropped = removes.union(adds.select("key", named(F.col("elem")).alias("elem"))).select("key", F.col("elem").alias("_elem"), F.lit(True).alias("_gone"))
     base = element.join(rules, "key", "left").where("_all is null or (not _all and type = _t)").drop("_t", "_all")
     base = base.withColumn("_elem", named(F.col("elem"))).join(dropped.distinct(), ["key", "_elem"], "left_anti").drop("_elem")
-    shards = meta.select("key", "shard")
-    new = adds.join(shards, "key", "left").select("shard", "key", "type", "elem", "val", "score")
-    out = base.select("shard", "key", "type", "elem", "val", "score").unionByName(new)
+    out = base.select("shard", "key", "type", "elem", "val", "score").unionByName(adds.select("shard", "key", "type", "elem", "val", "score"))
     kept = meta.select("key", F.col("abs_ttl_ms").alias("_base"), F.col("latest_seq").alias("_seq"), F.col("type").alias("_bt"))
     ttl = d.join(kept, "key", "full_outer").select(
         "key",

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldkeep.functions.values import in_lex_range, in_score_range, is_live, lex_bound, score_bound, score_text, ttl_reply
+from foldkeep.functions.values import in_lex_range, in_score_range, is_live, lex_bound, next_prefix, score_bound, score_text, ttl_reply
 from foldkeep.schema import BAD_SCORE_RANGE, WRONGTYPE
 
 
@@ -52,6 +52,13 @@ def _members(ks: Keyspace, reqs: DataFrame, kind: str) -> DataFrame:
     return reqs.join(ks.live().where(F.col("_type") == kind), "key").join(e, "key")
 
 
+def prefix_scan(ks: Keyspace, prefix: str) -> DataFrame:
+    """``key, type, cardinality`` of the live keys that begin with ``prefix``: a range of keys, which file statistics prune."""
+    live = ks.live().where(F.col("key") >= prefix)
+    end = next_prefix(prefix)
+    return (live if end is None else live.where(F.col("key") < end)).select("key", F.col("_type").alias("type"), "cardinality")
+
+
 def get(ks: Keyspace, reqs: DataFrame) -> DataFrame:
     e = ks.elements().where("_etype = 'string'").withColumnRenamed("key", "_key")
     return ks.found(reqs).join(e, (F.col("key") == F.col("_key")) & (F.col("_type") == "string"), "left").select("req_id", F.col("_val").alias("val"), wrong("string"))
@@ -143,13 +150,22 @@ def _order(rev: bool, lex: bool = False) -> Window:
 def zrange_index(ks: Keyspace, reqs: DataFrame, rev: bool = False) -> DataFrame:
     """ZRANGE by rank for requests with ``start`` and ``stop`` (inclusive, negative from the end): ``req_id, rank, elem, score``.
 
-    The size of a key comes from metadata, so ranks from the end need no second
-    pass; a limit on the rank is pushed below the shuffle.
+    Members are ranked once a key, however many requests ask for it; the size of
+    a key comes from metadata, so ranks from the end are counted from there.
     """
-    r = _members(ks, reqs, "zset").withColumn("_n", F.col("cardinality"))
+    r = reqs.join(ks.live().where("_type = 'zset'"), "key").withColumn("_n", F.col("cardinality"))
     at = lambda c: F.when(F.col(c) < 0, F.col(c) + F.col("_n")).otherwise(F.col(c))
-    ranked = r.withColumn("rank", (F.row_number().over(_order(rev)) - 1).cast("bigint"))
-    return ranked.where((F.col("rank") >= at("start")) & (F.col("rank") <= at("stop"))).select("req_id", "rank", F.col("_elem").alias("elem"), F.col("_score").alias("score"))
+    low, high = (F.col("_n") - 1 - at("stop"), F.col("_n") - 1 - at("start")) if rev else (at("start"), at("stop"))
+    r = r.select("req_id", F.col("key").alias("_key"), "_n", low.alias("_low"), high.alias("_high"))
+    found = r.join(_ranked(ks, r), (F.col("_key") == F.col("key")) & F.col("_rank").between(F.col("_low"), F.col("_high")))
+    rank = F.col("_n") - 1 - F.col("_rank") if rev else F.col("_rank")
+    return found.select("req_id", rank.cast("bigint").alias("rank"), F.col("_elem").alias("elem"), F.col("_score").alias("score"))
+
+
+def _ranked(ks: Keyspace, asked: DataFrame) -> DataFrame:
+    """The members of the sorted sets that are asked for (``_key``) with their ``_rank``, by one window over each key."""
+    e = ks.elements().where("_etype = 'zset'").join(asked.select(F.col("_key").alias("key")).distinct(), "key", "left_semi")
+    return e.withColumn("_rank", (F.row_number().over(Window.partitionBy("key").orderBy("_score", "_elem")) - 1).cast("bigint"))
 
 
 def _limited(rows: DataFrame, order: Window, offset: int, count: int) -> DataFrame:
@@ -194,12 +210,12 @@ def zlexcount(ks: Keyspace, reqs: DataFrame) -> DataFrame:
 
 
 def zrank(ks: Keyspace, reqs: DataFrame, rev: bool = False) -> DataFrame:
-    """ZRANK, ZREVRANK: the number of members before the one asked for, counted rather than sorted; null if it is absent."""
-    me = _point(ks, reqs, "zset", "elem").where(F.col("_elem").isNotNull()).select("req_id", "key", F.col("_score").alias("_s"), F.col("_elem").alias("_e"))
-    other = ks.elements().where("_etype = 'zset'").select("key", "_elem", "_score")
-    before = (F.col("_score") > F.col("_s")) | ((F.col("_score") == F.col("_s")) & (F.col("_elem") > F.col("_e"))) if rev else (F.col("_score") < F.col("_s")) | ((F.col("_score") == F.col("_s")) & (F.col("_elem") < F.col("_e")))
-    n = me.join(other, "key").groupBy("req_id").agg(F.sum(before.cast("bigint")).alias("rank"))
-    return reqs.select("req_id").join(n, "req_id", "left")
+    """ZRANK, ZREVRANK: members are ranked once a key; null if the key or the member is absent."""
+    r = reqs.select("req_id", F.col("key").alias("_key"), F.col("elem").alias("_e"))
+    live = ks.live().where("_type = 'zset'").select(F.col("key").alias("_key"), "cardinality")
+    found = r.join(live, "_key").join(_ranked(ks, r), (F.col("_key") == F.col("key")) & (F.col("_e") == F.col("_elem")))
+    rank = F.col("cardinality") - 1 - F.col("_rank") if rev else F.col("_rank")
+    return reqs.select("req_id").join(found.select("req_id", rank.cast("bigint").alias("rank")), "req_id", "left")
 
 
 def with_scores(rows: DataFrame, rev: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ META = "shard int, key string, type string, abs_ttl_ms long, cardinality long, l
 REQUESTS = "req_id long, at_ms long, args array<string>"
 REPLIES = "req_id long, kind string, i long, s string, arr array<string>, err string"
 DELTA = (
-    "key string, type string, tombstone boolean, delete_all boolean, ttl_intent string, abs_ttl_ms long, "
+    "shard int, key string, type string, tombstone boolean, delete_all boolean, ttl_intent string, abs_ttl_ms long, "
     "adds array<struct<elem:string,val:string,score:double>>, removes array<string>, first_seq long, last_seq long, write_count long"
 )
 

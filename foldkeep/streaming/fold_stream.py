@@ -61,9 +61,8 @@ class FoldStream:
         # a flush in the tail wipes its shard's base; the table of floors has a row a shard at most
         flushed = rows.where("op = 'FLUSH'").select("shard").distinct()
         element, meta = (t.join(F.broadcast(flushed), "shard", "left_anti").select(t.columns) for t in (element, meta))
-        own = rows.where("key is not null").select("key", F.col("shard").alias("_s")).distinct()
         element, meta = merge(element, meta, materialize(deltas(rows), "stream-delta"))
-        placed = lambda t, schema: t.join(own, "key", "left").withColumn("shard", F.coalesce("shard", "_s")).select(*[c.split()[0] for c in schema.split(", ")])
+        placed = lambda t, schema: t.select(*[c.split()[0] for c in schema.split(", ")])
         return placed(element, ELEMENT), placed(meta, META)
 
     def rebase(self) -> None:

@@ -36,41 +36,51 @@ def _count(text: bytes, most: int) -> int:
     return int(text)
 
 
-def decode_frame(data: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
-    """One value and the place after it: bytes, int, None, lists, ``("simple", s)`` or ``("error", s)``."""
-    if depth > MOST_DEPTH:
-        raise Malformed("nested too deeply")
+def _one(data: bytes, at: int) -> tuple[str, object, int]:
+    """What begins at a place: a whole value, or an array with so many elements to come."""
     if at >= len(data):
         raise Incomplete
     kind, (line, at) = data[at : at + 1], _line(data, at + 1)
-    if kind == b"+":
-        return ("simple", line.decode("utf-8", "replace")), at
-    if kind == b"-":
-        return ("error", line.decode("utf-8", "replace")), at
+    if kind in b"+-":
+        return "value", ("simple" if kind == b"+" else "error", line.decode("utf-8", "replace")), at
     if kind == b":":
-        body = line[1:] if line[:1] in (b"-", b"+") else line
-        if not body.isdigit() or not -(1 << 63) <= int(line) < 1 << 63:
+        digits = line[1:] if line[:1] in (b"-", b"+") else line
+        if not digits.isdigit() or not -(1 << 63) <= int(line) < 1 << 63:
             raise Malformed("invalid integer")
-        return int(line), at
-    if kind == b"$":
-        n = _count(line, MOST_BULK)
-        if n < 0:
-            return None, at
-        if at + n + 2 > len(data):
-            raise Incomplete
-        if data[at + n : at + n + 2] != b"\r\n":
-            raise Malformed("bulk string without its end")
-        return data[at : at + n], at + n + 2
+        return "value", int(line), at
+    if kind not in b"$*":
+        raise Malformed(f"unknown type {kind!r}")
+    n = _count(line, MOST_BULK if kind == b"$" else MOST_ELEMENTS)
+    if n < 0:
+        return "value", None, at
     if kind == b"*":
-        n = _count(line, MOST_ELEMENTS)
-        if n < 0:
-            return None, at
-        out = []
-        for _ in range(n):
-            v, at = decode_frame(data, at, depth + 1)
-            out.append(v)
-        return out, at
-    raise Malformed(f"unknown type {kind!r}")
+        return "array", n, at
+    if at + n + 2 > len(data):
+        raise Incomplete
+    if data[at + n : at + n + 2] != b"\r\n":
+        raise Malformed("bulk string without its end")
+    return "value", data[at : at + n], at + n + 2
+
+
+def decode_frame(data: bytes, at: int = 0) -> tuple[object, int]:
+    """One value and the place after it: bytes, int, None, lists, ``("simple", s)`` or ``("error", s)``. Nesting takes no recursion."""
+    nested: list[tuple[list, int]] = []  # the arrays that are open, and the number of their elements
+    while True:
+        what, v, at = _one(data, at)
+        if what == "array" and len(nested) >= MOST_DEPTH:
+            raise Malformed("nested too deeply")
+        if what == "array" and v:
+            nested.append(([], v))
+            continue
+        done = [] if what == "array" else v
+        while nested:
+            items, n = nested[-1]
+            items.append(done)
+            if len(items) < n:
+                break
+            done = nested.pop()[0]
+        else:
+            return done, at
 
 
 def inline_tokens(line: bytes) -> list[bytes]:
@@ -147,21 +157,32 @@ def decode_commands(data: bytes) -> Iterator[tuple[list[bytes] | None, str | Non
             return
 
 
+def _text(args: list[bytes] | None, err: str | None) -> tuple[list[str] | None, list[bytes] | None, str | None]:
+    try:
+        return None if args is None else [x.decode() for x in args], args, err
+    except UnicodeDecodeError:
+        return None, args, "ERR arguments must be UTF-8 text"
+
+
 def read_commands(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """``path, pos, args, err`` of the commands in each file of a ``binaryFile`` table (arguments as text)."""
+    """``path, pos, args, raw, err`` of the commands in each file of a ``binaryFile`` table: arguments as text, and as bytes.
+
+    Arguments that are no UTF-8 have no text: the row has an ``err`` instead of
+    ``args``, so that different keys never become one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(i, None if v is None else [x.decode("utf-8", "replace") for x in v], e) for i, (v, e) in enumerate(decode_commands(data or b""))]
+                rows = [(i, *_text(v, e)) for i, (v, e) in enumerate(decode_commands(data or b""))]
                 for a in range(0, len(rows), 10_000):
                     part = rows[a : a + 10_000]
                     yield pa.RecordBatch.from_pydict({
                         "path": pa.array([name] * len(part), pa.string()), "pos": pa.array([r[0] for r in part], pa.int64()),
-                        "args": pa.array([r[1] for r in part], pa.list_(pa.string())), "err": pa.array([r[2] for r in part], pa.string()),
+                        "args": pa.array([r[1] for r in part], pa.list_(pa.string())), "raw": pa.array([r[2] for r in part], pa.list_(pa.binary())), "err": pa.array([r[3] for r in part], pa.string()),
                     })
 
-    return files.select(path, content).mapInArrow(run, "path string, pos long, args array<string>, err string")
+    return files.select(path, content).mapInArrow(run, "path string, pos long, args array<string>, raw array<binary>, err string")
 
 
 def encode_command(args: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foldkeep.functions import routing, values
 from foldkeep.operators import compact, merge, reads, ttl, writes
-from foldkeep.operators.fold import fold, gaps, log_clock, packed
+from foldkeep.operators.fold import fold, gaps, log_clock, misplaced, packed
 from foldkeep.operators.reads import Keyspace
 from foldkeep.plans import parse, registry
 from foldkeep.sources import log as logs
@@ -68,7 +68,7 @@ def as_log(rows: DataFrame, op: Column, replaces: Column | bool = False, elem: s
 
 def strings(spark: SparkSession, sf: str) -> Keyspace:
     """Users' last values, as strings."""
-    return Keyspace(*fold(as_log(events(spark, sf), F.lit("SET"), True, elem=None, val="val")), now_ms=NOW)
+    return Keyspace(*fold(as_log(events(spark, sf), F.lit("SET"), True, elem=None, val="val"), written=True), now_ms=NOW)
 
 
 def first_of_key() -> Column:
@@ -78,19 +78,19 @@ def first_of_key() -> Column:
 def brands(spark: SparkSession, sf: str) -> Keyspace:
     """Parts by brand, scored by retail price."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("key"), F.col("p_partkey").cast("string").alias("elem"), F.col("p_retailprice").alias("score"), F.lit(0).cast("long").alias("at_ms"))
-    return Keyspace(*fold(as_log(p.withColumn("_f", first_of_key()), F.lit("ZADD"), F.col("_f"), score="score")))
+    return Keyspace(*fold(as_log(p.withColumn("_f", first_of_key()), F.lit("ZADD"), F.col("_f"), score="score"), written=True))
 
 
 def nations(spark: SparkSession, sf: str) -> Keyspace:
     """Customers as members of their nation's set."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").cast("string").alias("key"), F.col("c_custkey").cast("string").alias("elem"), F.lit(0).cast("long").alias("at_ms"))
-    return Keyspace(*fold(as_log(c.withColumn("_f", first_of_key()), F.lit("SADD"), F.col("_f"))))
+    return Keyspace(*fold(as_log(c.withColumn("_f", first_of_key()), F.lit("SADD"), F.col("_f")), written=True))
 
 
 def customers(spark: SparkSession, sf: str) -> Keyspace:
     """Customers as hashes of their name, segment and nation."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_custkey").cast("string").alias("key"), F.expr("stack(3, 'c_name', c_name, 'c_mktsegment', c_mktsegment, 'c_nationkey', cast(c_nationkey as string)) as (elem, val)"), F.lit(0).cast("long").alias("at_ms"))
-    return Keyspace(*fold(as_log(c, F.lit("HSET"), True, val="val")))
+    return Keyspace(*fold(as_log(c, F.lit("HSET"), True, val="val"), written=True))
 
 
 HASHES = "SELECT CAST(c_custkey AS VARCHAR) AS key, unnest(['c_name', 'c_mktsegment', 'c_nationkey']) AS elem, unnest([c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS val FROM customer"
@@ -160,9 +160,9 @@ def exists_count(spark, sf):
     return reads.exists(strings(spark, sf), literal(spark, [(1, KEYS)], "req_id int, keys array<string>"))
 
 
-@query("SELECT o_orderkey AS req_id, CAST(o_custkey IN (SELECT c_custkey FROM customer) AS BIGINT) AS n FROM orders")
+@query("SELECT o_orderkey AS req_id, CAST(o_custkey * 2 IN (SELECT c_custkey FROM customer) AS BIGINT) AS n FROM orders")
 def exists_semi(spark, sf):
-    reqs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("req_id"), F.array(F.col("o_custkey").cast("string")).alias("keys"))
+    reqs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("req_id"), F.array((F.col("o_custkey") * 2).cast("string")).alias("keys"))
     return reads.exists(customers(spark, sf), reqs)
 
 
@@ -187,9 +187,9 @@ def msetnx_batches(spark, sf):
 # --- deletion, types, expiry -------------------------------------------------
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 16 = 0)")
 def del_anti(spark, sf):
-    return writes.delete(customers(spark, sf).meta, table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("key"))).select("key")
+    return writes.delete(customers(spark, sf).meta, table(spark, sf, "orders").where("o_orderkey % 16 = 0").select(F.col("o_custkey").cast("string").alias("key"))).select("key")
 
 
 @query("SELECT CAST(o_orderdate::DATE AS VARCHAR) AS req_id, count(DISTINCT o_custkey) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1 UNION ALL SELECT CAST(o_orderdate::DATE AS VARCHAR), 0 FROM orders GROUP BY 1 HAVING count(*) FILTER (o_custkey IN (SELECT c_custkey FROM customer)) = 0")
@@ -272,9 +272,9 @@ def sadd_new(spark, sf):
     return writes.sadd(nations(spark, sf).element.select("key", "elem"), adds)[1]
 
 
-@query("SELECT CAST(c_nationkey AS VARCHAR) AS key, CAST(c_custkey AS VARCHAR) AS elem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS key, CAST(c_custkey AS VARCHAR) AS elem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 16 = 0)")
 def srem_set(spark, sf):
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderkey % 16 = 0")
     gone = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_nationkey").cast("string").alias("key"), F.col("o_custkey").cast("string").alias("elem"))
     return writes.remove(nations(spark, sf).element.select("key", "elem"), gone)[0]
 
@@ -373,14 +373,14 @@ def _bounds(spark, sf, low, high):
     return each_key(table(spark, sf, "part"), "p_brand").withColumn("min", F.lit(low)).withColumn("max", F.lit(high))
 
 
-@query(f"SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY score, elem) - 1 AS BIGINT) AS rank, elem, score FROM ({_ranked(ASC)}) WHERE score > 1200 AND score <= 1500")
+@query(f"SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY score, elem) - 1 AS BIGINT) AS rank, elem, score FROM ({_ranked(ASC)}) WHERE score > 940 AND score <= 960")
 def zrangebyscore_excl(spark, sf):
-    return reads.zrange_score(brands(spark, sf), _bounds(spark, sf, "(1200", "1500")).select(F.col("req_id").alias("key"), "rank", "elem", "score")
+    return reads.zrange_score(brands(spark, sf), _bounds(spark, sf, "(940", "960")).select(F.col("req_id").alias("key"), "rank", "elem", "score")
 
 
-@query(f"SELECT key, r AS rank, elem, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, elem DESC) - 3 AS BIGINT) AS r FROM ({_ranked(ASC)}) WHERE score >= 1000) WHERE r BETWEEN 0 AND 3")
+@query(f"SELECT key, r AS rank, elem, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, elem DESC) - 3 AS BIGINT) AS r FROM ({_ranked(ASC)}) WHERE score >= 950) WHERE r BETWEEN 0 AND 3")
 def zrangebyscore_rev_limit(spark, sf):
-    return reads.zrange_score(brands(spark, sf), _bounds(spark, sf, "+inf", "1000"), rev=True, offset=2, count=4).select(F.col("req_id").alias("key"), "rank", "elem", "score")
+    return reads.zrange_score(brands(spark, sf), _bounds(spark, sf, "+inf", "950"), rev=True, offset=2, count=4).select(F.col("req_id").alias("key"), "rank", "elem", "score")
 
 
 @query(f"SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY elem) - 1 AS BIGINT) AS rank, elem FROM ({_ranked(ASC)}) WHERE elem >= '12' AND elem < '3'")
@@ -388,10 +388,10 @@ def zrangebylex(spark, sf):
     return reads.zrange_lex(brands(spark, sf), _bounds(spark, sf, "[12", "(3")).select(F.col("req_id").alias("key"), "rank", "elem")
 
 
-@query("SELECT b.p_brand AS key, (SELECT count(*) FROM part p WHERE p.p_brand = b.p_brand AND p_retailprice > 1100 AND p_retailprice < 1400) AS n, (SELECT count(*) FROM part p WHERE p.p_brand = b.p_brand AND CAST(p_partkey AS VARCHAR) >= '15') AS nlex FROM (SELECT DISTINCT p_brand FROM part) b")
+@query("SELECT b.p_brand AS key, (SELECT count(*) FROM part p WHERE p.p_brand = b.p_brand AND p_retailprice > 930 AND p_retailprice < 970) AS n, (SELECT count(*) FROM part p WHERE p.p_brand = b.p_brand AND CAST(p_partkey AS VARCHAR) >= '15') AS nlex FROM (SELECT DISTINCT p_brand FROM part) b")
 def zcount_zlexcount(spark, sf):
     ks = brands(spark, sf)
-    a = reads.zcount(ks, _bounds(spark, sf, "(1100", "(1400"))
+    a = reads.zcount(ks, _bounds(spark, sf, "(930", "(970"))
     b = reads.zlexcount(ks, _bounds(spark, sf, "[15", "+")).withColumnRenamed("n", "nlex")
     return a.join(b, "req_id").select(F.col("req_id").alias("key"), "n", "nlex")
 
@@ -499,7 +499,17 @@ def flush_floor(spark, sf):
     return fold(log)[0].select("key", F.col("val").cast("double").alias("value"))
 
 
-@query(None)
+def _slot_sql(key: str) -> str:
+    """The slot of an ASCII key: CRC16 of its hash tag, bit by bit."""
+    tag = f"CASE WHEN regexp_extract({key}, '^[^{{]*[{{]([^}}]+)[}}]', 1) <> '' THEN regexp_extract({key}, '^[^{{]*[{{]([^}}]+)[}}]', 1) ELSE {key} END"
+    bit = "list_reduce(list_prepend(xor(crc, b << 8), range(8)), lambda x, i: CASE WHEN x & 32768 > 0 THEN xor(x << 1, 4129) & 65535 ELSE (x << 1) & 65535 END)"
+    return f"CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({tag}, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b: {bit}) % 16384 AS INTEGER)"
+
+
+SEGMENT = "SELECT '{' || c_mktsegment || '}:' || c_custkey AS key FROM customer"
+
+
+@query(f"SELECT key, {_slot_sql('key')} AS slot, CAST({_slot_sql('key')} * 64 // 16384 AS INTEGER) AS shard FROM ({SEGMENT})")
 def slot_shard(spark, sf):
     k = table(spark, sf, "customer").select(F.concat(F.lit("{"), F.col("c_mktsegment"), F.lit("}:"), F.col("c_custkey").cast("string")).alias("key"))
     return k.select("key", routing.slot(F.col("key")).alias("slot"), routing.shard(F.col("key"), 64).alias("shard"))
@@ -510,7 +520,19 @@ def cluster_slots(spark, sf):
     return routing.cluster_slots(spark, 10)
 
 
-@query(None)
+@query(f"SELECT c_custkey AS id, CAST({_slot_sql('c_mktsegment || c_custkey')} * 64 // 16384 AS INTEGER) % 4 <> CAST({_slot_sql('CAST(c_custkey AS VARCHAR)')} * 64 // 16384 AS INTEGER) % 4 AS crosses FROM customer")
+def cross_log_keys(spark, sf):
+    k = F.array(F.concat("c_mktsegment", F.col("c_custkey").cast("string")), F.col("c_custkey").cast("string"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), routing.crosses_logs(k, 64, 4).alias("crosses"))
+
+
+@query(f"SELECT key, shard FROM (SELECT CAST(user_id AS VARCHAR) AS key, CAST(user_id % 8 AS INTEGER) AS shard, {_slot_sql('CAST(user_id AS VARCHAR)')} * 8 // 16384 AS own FROM events) WHERE shard <> own GROUP BY ALL")
+def misplaced_rows(spark, sf):
+    log = as_log(events(spark, sf), F.lit("SET"), True).withColumn("shard", (F.col("key").cast("long") % 8).cast("int"))
+    return misplaced(log, 8).select("key", "shard").distinct()
+
+
+@query(f"SELECT {_slot_sql('CAST(c_custkey AS VARCHAR)')} AS slot, count(*) AS n FROM customer GROUP BY 1")
 def count_keys_in_slot(spark, sf):
     return customers(spark, sf).meta.groupBy(routing.slot(F.col("key")).alias("slot")).agg(F.count("*").alias("n"))
 
@@ -581,23 +603,23 @@ def buffer_over_cold(spark, sf):
     e = events(spark, sf)
     half = e.agg(F.floor(F.max("seq") / 2).alias("k")).first().k
     row = lambda x: as_log(x, F.lit("SET"), True, elem=None, val="val")
-    base = fold(row(e.where(F.col("seq") < half)))
-    element, meta = merge.merge(*base, compact.deltas(row(e.where(F.col("seq") >= half))))
+    base = fold(row(e.where(F.col("seq") < half)), written=True)
+    element, meta = merge.merge(*base, materialize(compact.deltas(row(e.where(F.col("seq") >= half))), "deltas"))
     return element.join(meta.select("key", "latest_seq"), "key").select("key", F.col("val").cast("double").alias("value"), "latest_seq")
 
 
 @query(f"WITH e AS ({EV}), {_last_effects('e')} SELECT key, elem FROM l WHERE add")
 def merge_sets(spark, sf):
     log = _typed_log(events(spark, sf))
-    base = fold(log.where("seq < 4000"))
-    return merge.merge(*base, compact.deltas(log.where("seq >= 4000")))[0].select("key", "elem")
+    base = fold(log.where("seq < 4000"), written=True)
+    return merge.merge(*base, materialize(compact.deltas(log.where("seq >= 4000")), "deltas"))[0].select("key", "elem")
 
 
 @query(f"WITH e AS ({EV}), {_last_effects('e')} SELECT key, count(*) AS n FROM l WHERE add GROUP BY key")
 def merge_cardinality(spark, sf):
     log = _typed_log(events(spark, sf))
-    element, meta = fold(log.where("seq < 4000"))
-    return merge.cardinality(element, meta, compact.deltas(log.where("seq >= 4000")))
+    element, meta = fold(log.where("seq < 4000"), written=True)
+    return merge.cardinality(element, meta, materialize(compact.deltas(log.where("seq >= 4000")), "deltas"))
 
 
 @query(f"WITH e AS ({EV}) SELECT key, arg_max(score, seq) AS value, CASE WHEN max(seq) >= 7000 THEN 0 WHEN max(seq) >= 3000 THEN 1 ELSE 2 END AS tier FROM e GROUP BY key")
@@ -614,6 +636,168 @@ def hit_tier(spark, sf):
     return merge.tier_hits(o, [keys.where("key % 10 = 0"), keys.where("key % 3 = 0")], ["hot", "cold"])
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, 'hash' AS type, 3::BIGINT AS cardinality FROM customer WHERE starts_with(CAST(c_custkey AS VARCHAR), '12')")
+def prefix_scan(spark, sf):
+    return reads.prefix_scan(customers(spark, sf), "12")
+
+
+@query(f"WITH e AS ({EV}) SELECT key, max(at_ms) // 1000 + 5 AS at FROM e GROUP BY key")
+def expiretime_seconds(spark, sf):
+    log = as_log(events(spark, sf), F.lit("SET"), True, elem=None, val="val", ttl_ms=F.col("at_ms") + 5000)
+    return reads.expiretime(Keyspace(*fold(log, written=True)), each_key(table(spark, sf, "events"), "user_id")).select(F.col("req_id").alias("key"), "at")
+
+
+@query(f"WITH e AS ({EV}) SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS BIGINT) AS pos, 'HSET' AS name, elem, CAST(seq AS VARCHAR) AS val FROM e")
+def resp_decode(spark, sf):
+    """Each user's events as a file of wire commands, decoded again."""
+    e = events(spark, sf).withColumn("wire", resp.encode_command(F.array(F.lit("HSET"), "key", "elem", F.col("seq").cast("string"))))
+    files = e.groupBy(F.col("key").alias("path")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "wire"))), lambda x: x["wire"]), "").cast("binary").alias("content"))
+    return resp.read_commands(files).select(F.col("path").alias("key"), "pos", F.col("args")[0].alias("name"), F.col("args")[2].alias("elem"), F.col("args")[3].alias("val"))
+
+
+def _halves(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Users' hashes of the last value by event type: the state of the earlier events, and the deltas of the later ones; an 'error' deletes 'click'."""
+    e = events(spark, sf)
+    log = as_log(e.withColumn("_f", first_of_key()), F.lit("HSET"), F.col("_f"), val="val")
+    log = log.unionByName(as_log(e.where("elem = 'error'").withColumn("elem", F.lit("click")), F.lit("HDEL")).withColumn("ord", F.lit(1)))
+    return *fold(log.where("seq < 4000"), written=True), materialize(compact.deltas(log.where("seq >= 4000")), "deltas")
+
+
+LAST = f"""WITH e AS ({EV}), x AS (SELECT key, seq, 0 AS ord, elem, score FROM e UNION ALL SELECT key, seq, 1, 'click', NULL FROM e WHERE elem = 'error'),
+l AS (SELECT key, elem, max(struct_pack(o := seq * 2 + ord, v := score)) AS m FROM x GROUP BY key, elem)"""
+
+
+@query(f"{LAST} SELECT r.key, l.m.v AS value FROM (SELECT DISTINCT key FROM e) r LEFT JOIN l ON l.key = r.key AND l.elem = 'click'")
+def read_through(spark, sf):
+    element, _, delta = _halves(spark, sf)
+    reqs = each_key(table(spark, sf, "events"), "user_id").withColumn("elem", F.lit("click")).withColumn("pos", F.lit(0))
+    return merge.member_reads(element, delta, reqs).select(F.col("req_id").alias("key"), F.col("val").cast("double").alias("value"))
+
+
+@query(f"WITH e AS ({EV}) SELECT key FROM e GROUP BY key HAVING min(seq) < 4000 AND max(seq) >= 4000")
+def needs_base(spark, sf):
+    return merge.needs_base(_halves(spark, sf)[2])
+
+
+@query(f"{LAST} SELECT key, 0 AS shard, count(*) AS fields FROM l WHERE m.v IS NOT NULL GROUP BY key")
+def merged_shards(spark, sf):
+    element, meta = merge.merge(*_halves(spark, sf))
+    return element.groupBy("key", "shard").agg(F.count("*").alias("fields")).join(meta.select("key", "shard"), ["key", "shard"])
+
+
+@query(f"""WITH e AS ({EV}), b AS (SELECT key, max(at_ms) + 5000 AS ttl FROM e WHERE seq < 4000 GROUP BY key),
+d AS (SELECT key, arg_max(CASE WHEN elem = 'error' THEN 0 ELSE at_ms + 9000 END, seq) AS ttl FROM e WHERE seq >= 4000 AND elem IN ('error', 'click') GROUP BY key)
+SELECT b.key, 'string' AS type, coalesce(d.ttl, b.ttl) AS abs_ttl_ms FROM b LEFT JOIN d USING (key)""")
+def metadata_merge(spark, sf):
+    """Expiry after later PERSIST and PEXPIREAT, from metadata alone."""
+    e = events(spark, sf)
+    _, meta = fold(as_log(e.where("seq < 4000"), F.lit("SET"), True, elem=None, val="val", ttl_ms=F.col("at_ms") + 5000))
+    later = e.where("seq >= 4000 and elem in ('error', 'click')")
+    op = F.when(F.col("elem") == "error", "PERSIST").otherwise("PEXPIREAT")
+    delta = compact.deltas(as_log(later, op, elem=None, ttl_ms=F.when(F.col("elem") == "click", F.col("at_ms") + 9000)))
+    known = meta.select("key")
+    return merge.merged_meta(meta, delta).join(known, "key", "left_semi").withColumn("type", F.coalesce("type", F.lit("string")))
+
+
+@query(f"""WITH e AS ({EV}), s AS (SELECT DISTINCT key FROM e WHERE seq >= 4000 AND elem = 'error')
+SELECT key, 'string' AS type, 1::BIGINT AS n FROM s UNION ALL SELECT key, 'set', count(DISTINCT elem) FROM e WHERE seq < 4000 AND key NOT IN (SELECT key FROM s) GROUP BY key""")
+def type_change(spark, sf):
+    """Sets over which some keys are set as strings."""
+    e = events(spark, sf)
+    base = fold(as_log(e.where("seq < 4000").withColumn("_f", first_of_key()), F.lit("SADD"), F.col("_f")), written=True)
+    delta = materialize(compact.deltas(as_log(e.where("seq >= 4000 and elem = 'error'"), F.lit("SET"), True, elem=None, val="val")), "deltas")
+    return merge.merge(*base, delta)[1].select("key", "type", F.col("cardinality").alias("n"))
+
+
+@query(f"WITH e AS ({EV}) SELECT key, 'string' AS type, 1::BIGINT AS adds, count(*) AS write_count FROM e GROUP BY key")
+def delta_keeps_type(spark, sf):
+    """Effects of another type than the last reset's are ignored."""
+    e = events(spark, sf).withColumn("_f", first_of_key())
+    log = as_log(e.where("_f"), F.lit("SET"), True, elem=None, val="val").unionByName(as_log(e.where("not _f"), F.lit("SADD")))
+    return compact.deltas(log).select("key", "type", F.size("adds").cast("bigint").alias("adds"), "write_count")
+
+
+@query(f"""WITH e AS ({EV}), {_last_effects('e')}, n AS (SELECT key, elem, row_number() OVER (PARTITION BY key ORDER BY elem) AS i, count(*) OVER (PARTITION BY key) AS n FROM l WHERE add)
+SELECT key, CAST(i AS INTEGER) AS ord, 'SADD' AS op, elem FROM n UNION ALL SELECT key, 0, 'DEL', NULL FROM n GROUP BY key UNION ALL SELECT key, CAST(max(n) + 1 AS INTEGER), 'PERSIST', NULL FROM n GROUP BY key""")
+def emit_replacing_sets(spark, sf):
+    """A collection that was created anew is emitted as DEL, its members, and its expiry."""
+    return compact.emitted(compact.deltas(_typed_log(events(spark, sf)))).select("key", "ord", "op", "elem")
+
+
+@query(f"WITH e AS ({EV}), s AS (SELECT key, max(at_ms) + 5000 AS t FROM e GROUP BY key), n AS (SELECT max(at_ms) - 86400000 AS now FROM e) SELECT key, CASE WHEN t <= now THEN 'DEL' ELSE 'SET' END AS op FROM s, n")
+def flush_expired_as_delete(spark, sf):
+    e = events(spark, sf)
+    now = e.agg(F.max("at_ms")).first()[0] - 86_400_000
+    d = compact.deltas(as_log(e, F.lit("SET"), True, elem=None, val="val", ttl_ms=F.col("at_ms") + 5000))
+    return compact.emitted(compact.expired_as_deletes(d, now)).select("key", "op")
+
+
+@query("WITH e AS (SELECT CAST(user_id % 4 AS INTEGER) AS shard, event_type, (epoch_us(ts) // 1000) AS at_ms FROM events) SELECT shard, coalesce(min(at_ms) FILTER (event_type = 'error' AND shard <> 3), max(at_ms)) AS clock_ms FROM e GROUP BY shard")
+def buffer_clock(spark, sf):
+    e = events(spark, sf).withColumn("shard", (F.col("key").cast("long") % 4).cast("int"))
+    return compact.buffer_clock(e.where("elem = 'error' and shard <> 3"), e)
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS id, least(max(event_id), min(event_id) FILTER (event_type = 'error') - 1, min(event_id) FILTER (event_type = 'click') - 1) AS frontier FROM events GROUP BY 1")
+def commit_frontier(spark, sf):
+    e = table(spark, sf, "events").groupBy(F.col("user_id").cast("long").alias("id")).agg(
+        F.max("event_id").alias("drained"), F.min(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("oldest"), F.min(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("poison")
+    )
+    none = F.lit(None).cast("long")
+    return e.select("id", compact.commit_frontier(F.col("drained"), F.col("oldest"), F.col("poison"), none, none).alias("frontier"))
+
+
+@query("SELECT CAST(user_id % 4 AS INTEGER) AS shard, count(DISTINCT user_id) AS keys FROM events WHERE event_id > 3000 GROUP BY 1")
+def flush_every_shard(spark, sf):
+    """A flush is one entry a shard; only what comes after it is left."""
+    log = as_log(events(spark, sf), F.lit("SET"), True, elem=None, val="val").withColumn("shard", (F.col("key").cast("long") % 4).cast("int"))
+    flush = logs.flush_rows(spark, 4, 0).withColumn("seq", F.lit(3000).cast("long"))
+    return fold(log.unionByName(flush, allowMissingColumns=True))[1].groupBy("shard").agg(F.count("*").alias("keys"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, 'hash' AS type, 0::BIGINT AS abs_ttl_ms, CAST(c_custkey AS BIGINT) AS latest_seq FROM customer WHERE c_custkey % 7 = 0")
+def stub_rows(spark, sf):
+    evicted = table(spark, sf, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("key"))
+    return ttl.stubs(customers(spark, sf).meta, evicted)
+
+
+@query("SELECT event_id AS key FROM events WHERE NOT (event_type = 'error' AND event_id <= 5000)")
+def tombstone_gc(spark, sf):
+    state = table(spark, sf, "events").select(F.col("event_id").alias("key"), (F.col("event_type") == "error").alias("tombstoned"), F.col("event_id").alias("latest_seq"))
+    return ttl.without_old_tombstones(state, 5000).select("key")
+
+
+@query("SELECT event_id AS key, CASE WHEN event_id % 5 = 0 THEN 'expire' WHEN event_type = 'error' AND event_id <= 5000 THEN 'drop_tombstone' ELSE 'keep' END AS action FROM events")
+def worker_pass(spark, sf):
+    state = table(spark, sf, "events").select(F.col("event_id").alias("key"), (F.col("event_type") == "error").alias("tombstoned"), F.col("event_id").alias("latest_seq"), F.when(F.col("event_id") % 5 == 0, F.lit(10)).otherwise(F.lit(0)).cast("long").alias("abs_ttl_ms"))
+    return ttl.worker_pass(state, 100, 5000)
+
+
+@query(f"WITH e AS ({EV}), t AS (SELECT key, max(at_ms) AS t, max(seq) AS s FROM e GROUP BY key), n AS (SELECT max(at_ms) - 86400000 AS now FROM e) SELECT key, t <= now AS expired FROM t, n")
+def sampled_expiry(spark, sf):
+    """A sample as large as the table is the table."""
+    e = events(spark, sf)
+    now = e.agg(F.max("at_ms")).first()[0] - 86_400_000
+    return ttl.sample_expired(fold(as_log(e, F.lit("SET"), True, elem=None, val="val", ttl_ms=F.col("at_ms")))[1], now, 1 << 30)
+
+
+@query(f"WITH e AS ({EV}), t AS (SELECT key, max(at_ms) AS t FROM e GROUP BY key), n AS (SELECT max(at_ms) - 86400000 AS now FROM e) SELECT key, t AS abs_ttl_ms FROM t, n WHERE NOT (t <= now AND CAST(key AS BIGINT) % 2 = 0)")
+def compare_and_delete(spark, sf):
+    """A sweep's keys go where their expiry is still the one that it saw; odd keys were given another meanwhile."""
+    e = events(spark, sf)
+    now = e.agg(F.max("at_ms")).first()[0] - 86_400_000
+    element, meta = fold(as_log(e, F.lit("SET"), True, elem=None, val="val", ttl_ms=F.col("at_ms")), written=True)
+    swept = ttl.expired(meta, now).select("key", (F.col("abs_ttl_ms") - F.when(F.col("key").cast("long") % 2 == 1, 1).otherwise(0)).alias("abs_ttl_ms"))
+    return ttl.compare_and_delete(element, meta, swept)[1].select("key", "abs_ttl_ms")
+
+
+@query("""WITH v AS (SELECT event_type AS series, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
+SELECT series, round(sum(value * CASE WHEN i = 1 THEN pow(0.75, n - 1) ELSE 0.25 * pow(0.75, n - i) END), 6) AS ewma FROM v GROUP BY series""")
+def moving_rate(spark, sf):
+    v = table(spark, sf, "events").select(F.col("event_type").alias("series"), "value", F.col("event_id").alias("at_ms"))
+    return ttl.ewma(v, 0.25).select("series", F.round("ewma", 6).alias("ewma"))
+
+
 # --- log -------------------------------------------------------------------------
 
 

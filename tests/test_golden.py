@@ -18,16 +18,34 @@ def column(spark, items, f, kind="string"):
     return [r[1] for r in spark.createDataFrame(list(enumerate(items)), f"i int, x {kind}").select("i", f(F.col("x"))).orderBy("i").collect()]
 
 
+def plain_crc16(data: bytes) -> int:
+    crc = 0
+    for byte in data:
+        crc ^= byte << 8
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return crc
+
+
 def test_routing(spark):
-    assert column(spark, ["123456789", "", "é"], routing.crc16)[:2] == [0x31C3, 0]
-    assert column(spark, ["foo", "bar", "{foo}bar", "x{foo}y"], routing.slot) == [12182, 5061, 12182, 12182]
-    assert column(spark, ["{user1000}.name", "{}foo", "{{nested}}", "{a}{b}", "{open", "a}b{c}"], routing.hashtag) == ["user1000", "{}foo", "{nested", "a", "{open", "c"]
-    policy = lambda k: routing.eviction_seconds(k, [("cache:", 600), ("cache:hot:", 60)], 3600)
-    assert column(spark, ["cache:hot:xyz", "cache:cold:xyz", "other:xyz"], policy) == [60, 600, 3600]
-    with pytest.raises(ValueError):
-        routing.check_policy(0, [])
-    crosses = spark.createDataFrame([(["{a}1", "{a}2"],), (["a", "b", "c", "d"],)], "k array<string>").select(routing.crosses_logs(F.col("k"), 64, 64)).collect()
-    assert [r[0] for r in crosses] == [False, True]
+    # fixed value: the check value of this CRC
+    assert column(spark, ["123456789", ""], routing.crc16) == [0x31C3, 0]
+    keys = ["order:17", "Ünïcode", "{seg}:a", "{seg}:b", "no{tag", "x" * 300]
+    tags = {"{seg}:a": "seg", "{seg}:b": "seg"}
+    assert column(spark, keys, routing.slot) == [plain_crc16(tags.get(k, k).encode()) % 16384 for k in keys]
+    braces = {"{cust7}.orders": "cust7", "{}x": "{}x", "{{in}}": "{in", "{p}{q}": "p", "{half": "{half", "z}y{w}": "w", "": "", "}{": "}{"}
+    assert column(spark, list(braces), routing.hashtag) == list(braces.values())
+    rules = [("s", 50), ("sess", 20), ("session/", 5), ("t", 70)]
+    names = ["session/1", "sessile", "sea", "tea", "ale", "", "sess"]
+    longest = lambda k: max((len(p), t) for p, t in [("", 99), *rules] if k.startswith(p))[1]
+    assert column(spark, names, lambda k: routing.eviction_seconds(k, rules, 99)) == [longest(k) for k in names]
+    for bad in ((0, []), (5, [("a", 0)]), (5, [("a", 1), ("a", 2)]), (5, [("", 1)])):
+        with pytest.raises(ValueError):
+            routing.check_policy(*bad)
+    lists = [["{q}1", "{q}2", "{q}3"], ["m", "n"], ["solo"]]
+    of = lambda k: plain_crc16((k[1:2] if k[0] == "{" else k).encode()) % 16384 * 16 // 16384
+    crosses = spark.createDataFrame([(x,) for x in lists], "k array<string>").select(routing.crosses_logs(F.col("k"), 16, 16)).collect()
+    assert [r[0] for r in crosses] == [len({of(k) for k in x}) > 1 for x in lists]
 
 
 def test_numbers(spark):
@@ -50,9 +68,33 @@ def test_numbers(spark):
     assert values.next_prefix("ab") == "ac" and values.next_prefix("\U0010ffff") is None
 
 
-ZSET = [("z", "zset", "a", None, 1.0), ("z", "zset", "b", None, 2.0), ("z", "zset", "c", None, 3.0)]
-SCORE_CASES = [("(1", "3", False, "bc"), ("1", "(3", False, "ab"), ("(1", "(3", False, "b"), ("-inf", "(2", False, "a"), ("3", "1", False, ""), ("(2", "2", False, ""), ("3", "(1", True, "cb"), ("1", "3", True, "")]
-LEX_CASES = [("[b", "(d", False, "bc"), ("-", "+", False, "abcd"), ("(a", "[c", False, "bc"), ("+", "-", True, "dcba"), ("-", "+", True, "")]
+SCORES = {"kiwi": -2.5, "fig": 0.0, "plum": 0.0, "pear": 4.25, "lime": 10.0}
+ZSET = [("z", "zset", m, None, s) for m, s in SCORES.items()]
+
+
+def bounds(marks: list[str], low: str, high: str) -> list[tuple[str, str]]:
+    ends = [low, high, *[mark + x for x in marks for mark in ("(", "" if low == "-inf" else "[")]]
+    return [(a, b) for a in ends for b in ends]
+
+
+def within(value, low, high, number: bool) -> bool:
+    """Whether a value lies between two bounds, by their definition."""
+    if number:
+        read = lambda b: float(b.lstrip("("))
+        return (value > read(low) if low[0] == "(" else value >= read(low)) and (value < read(high) if high[0] == "(" else value <= read(high))
+    rank = lambda b: (-1, "") if b == "-" else (1, "") if b == "+" else (0, b[1:])
+    v = (0, value)
+    return (v > rank(low) if low[0] == "(" else v >= rank(low)) and (v < rank(high) if high[0] == "(" else v <= rank(high))
+
+
+def expected(low: str, high: str, rev: bool, number: bool) -> list[str]:
+    a, b = (high, low) if rev else (low, high)
+    order = sorted(SCORES, key=(lambda m: (SCORES[m], m)) if number else None, reverse=rev)
+    return [m for m in order if within(SCORES[m] if number else m, a, b, number)]
+
+
+SCORE_CASES = [(a, b, rev) for a, b in bounds(["-2.5", "0", "4.25"], "-inf", "+inf") for rev in (False, True)]
+LEX_CASES = [(a, b, rev) for a, b in bounds(["fig", "l"], "-", "+") for rev in (False, True)]
 
 
 def keyspace(spark, rows):
@@ -63,22 +105,39 @@ def keyspace(spark, rows):
 
 def test_ranges(spark):
     ks = keyspace(spark, ZSET)
-    for low, high, rev, want in SCORE_CASES:
-        got = reads.zrange_score(ks, spark.createDataFrame([(1, "z", low, high)], "req_id int, key string, min string, max string"), rev=rev).orderBy("rank").collect()
-        assert "".join(r.elem for r in got) == want
-    bad = reads.zrange_score(ks, spark.createDataFrame([(1, "z", "(", "2")], "req_id int, key string, min string, max string")).collect()
+    for read, cases, number in ((reads.zrange_score, SCORE_CASES, True), (reads.zrange_lex, LEX_CASES, False)):
+        for rev in (False, True):
+            asked = [(i, "z", a, b) for i, (a, b, r) in enumerate(cases) if r == rev]
+            got = {}
+            for r in read(ks, spark.createDataFrame(asked, "req_id int, key string, min string, max string"), rev=rev).orderBy("rank").collect():
+                got.setdefault(r.req_id, []).append(r.elem)
+            assert got == {i: w for i, _, a, b in asked if (w := expected(a, b, rev, number))}
+    bad = reads.zrange_score(ks, spark.createDataFrame([(1, "z", "low", "2")], "req_id int, key string, min string, max string")).collect()
     assert [r.err for r in bad] == ["ERR min or max is not a float"]
-    ks = keyspace(spark, [*ZSET, ("z", "zset", "d", None, 0.0)])
-    for low, high, rev, want in LEX_CASES:
-        got = reads.zrange_lex(ks, spark.createDataFrame([(1, "z", low, high)], "req_id int, key string, min string, max string"), rev=rev).orderBy("rank").collect()
-        assert "".join(r.elem for r in got) == want
+
+
+def test_ranks(spark):
+    ks = keyspace(spark, ZSET)
+    order = sorted(SCORES, key=lambda m: (SCORES[m], m))
+    for rev in (False, True):
+        mine = order[::-1] if rev else order
+        reqs = spark.createDataFrame([(i * 10 + j, "z", i - 6, j - 6) for i in range(13) for j in range(10)], "req_id int, key string, start int, stop int")
+        got = {}
+        for r in reads.zrange_index(ks, reqs, rev=rev).orderBy("rank").collect():
+            got.setdefault(r.req_id, []).append((r.rank, r.elem))
+        for r in reqs.collect():
+            a, b = (x + len(mine) if x < 0 else x for x in (r.start, r.stop))
+            assert got.get(r.req_id, []) == [(k, m) for k, m in enumerate(mine) if a <= k <= b]
+        asked = spark.createDataFrame([(i, "z", m) for i, m in enumerate([*mine, "none"])] + [(9, "no", "fig")], "req_id int, key string, elem string")
+        assert {r.req_id: r["rank"] for r in reads.zrank(ks, asked, rev=rev).collect()} == {**{i: i for i in range(len(mine))}, len(mine): None, 9: None}
 
 
 def test_model_agrees_on_ranges():
     m = Machine()
-    m.execute(["ZADD", "z", "1", "a", "2", "b", "3", "c"], 0)
-    for low, high, rev, want in SCORE_CASES:
-        assert m.execute(["ZRANGE", "z", low, high, "BYSCORE", *(["REV"] if rev else [])], 0)[0] == ("array", list(want))
+    m.execute(["ZADD", "z", *[x for k, v in SCORES.items() for x in (str(v), k)]], 0)
+    for cases, by, number in ((SCORE_CASES, "BYSCORE", True), (LEX_CASES, "BYLEX", False)):
+        for low, high, rev in cases:
+            assert m.execute(["ZRANGE", "z", low, high, by, *(["REV"] if rev else [])], 0)[0] == ("array", expected(low, high, rev, number))
 
 
 def test_wrong_type_expiry_and_duplicates(spark):
@@ -119,10 +178,12 @@ def test_expiry_decisions():
 
 
 def test_flush_schedule(spark):
-    df = spark.createDataFrame([(0, 1000, 3600), (0, 1000, 60), (0, 0, 330)], "first long, last long, ev int")
-    got = [r.f for r in df.select(compact.flush_at(F.col("first"), F.col("last"), F.col("ev"), 30, 300).alias("f")).collect()]
-    assert [(x.at_ms, x.reason) for x in got] == [(31_000, "quiet"), (-240_000, "deadline"), (30_000, "quiet")]
-    assert compact.max_jitter_ms(30) == 3000
+    cases = [(first, last, ev) for first in (0, 500_000) for last in (500_000, 900_000) for ev in (120, 700, 5000)]
+    df = spark.createDataFrame(cases, "first long, last long, ev int")
+    got = [tuple(r.f) for r in df.select(compact.flush_at(F.col("first"), F.col("last"), F.col("ev"), 45, 90).alias("f")).collect()]
+    plain = lambda first, last, ev: min((last + 45_000, 0, "quiet"), (first + (ev - 90) * 1000, 1, "deadline"))
+    assert got == [(at, why) for at, _, why in (plain(*c) for c in cases)] and {w for _, w in got} == {"quiet", "deadline"}
+    assert compact.max_jitter_ms(70) == 7000
 
 
 def test_wire_protocol(spark, tmp_path):
@@ -135,7 +196,14 @@ def test_wire_protocol(spark, tmp_path):
     (tmp_path / "b.resp").write_bytes(b"*1\r\n:5\r\n")
     got = resp.read_commands(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("path", "pos").collect()
     assert [(r.args, r.err) for r in got] == [(["GET", "k"], None), (["PING"], None), (["INFO"], None), (None, "incomplete"), (None, "ERR Protocol error: a command is an array of bulk strings")]
-    assert resp.decode_frame(b"*3\r\n+OK\r\n$-1\r\n*1\r\n:-7\r\n")[0] == [("simple", "OK"), None, [-7]]
+    nested = b"*4\r\n+fine\r\n$-1\r\n*2\r\n:-7\r\n*0\r\n-no\r\n"
+    assert resp.decode_frame(nested) == ([("simple", "fine"), None, [-7, []], ("error", "no")], len(nested))
+    assert resp.decode_frame(b"*1\r\n" * 1000 + b":1\r\n")[1] == 4004
+    assert list(resp.decode_commands(b"*1\r\n" * 5000)) == [(None, "ERR Protocol error: nested too deeply")]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw/c.resp").write_bytes(b"".join(b"*2\r\n$3\r\nGET\r\n$1\r\n" + k + b"\r\n" for k in (b"\xff", b"\xfe", b"k")))
+    raw = resp.read_commands(spark.read.format("binaryFile").load(str(tmp_path / "raw"))).orderBy("pos").collect()
+    assert [(r.args, bytes(r.raw[1]), r.err) for r in raw] == [(None, b"\xff", "ERR arguments must be UTF-8 text"), (None, b"\xfe", "ERR arguments must be UTF-8 text"), (["GET", "k"], b"k", None)]
     df = spark.createDataFrame([("int", 5, None, None, None), ("nil", None, None, None, None), ("array", None, None, ["é", None], None), ("error", None, None, None, "ERR x")], "kind string, i long, s string, arr array<string>, err string")
     wire = [r[0] for r in df.select(resp.encode_reply(*[F.col(c) for c in df.columns])).collect()]
     assert wire == [":5\r\n", "$-1\r\n", "*2\r\n$2\r\né\r\n$-1\r\n", "-ERR x\r\n"]

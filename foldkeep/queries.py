@@ -935,6 +935,30 @@ def command_parse(spark, sf):
     return parse.typed_writes(_requests(spark, sf)).select("req_id", "ord", "op", "key", "flags", F.coalesce("ttl_ms", F.lit(0)).alias("ttl_ms"))
 
 
+@query(f"WITH e AS ({EV}) SELECT seq AS req_id, CASE elem WHEN 'signup' THEN 'GET' WHEN 'click' THEN 'ZRANGE' WHEN 'error' THEN 'TTL' ELSE 'HMGET' END AS op, key, CASE WHEN elem NOT IN ('signup', 'click', 'error') THEN elem || ',x' END AS fields, CASE WHEN elem = 'click' AND seq % 3 = 0 THEN 'score' WHEN elem = 'click' THEN 'index' END AS mode, CASE WHEN elem = 'click' THEN CASE WHEN seq % 3 = 0 THEN 2 ELSE 0 END END AS start, elem = 'error' AS millis, CASE WHEN elem = 'click' AND seq % 3 = 1 THEN 'ERR syntax error' END AS err FROM e")
+def command_reads(spark, sf):
+    """Read requests as typed rows: the three forms of a range, old and new names, and options that don't fit."""
+    by_score = F.array(F.lit("zrangebyscore"), F.col("key"), F.lit("(1"), F.lit("+inf"), F.lit("LIMIT"), F.lit("2"), F.lit("5"))
+    by_index = F.array(F.lit("ZRANGE"), F.col("key"), F.lit("0"), F.lit("-1"), F.when(F.col("seq") % 3 == 1, "LIMIT").otherwise("rev"))
+    args = (
+        F.when(F.col("elem") == "signup", F.array(F.lit("get"), F.col("key"))).when((F.col("elem") == "click") & (F.col("seq") % 3 == 0), by_score)
+        .when(F.col("elem") == "click", by_index).when(F.col("elem") == "error", F.array(F.lit("PTTL"), F.col("key"))).otherwise(F.array(F.lit("HMGET"), F.col("key"), F.col("elem"), F.lit("x")))
+    )
+    typed = parse.typed_reads(events(spark, sf).select(F.col("seq").alias("req_id"), "at_ms", args.alias("args")))
+    return typed.select("req_id", "op", "key", F.array_join("elems", ",").alias("fields"), "mode", "start", "millis", "err")
+
+
+@query(f"WITH e AS ({EV}) SELECT seq AS req_id, CASE elem WHEN 'signup' THEN 'SET' WHEN 'click' THEN 'ZADD' WHEN 'error' THEN 'COPY' ELSE 'PEXPIREAT' END AS op, CASE elem WHEN 'signup' THEN 'ERR syntax error' WHEN 'click' THEN 'ERR XX and NX options at the same time are not compatible' WHEN 'error' THEN NULL ELSE 'ERR Unsupported option ' || elem END AS err FROM e")
+def command_errors(spark, sf):
+    """Writes whose options exclude each other, one row a request."""
+    key, elem = F.col("key"), F.col("elem")
+    args = (
+        F.when(elem == "signup", F.array(F.lit("SET"), key, elem, F.lit("NX"), F.lit("xx"))).when(elem == "click", F.array(F.lit("ZADD"), key, F.lit("NX"), F.lit("XX"), F.lit("1"), elem))
+        .when(elem == "error", F.array(F.lit("COPY"), key, elem, F.lit("replace"))).otherwise(F.array(F.lit("EXPIRE"), key, F.lit("5"), elem))
+    )
+    return parse.typed_writes(events(spark, sf).select(F.col("seq").alias("req_id"), "at_ms", args.alias("args"))).select("req_id", "op", "err")
+
+
 @query(f"WITH e AS ({EV}) SELECT seq AS req_id, '*2' || chr(13) || chr(10) || '$3' || chr(13) || chr(10) || 'GET' || chr(13) || chr(10) || '$' || length(key) || chr(13) || chr(10) || key || chr(13) || chr(10) AS wire FROM e")
 def resp_encode(spark, sf):
     e = events(spark, sf)

@@ -237,3 +237,45 @@ def test_registry_parse_and_config(spark):
     assert c.shards == 8 and sorted(r.name for r in config_get(c.table(spark), "*_SECONDS").collect()) == ["default_eviction_seconds", "min_retention_seconds", "quiet_seconds", "safety_margin_seconds"]
     with pytest.raises(ValueError):
         Config.load(env={"FOLDKEEP_SHARDS": "0"})
+
+
+WRITE_CASES = [
+    "SET k v NX XX", "SET k v BOGUS", "SET k v EX", "SET k v EX 0", "SET k v EX x", "SET k v EX 5 KEEPTTL", "SET k v EX 5 PX 5", "SET k v nx get ex 5", "SET k v",
+    "SETEX k 0 v", "SETEX k 9 v", "PSETEX k x v", "ZADD z INCR 1 a", "ZADD z NX XX 1 a", "ZADD z GT LT 1 a", "ZADD z NX GT 1 a", "ZADD z NX CH", "ZADD z CH 1", "ZADD z 1 CH 2 b",
+    "ZADD z x a", "EXPIRE k 5 NX GT", "EXPIRE k 5 GT LT", "EXPIRE k 5 huh", "EXPIRE k x huh", "EXPIRE k 9223372036854775807", "PEXPIREAT k 5 XX", "COPY a b DB 1", "COPY a b DB x",
+    "COPY a b DB", "COPY a a", "COPY a b REPLACE DB 0", "COPY a b huh", "MSET a 1 b", "MSET a 1 b 2", "HSET h f", "HSET h f 1", "HMSET h f 1 g", "FLUSHDB huh", "FLUSHALL async", "DEL a b",
+]
+
+
+def test_errors_of_writes_are_those_of_the_model(spark):
+    """One error a case, as the plain-Python model tells it; a wrong request is one row."""
+    reqs = spark.createDataFrame([(i, 1000, c.split()) for i, c in enumerate(WRITE_CASES)], "req_id int, at_ms long, args array<string>")
+    got = {}
+    for r in parse.typed_writes(reqs).orderBy("req_id", "ord").collect():
+        got.setdefault(r.req_id, []).append(r)
+    for i, c in enumerate(WRITE_CASES):
+        reply, _ = Machine().execute(c.split(), 1000)
+        errors = [r.err for r in got[i] if r.err is not None]
+        expected = [reply[1]] if reply[0] == "error" else []
+        assert errors == expected, (c, errors, reply)
+    row = got[WRITE_CASES.index("ZADD z 1 CH 2 b")]
+    assert [(r.elem, r.score, r.flags) for r in row] == [("CH", 1.0, 0), ("b", 2.0, 0)]
+    assert (got[WRITE_CASES.index("COPY a b REPLACE DB 0")][0].elem, got[WRITE_CASES.index("FLUSHALL async")][0].op) == ("b", "FLUSH")
+
+
+def test_reads_become_typed_rows(spark):
+    cases = {
+        "get k": ("GET", "k", None, None, None), "PTTL k": ("TTL", "k", None, None, None), "HMGET h a b": ("HMGET", "h", ["a", "b"], None, None), "GET": ("GET", None, None, None, "ERR wrong number of arguments for 'get' command"),
+        "ZRANGE z 0 -1 rev WITHSCORES": ("ZRANGE", "z", None, "index", None), "ZRANGE z (1 5 BYSCORE LIMIT 1 2": ("ZRANGE", "z", None, "score", None), "ZRANGE z - + BYLEX BYSCORE": ("ZRANGE", "z", None, "score", "ERR syntax error"),
+        "ZRANGE z 0 x": ("ZRANGE", "z", None, "index", "ERR value is not an integer or out of range"), "ZRANGE z 0 1 LIMIT 1": ("ZRANGE", "z", None, "index", "ERR syntax error"), "ZRANGE z 0 1 LIMIT x 1": ("ZRANGE", "z", None, "index", "ERR value is not an integer or out of range"),
+        "ZRANGEBYSCORE z 1 2 LIMIT 3 -4 WITHSCORES": ("ZRANGE", "z", None, "score", None), "ZRANGEBYSCORE z 1 2 REV": ("ZRANGE", "z", None, "score", "ERR syntax error"), "ZRANGEBYLEX z [a + WITHSCORES": ("ZRANGE", "z", None, "lex", "ERR syntax error"),
+    }
+    reqs = spark.createDataFrame([(i, 0, c.split()) for i, c in enumerate([*cases, "MGET a b", "SET k v"])], "req_id int, at_ms long, args array<string>")
+    got = {r.req_id: r for r in parse.typed_reads(reqs).collect()}
+    assert len(got) == len(cases)
+    for i, (c, expected) in enumerate(cases.items()):
+        r = got[i]
+        assert (r.op, r.key, r.elems, r.mode, r.err) == expected, c
+    at = lambda c: got[list(cases).index(c)]
+    assert at("ZRANGE z 0 -1 rev WITHSCORES").rev and at("ZRANGE z 0 -1 rev WITHSCORES").with_scores and at("PTTL k").millis
+    assert (at("ZRANGEBYSCORE z 1 2 LIMIT 3 -4 WITHSCORES").start, at("ZRANGEBYSCORE z 1 2 LIMIT 3 -4 WITHSCORES").take) == (3, -4)

@@ -135,20 +135,25 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k nearest rows of a part for each query by exact distance, ties by identifier; rows are sorted by identifier."""
+    """The k nearest identifiers of a part for each query by exact distance, ties by identifier; rows are sorted by identifier, and one that repeats counts at its nearest row."""
     out: tuple[list, list, list] = ([], [], [])
     xx = (x**2).sum(1)
+    first = np.flatnonzero(np.r_[True, xid[1:] != xid[:-1]])
+    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(xid)]))
     for a in range(0, len(q), 256):
         qq = (q[a : a + 256] ** 2).sum(1)
         rough = qq[:, None] + xx[None, :] - 2 * (q[a : a + 256] @ x.T)
         rough[qid[a : a + 256, None] == xid[None, :]] = np.inf
-        kth = np.partition(rough, min(k, len(x)) - 1, 1)[:, min(k, len(x)) - 1]
+        each = rough if len(first) == len(x) else np.minimum.reduceat(rough, first, axis=1)
+        last = min(k, len(first)) - 1
+        kth = np.partition(each, last, 1)[:, last]
         kth = np.where(np.isfinite(kth), kth, np.finfo(float).max)
         slack = 1e-12 * (qq + xx.max()) * q.shape[1]
         for r in range(len(qq)):
             near = np.flatnonzero(rough[r] <= kth[r] + slack[r])
             d = np.sqrt(((x[near] - q[a + r]) ** 2).sum(1))
-            keep = np.argsort(d, kind="stable")[:k]
+            order = np.argsort(d, kind="stable")
+            keep = order[np.sort(np.unique(of[near[order]], return_index=True)[1])[:k]]
             out[0].extend([qid[a + r]] * len(keep))
             out[1].extend(xid[near[keep]].tolist())
             out[2].extend(d[keep].tolist())
@@ -176,7 +181,9 @@ def nearest(
         return spark.createDataFrame([], f"query_id {of}, rank int, vec_id {of}, score double")
     dim, total = dims.d, dims.n
     x, q = x.where(F.size("v") == dim), pick(queries).where(F.size("v") == dim)
-    got = x.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
+    # identifiers are drawn, not rows, so that one that repeats very often does not fill the sample
+    drawn = x.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    got = x.join(F.broadcast(drawn), "id").groupBy("id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("id"), "id").toArrow()
     forest = fit(_matrix(got.column("v").combine_chunks(), dim), np.array(got.column("id").to_pylist()), total, k, trees, leaf_rows, recall)
     shared = spark.sparkContext.broadcast(forest)
 

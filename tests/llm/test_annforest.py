@@ -53,6 +53,23 @@ def test_ties_copies_and_parts(spark):
     assert {r.score for r in got if r.query_id == 1000} == {1.0}
 
 
+def test_rows_that_repeat_identifiers_hide_no_neighbour(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8))
+    data = [(i, (x[i] + 0.1 * c).tolist()) for i in range(400) for c in range(6)] + [(7, x[7].tolist())] * 3000
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1000 + i, x[i].tolist()) for i in range(20)], "vec_id long, embedding array<double>")
+    got = nearest(df, asked, sample_rows=128, part_rows=500).collect()
+    hit = 0
+    for i in range(20):
+        d = np.sqrt(np.stack([((x + 0.1 * c - x[i]) ** 2).sum(1) for c in range(6)]).min(0))
+        own = sorted((r for r in got if r.query_id == 1000 + i), key=lambda r: r["rank"])
+        assert len(own) == len({r.vec_id for r in own}) == 10
+        assert all(math.isclose(r.score, d[r.vec_id], rel_tol=1e-12, abs_tol=1e-12) for r in own)
+        hit += len({r.vec_id for r in own} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hit >= 180
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     bad = [None, [], [0.0, 0.0], [1.0, None], [nan, 1.0], [inf, 1.0], [1.0, 2.0, 3.0]]

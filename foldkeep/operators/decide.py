@@ -39,13 +39,18 @@ def groups(requests: DataFrame) -> DataFrame:
     comes after, as it leaves nothing that a later command could see. DBSIZE
     looks at all keys and so ties all requests into one group.
     """
+    return _groups(requests)[0]
+
+
+def _groups(requests: DataFrame) -> tuple[DataFrame, bool]:
+    """The same, and whether all requests are one group."""
     r = requests.withColumn("_keys", keys_column(F.col("args"))).withColumn("_name", F.upper(F.try_element_at("args", F.lit(1))))
     mode = F.upper(F.try_element_at("args", F.lit(2)))
     done = (F.size("args") == 1) | ((F.size("args") == 2) & mode.isin("ASYNC", "SYNC"))  # any other is refused and flushes nothing
     flush = F.coalesce(F.col("_name").isin("FLUSHDB", "FLUSHALL") & done, F.lit(False))
     at = [x.req_id for x in r.where(flush).select("req_id").orderBy("req_id").limit(MOST_FLUSHES + 1).collect()]
     if len(at) > MOST_FLUSHES or not r.where("_name = 'DBSIZE'").isEmpty():
-        return requests.withColumn("group", F.lit("*"))
+        return requests.withColumn("group", F.lit("*")), True
     epoch = F.size(F.filter(F.array(*[F.lit(x) for x in at]), lambda x: x < F.col("req_id"))) if at else F.lit(0)
     # a request without keys depends on nothing but a flush
     alone = F.concat(F.lit("\x00"), F.col("req_id").cast("string"))
@@ -56,13 +61,35 @@ def groups(requests: DataFrame) -> DataFrame:
     else:
         r = r.join(key_groups(ties).withColumnRenamed("key", "_key"), "_key", "left")
         group = F.coalesce("group", "_key")
-    return r.select(*requests.columns, F.concat(epoch.cast("string"), F.lit(":"), group).alias("group"))
+    return r.select(*requests.columns, F.concat(epoch.cast("string"), F.lit(":"), group).alias("group")), False
+
+
+def _held(requests: DataFrame, whole: bool, element: DataFrame, meta: DataFrame) -> DataFrame:
+    """``of`` (a group), ``key, type, elem, val, score, abs_ttl_ms``: what a base holds of the keys that requests name before the first flush."""
+    held = element.select("key", "type", "elem", "val", "score").join(meta.select("key", F.coalesce("abs_ttl_ms", F.lit(0)).alias("abs_ttl_ms")), "key")
+    if whole:
+        return held.withColumn("of", F.lit("*"))
+    named = requests.where(F.col("group").startswith("0:")).select(F.col("group").alias("of"), F.explode(keys_column(F.col("args"))).alias("key")).distinct()
+    return held.join(named, "key")
+
 
+def _loaded(rows: pd.DataFrame) -> dict:
+    """A key space of elements."""
+    from foldkeep.model import Value
 
-def _run(parts: pd.DataFrame) -> Iterator[tuple]:
+    out: dict = {}
+    for x in rows.sort_values(["key", "elem"]).itertuples():
+        if x.type == "string":
+            out[x.key] = Value("string", x.val, int(x.abs_ttl_ms))
+        else:
+            out.setdefault(x.key, Value(x.type, {}, int(x.abs_ttl_ms))).data[x.elem] = {"hash": x.val, "zset": x.score, "set": None}[x.type]
+    return out
+
+
+def _run(parts: pd.DataFrame, base: pd.DataFrame | None = None) -> Iterator[tuple]:
     from foldkeep.model import Machine
 
-    m, now = Machine(), 0
+    m, now = Machine({} if base is None else _loaded(base)), 0
     for r in parts.sort_values("req_id").itertuples():
         now = max(now, int(r.at_ms))
         reply, effects = m.execute(list(r.args), now)
@@ -73,22 +100,30 @@ def _run(parts: pd.DataFrame) -> Iterator[tuple]:
             yield (r.req_id, k, None, None, None, None, None, e.op, e.key, e.elem, e.val, e.score, e.ttl_ms, e.replaces_state)
 
 
-def decide(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(effects, replies)`` of requests ``req_id, at_ms, args`` on an empty key space, in the order of ``req_id``.
+def decide(requests: DataFrame, base: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(effects, replies)`` of requests ``req_id, at_ms, args``, in the order of ``req_id``, on an empty key space or over a ``base``.
+
+    ``base`` is ``(element, meta)`` as the fold makes them; the effects then go
+    on with its log. Of it, only keys that requests name before the first flush
+    are read, and a key's state goes to the task that decides its group.
 
     Requests are dealt by groups of keys that some command ties together; one
     group is decided in one task, as each decision may depend on the one before.
     Time never runs back within a group; ``fold.log_clock`` gives a whole shard
     one clock beforehand, where instants of different clients are mixed.
     """
-    r = groups(requests.select("req_id", "at_ms", "args"))
+    r, whole = _groups(requests.select("req_id", "at_ms", "args"))
     names = [c.split()[0] for c in DECIDED.split(", ")]
 
-    def each(parts: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_run(parts), columns=names)
+    def each(parts: pd.DataFrame, state: pd.DataFrame | None = None) -> pd.DataFrame:
+        out = pd.DataFrame(_run(parts, state), columns=names)
         return out.astype({"req_id": "int64", "ord": "int32", "i": "Int64", "ttl_ms": "Int64", "score": "float64", "replaces_state": "boolean"})
 
-    both = r.groupBy("group").applyInPandas(each, DECIDED)
+    if base is None:
+        both = r.groupBy("group").applyInPandas(lambda parts: each(parts), DECIDED)
+    else:
+        held = _held(r, whole, *base)
+        both = r.groupBy("group").cogroup(held.groupBy("of")).applyInPandas(lambda parts, state: each(parts, state), DECIDED)
     effects = both.where("ord >= 0").select("req_id", "ord", "op", "key", "elem", "val", "score", "ttl_ms", "replaces_state")
     return effects, both.where("ord < 0").select("req_id", "kind", "i", "s", "arr", "err")
 

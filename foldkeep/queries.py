@@ -997,6 +997,18 @@ def decide_set_nx(spark, sf):
     return decide(reqs)[1].select("req_id", "kind")
 
 
+@query("SELECT p_partkey AS req_id, CAST(CASE WHEN c_custkey IS NULL THEN 1 ELSE 0 END AS BIGINT) AS i FROM part LEFT JOIN customer ON c_custkey = p_partkey")
+def decide_over_base(spark, sf):
+    """SETNX with the numbers of parts as keys, over a base whose keys are the numbers of customers."""
+    from foldkeep.operators.decide import decide
+
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("val"), F.lit(NOW).alias("at_ms"))
+    base = fold(as_log(c, F.lit("SET"), True, elem=None, val="val"))
+    key = F.col("p_partkey").cast("string")
+    reqs = table(spark, sf, "part").select(F.col("p_partkey").alias("req_id"), F.lit(NOW).alias("at_ms"), F.array(F.lit("SETNX"), key, F.col("p_name")).alias("args"))
+    return decide(reqs, base)[1].select("req_id", "i")
+
+
 def _log_folder(spark, sf, rows: DataFrame, parts: int) -> str:
     """A log folder that grew in parts, one after the other, as a log does."""
     from foldkeep.schema import LOG

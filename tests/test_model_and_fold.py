@@ -88,6 +88,19 @@ def test_decide_then_fold_equals_the_model(spark, seed, flush):
         assert n == {k: v[3] for k, v in held(model).items()}
 
 
+@pytest.mark.parametrize("seed,extra", [(1, []), (2, []), (3, ["DBSIZE"])])
+def test_decisions_go_on_over_a_base(spark, seed, extra):
+    reqs = stream(seed, 700, flush=seed == 1)
+    reqs += [(len(reqs), reqs[-1][1] + 1, extra)] if extra else []
+    model, replies = by_model(reqs)
+    df = spark.createDataFrame(reqs, "req_id long, at_ms long, args array<string>")
+    first = to_log(decide(df.where("req_id < 350"))[0]).cache()
+    effects, answered = decide(df.where("req_id >= 350"), fold(first))
+    got = {r.req_id: (r.kind, r.i if r.kind == "int" else r.s if r.kind in ("bulk", "simple") else r.arr if r.kind == "array" else r.err) for r in answered.collect()}
+    assert got == {i: (k, [None if x is None else str(x) for x in v] if k == "array" else v) for i, (k, v) in replies.items() if i >= 350}
+    assert folded(*fold(first.unionByName(to_log(effects)))) == held(model)
+
+
 def test_flushes_part_groups_unless_refused(spark):
     reqs = [(0, 1, ["SET", "k", "a"]), (1, 2, ["FLUSHDB", "NOW"]), (2, 3, ["SET", "k", "b", "NX"]), (3, 4, ["flushall", "async"]), (4, 5, ["SET", "k", "c", "NX"]), (5, 6, ["GET", "k"])]
     _, replies = by_model(reqs)

@@ -69,7 +69,8 @@ def _held(requests: DataFrame, whole: bool, element: DataFrame, meta: DataFrame)
     held = element.select("key", "type", "elem", "val", "score").join(meta.select("key", F.coalesce("abs_ttl_ms", F.lit(0)).alias("abs_ttl_ms")), "key")
     if whole:
         return held.withColumn("of", F.lit("*"))
-    named = requests.where(F.col("group").startswith("0:")).select(F.col("group").alias("of"), F.explode(keys_column(F.col("args"))).alias("key")).distinct()
+    named = requests.where(F.col("group").startswith("0:")).select(F.col("group").alias("of"), keys_column(F.col("args")).alias("keys"))
+    named = named.select("of", F.explode("keys").alias("key")).distinct()
     return held.join(named, "key")
 
 

@@ -977,6 +977,33 @@ def strict_numbers(spark, sf):
     return e.select(F.col("event_id").alias("req_id"), values.strict_double(text).alias("v"))
 
 
+READ_REPLIES = """
+WITH p AS (SELECT p_partkey AS req_id, p_brand AS key, CAST(p_partkey AS VARCHAR) AS elem, p_retailprice AS score FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, elem) AS up, row_number() OVER (PARTITION BY key ORDER BY score DESC, elem DESC) AS down FROM p),
+f AS (SELECT *, min(up) OVER (PARTITION BY key, score) AS low, req_id % 4 AS form FROM r),
+n AS (SELECT key, count(*) AS n, string_agg(elem, ',' ORDER BY down) FILTER (WHERE down <= 3) AS last FROM r GROUP BY key)
+SELECT f.req_id, CASE form WHEN 0 THEN 'int' WHEN 2 THEN 'error' ELSE 'array' END AS kind, CASE WHEN form = 0 THEN n.n END AS i,
+       CASE form WHEN 1 THEN coalesce(a.elem, '') || coalesce(',' || b.elem, '') WHEN 3 THEN n.last END AS members,
+       CASE WHEN form = 2 THEN 'WRONGTYPE Operation against a key holding the wrong kind of value' END AS err
+FROM f JOIN n USING (key) LEFT JOIN r a ON a.key = f.key AND a.up = f.low + 1 LEFT JOIN r b ON b.key = f.key AND b.up = f.low + 2
+"""
+
+
+@query(READ_REPLIES)
+def read_replies(spark, sf):
+    """Replies of mixed reads, a request a part: counts, ranges by score with a limit, reads of a wrong type, ranges from the end."""
+    from foldkeep.operators.answer import answers
+
+    key, price, form = F.col("p_brand"), F.col("p_retailprice").cast("double").cast("string"), F.col("p_partkey") % 4
+    words = lambda *x: F.array(*[F.lit(w) if isinstance(w, str) else w for w in x])
+    args = (
+        F.when(form == 0, words("ZCARD", key)).when(form == 1, words("ZRANGE", key, price, "+inf", "BYSCORE", "LIMIT", "1", "2"))
+        .when(form == 2, words("GET", key)).otherwise(words("ZRANGE", key, "0", "2", "REV"))
+    )
+    out = answers(brands(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("req_id"), args.alias("args")))
+    return out.select("req_id", "kind", "i", F.array_join("arr", ",").alias("members"), "err")
+
+
 # --- general decisions, streams and workloads ---------------------------------------
 
 

@@ -15,7 +15,7 @@ DECIDED = "req_id long, ord int, kind string, i long, s string, arr array<string
 
 def keys_column(args: Column) -> Column:
     """The keys that a command names, as a column."""
-    name = F.upper(F.element_at(args, 1))
+    name = F.upper(F.try_element_at(args, F.lit(1)))
     n = F.size(args)
     rest = F.slice(args, F.lit(2), F.greatest(n - 1, F.lit(0)))
     none = F.expr("cast(array() as array<string>)")

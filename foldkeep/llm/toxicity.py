@@ -44,6 +44,8 @@ BATCH_CHARS = 2 << 20
 BEGINNINGS = (4, 5, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Lower-case ASCII letters as they are, and spaces for all other bytes.
+_LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
 
 
 def terms_of(text: str) -> set[str]:
@@ -84,11 +86,18 @@ class Matcher:
         return sorted(found.items())
 
 
+def words_of(text: str) -> list:
+    """The words of a text in lower case, as bytes where all is ASCII."""
+    text = text.lower()
+    return text.encode().translate(_LETTERS).split() if text.isascii() else _WORD.findall(text)
+
+
 def word_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the hashed words of each text (ascending, each once), how often each occurs, and where each text's begin."""
-    found = [_WORD.findall(t.lower()) for t in texts]
-    words = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
-    place = np.array([xxhash.xxh64_intdigest(w) % BUCKETS for w in words.dictionary.to_pylist()], np.int64)
+    found = [words_of(t) for t in texts]
+    words = pa.array([w for x in found for w in x], pa.binary()).dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    place = (np.array([digest(w) for w in words.dictionary.to_pylist()], np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
     row = np.repeat(np.arange(len(texts)), [len(x) for x in found])
     both, n = np.unique(row * BUCKETS + place[words.indices.to_numpy()] if len(row) else np.empty(0, np.int64), return_counts=True)
     return both % BUCKETS, n, np.searchsorted(both, np.arange(len(texts) + 1) * BUCKETS)
@@ -161,7 +170,7 @@ class BlockMax:
     begin: np.ndarray
     row: np.ndarray  # by term and row: row, weight
     weight: np.ndarray
-    of: np.ndarray  # the vectors themselves: where each begins, their terms and weights
+    of: np.ndarray  # the whole lists by row: where each row begins, places in ``long``, and weights
     own: np.ndarray
     size: np.ndarray
     rows: int
@@ -169,8 +178,7 @@ class BlockMax:
 
     @classmethod
     def of_vectors(cls, vectors: list[tuple[np.ndarray, np.ndarray]], places: int) -> BlockMax:
-        of = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
-        rows = np.repeat(np.arange(len(vectors)), np.diff(of))
+        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         own = np.concatenate([t for t, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
         size = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
         known, n = np.unique(own, return_counts=True)
@@ -182,64 +190,79 @@ class BlockMax:
         entry, begin = np.unique(term * blocks + row // BLOCK, return_index=True)
         terms, entries = np.unique(entry // blocks, return_index=True)
         top = np.maximum.reduceat(weight, begin) if len(begin) else np.empty(0)
-        return cls(long, terms, np.append(entries, len(entry)), entry % blocks, top, np.append(begin, len(row)), row, weight, of, own.astype(np.int32), size, len(vectors), places)
+        of = np.searchsorted(rows[~rare], np.arange(len(vectors) + 1))
+        lists = np.searchsorted(long, own[~rare]).astype(np.int32)
+        # numbers that are looked up at random are kept narrow, so that more of them stay in the cache
+        narrow = [x.astype(np.int32) for x in (np.append(entries, len(entry)), entry % blocks, np.append(begin, len(row)), row)]
+        return cls(long, terms, *narrow[:2], top.astype(np.float32), *narrow[2:], weight, of, lists, size[~rare], len(vectors), places)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _prepared(self) -> tuple[np.ndarray, np.ndarray]:
-        """The whole lists as a matrix (terms x rows, filled up to whole blocks), and a place for a query's weights."""
+    def _prepared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The whole lists as a matrix (terms x rows, filled up to whole blocks), where each term is in ``long`` or, after these, in ``terms`` (-1: nowhere), and a place for a query's weights."""
         if "_lists" not in self.__dict__:
             n = -(-self.rows // BLOCK) * BLOCK
             self._lists = np.zeros((len(self.long), n), np.float32)
-            held = np.flatnonzero(np.isin(self.own, self.long))
-            self._lists[np.searchsorted(self.long, self.own[held]), np.searchsorted(self.of, held, "right") - 1] = self.size[held]
-            self._query = np.zeros(self.places)
-        return self._lists, self._query
+            self._lists[self.own, np.repeat(np.arange(self.rows), np.diff(self.of))] = self.size
+            self._at = np.full(self.places, -1, np.int32)
+            self._at[np.concatenate([self.long, self.terms])] = np.arange(len(self.long) + len(self.terms))
+            self._query = np.zeros(len(self.long))
+        return self._lists, self._at, self._query
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k rows of largest cosine (above 0), largest first, ties to the smaller row."""
-        lists, _ = self._prepared()
+        if not self.rows:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        lists, where, _ = self._prepared()
         out = []
         for a in range(0, len(queries), 128):
             some = queries[a : a + 128]
             whole = np.zeros((len(some), len(self.long)), np.float32)
+            parted = []
             for i, (term, weight) in enumerate(some):
-                at = np.minimum(np.searchsorted(self.long, term), max(0, len(self.long) - 1))
-                held = self.long[at] == term if len(self.long) else np.zeros(len(term), bool)
-                whole[i, at[held]] = weight[held]
-            for query, score in zip(some, whole @ lists, strict=True):
-                out.append(self._search(*query, score, k) if self.rows else (np.empty(0, np.int64), np.empty(0)))
+                at = where.take(term)
+                held, rest = (at >= 0) & (at < len(self.long)), at >= len(self.long)
+                held, rest, by, weight = at[held], at[rest] - len(self.long), weight[held], weight[rest]
+                whole[i, held] = by
+                parted.append((held, by, rest, weight))
+            for query, score in zip(parted, whole @ lists, strict=True):
+                out.append(self._search(*query, score, k))
         return out
 
-    def _search(self, term: np.ndarray, weight: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest rows of a query, given the scores by whole lists; blocks that cannot reach the k-th are never looked into."""
-        at = np.minimum(np.searchsorted(self.terms, term), max(0, len(self.terms) - 1))
-        known = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
-        at, by = at[known], weight[known]
-        n = self.entries[at + 1] - self.entries[at]
-        entry, by = _ranges(self.entries[at], n), np.repeat(by, n)
-        bound = score.reshape(-1, BLOCK).max(1) + np.bincount(self.block[entry], by * self.top[entry], len(score) // BLOCK)
+    def _search(self, held: np.ndarray, share: np.ndarray, at: np.ndarray, by: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest rows of a query, given the scores by whole lists; blocks that cannot reach the k-th are never looked into.
+
+        ``held`` and ``share`` are the query's terms with whole lists and their weights, ``at`` and ``by`` the others.
+        """
+        first = self.entries.take(at)
+        n = self.entries.take(at + 1) - first
+        entry, by = _ranges(first, n), np.repeat(by, n)
+        block = self.block.take(entry)
+        bound = score.reshape(-1, BLOCK).max(1) + np.bincount(block, by * self.top.take(entry), len(score) // BLOCK)
         kth = lambda x: np.partition(x, -k)[-k] if len(x) > k else 0.0
-        inside = (bound >= kth(score) - ROUGH)[self.block[entry]]
-        entry, by = entry[inside], by[inside]
-        n = self.begin[entry + 1] - self.begin[entry]
-        each = _ranges(self.begin[entry], n)
-        score = score + np.bincount(self.row[each], np.repeat(by, n) * self.weight[each], len(score))
+        some = np.flatnonzero((bound >= kth(score) - ROUGH).take(block))
+        entry, by = entry.take(some), by.take(some)
+        first = self.begin.take(entry)
+        n = self.begin.take(entry + 1) - first
+        each = _ranges(first, n)
+        rare = np.bincount(self.row.take(each), np.repeat(by, n) * self.weight.take(each), len(score))
+        score = score + rare
         able = np.flatnonzero((score >= max(kth(score) - 2 * ROUGH, 0)) & (score > 0))
-        exact = self._exact(term, weight, able)
+        exact = rare[able] + self._exact(held, share, able)
         able, exact = able[exact > 0], exact[exact > 0]
         best = np.lexsort((able, -np.round(exact, 9)))[:k]
         return able[best], exact[best]
 
-    def _exact(self, term: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The cosines of some rows in double precision."""
-        _, query = self._prepared()
-        query[term] = weight
-        n = self.of[rows + 1] - self.of[rows]
-        each = _ranges(self.of[rows], n)
-        out = np.bincount(np.repeat(np.arange(len(rows)), n), query[self.own[each]] * self.size[each], len(rows))
-        query[term] = 0
+    def _exact(self, held: np.ndarray, share: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """What some rows score by whole lists, in double precision."""
+        _, _, query = self._prepared()
+        query[held] = share
+        start = self.of[rows]
+        n = self.of[rows + 1] - start
+        each = _ranges(start, n)
+        out = np.bincount(np.repeat(np.arange(len(rows)), n), query.take(self.own.take(each)) * self.size.take(each), len(rows))
+        query[held] = 0
         return out
 
 

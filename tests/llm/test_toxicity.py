@@ -1,9 +1,12 @@
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import xxhash
 
 from foldkeep.llm.queries import op5_toxicity
-from foldkeep.llm.toxicity import BlockMax, Matcher, Model, choose_terms, fit_and_score, pooled, terms_of, word_counts
+from foldkeep.llm.toxicity import BUCKETS, BlockMax, Matcher, Model, choose_terms, fit_and_score, pooled, terms_of, word_counts, words_of
 
 
 def test_block_max_neighbours_equal_brute_force():
@@ -112,3 +115,33 @@ def test_scores_equal_a_plain_vote(spark):
         vote = (sum(a * m.labels[j] for a, j in zip(w, near, strict=True)) + base * (m.rate if chosen else m.prior)) / (sum(w) + base)
         want = max(vote, m.prior) if not chosen else float(np.interp(vote, m.votes, m.rates)) if len(m.votes) else vote
         assert abs(got[i].score - want) < 1e-6 and [e.doc_id for e in got[i].evidence] == [m.ids[j] for j in near[:3]]
+
+
+def test_exact_sums_read_whole_lists_only():
+    """Terms without whole lists are summed in double precision on the way: the index keeps no second copy of them, and no candidate's words are read again."""
+    rng = np.random.default_rng(7)
+    dense = np.zeros((400, 3000))
+    dense[:, :20] = rng.random((400, 20)) * (rng.random((400, 20)) < 0.5)
+    dense[:, 20:] = rng.random((400, 2980)) * (rng.random((400, 2980)) < 0.01)
+    dense[:40] = dense[40:80]
+    dense[100:110] = 0
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    index = BlockMax.of_vectors([(np.flatnonzero(r), r[r > 0]) for r in dense], 3000)
+    assert index.long.tolist() == list(range(20)) and len(index.terms) > 2000
+    assert len(index.own) == len(index.size) == (dense[:, :20] > 0).sum() and len(index.row) == (dense[:, 20:] > 0).sum()
+    queries = [*dense[::9], np.eye(3000)[5], np.eye(3000)[25], np.zeros(3000)]
+    for q, (got, sims) in zip(queries, index.nearest([(np.flatnonzero(q), q[q > 0]) for q in queries], 15), strict=True):
+        exact = dense @ q
+        want = [i for i in np.lexsort((np.arange(400), -np.round(exact, 9))) if exact[i] > 0][:15]
+        assert got.tolist() == want and np.allclose(sims, exact[want], rtol=0, atol=1e-12)
+    empty = BlockMax.of_vectors([], 10).nearest([(np.array([3]), np.array([1.0]))], 5)
+    assert [x.tolist() for x in empty[0]] == [[], []]
+
+
+def test_words_of_ascii_and_other_texts_are_the_same():
+    for t in ("The KELVIN \u212a sign", "a1b2_c don't\tstop\x00now", "\u0130stanbul stra\u00dfe \u00e9t\u00e9 x\u00b2y", "", "123 _", "Z" * 50):
+        want = re.findall(r"[^\W\d_]+", t.lower())
+        assert [w.decode() if isinstance(w, bytes) else w for w in words_of(t)] == want
+        place, n, begin = word_counts([t])
+        each = Counter(xxhash.xxh64_intdigest(w) % BUCKETS for w in want)
+        assert dict(zip(place.tolist(), n.tolist(), strict=True)) == each and begin.tolist() == [0, len(each)]

@@ -256,25 +256,33 @@ def jaccard_classes(
 
 
 def tries(classes: DataFrame, d: int) -> DataFrame:
-    """``cls, tree``: the members of nodes of prefix length ``d`` that hold several classes.
+    """``cls, copies, labels, tree``: the members of nodes of prefix length ``d`` that hold several classes.
 
     Counts by node combine before the shuffle, and members meet them in an
-    equi-join whose large partitions Spark splits.
+    equi-join whose large partitions Spark splits. Classes go there by a number
+    of 8 bytes; if two share it, each is listed with the other's nodes too,
+    where it may be alone.
     """
     width = DEPTH * VALUE
-    node = lambda: F.substring(F.col("labels"), F.col("tree") * width + 1, F.lit(VALUE * d))
-    keys = classes.select("cls", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("cls", "tree", F.xxhash64("tree", node()).alias("key"))
+    node = F.substring(F.col("labels"), F.col("tree") * width + 1, F.lit(VALUE * d))
+    keys = classes.select(F.xxhash64("cls").alias("id"), "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "tree", F.xxhash64("tree", node).alias("key"))
     several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keys.join(several, "key", "left_semi").select("cls", "tree")
+    found = keys.join(several, "key", "left_semi").groupBy("id").agg(F.collect_set("tree").alias("trees"))
+    return classes.select(F.xxhash64("cls").alias("id"), "cls", "copies", "labels").join(found, "id").select("cls", "copies", "labels", F.explode("trees").alias("tree"))
 
 
-def level(members: DataFrame, d: int, above: int | None, block: int, least: float) -> DataFrame:
-    """The members of ``d``-long prefixes that have new partners by their signatures: a row a node and pair of blocks."""
+def level(members: DataFrame, d: int, above: int | None, block: int, least: float, broadcast_rows: int) -> DataFrame:
+    """The members of ``d``-long prefixes that have new partners by their signatures: a row a node and pair of blocks.
+
+    Nodes are counted without their labels, and only those above ``block`` are
+    dealt out, so that labels are shuffled once.
+    """
     base = "cls binary, tree int, key long, own int, lo int, hi int, copies long, labels binary"
     node = F.substring(F.col("labels"), F.col("tree") * (DEPTH * VALUE) + 1, F.lit(VALUE * d))
     rows = members.withColumn("key", F.xxhash64("tree", node))
-    count = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(count, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    large = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "jaccard-large")
+    rows = rows.join(F.broadcast(large) if large.count() <= broadcast_rows else large, "key", "left")
+    rows = rows.withColumn("parts", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     ordered = rows.select(*[c.split()[0] for c in base.split(", ")]).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
@@ -301,16 +309,20 @@ def jaccard_rows(
         F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("rep"), F.first("labels").alias("labels")
     )
     classes = materialize(classes, "jaccard-classes")
-    members = materialize(tries(classes, floor).join(classes.select("cls", "copies", "labels"), "cls"), "jaccard-tries")
+    members = materialize(tries(classes, floor), "jaccard-tries")
 
     wanted = materialize(members.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep.doc_id").alias("_d"), F.col("rep.tie").alias("_t")), "jaccard-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    n_wanted = wanted.count()
+    few = F.broadcast(wanted) if n_wanted <= broadcast_rows else wanted
     texts = keyed().join(few, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tie").eqNullSafe(F.col("_t"))).select("cls", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            found = [shingles(x.as_buffer().to_pybytes(), shingle).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["cls", "shingles"])
+            first = {c: i for i, c in reversed(list(enumerate(b.column(0).to_pylist()))) if c not in seen}
+            seen.update(first)
+            found = [shingles(b.column(1)[i].as_buffer().to_pybytes(), shingle).tobytes() for i in first.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(found, pa.binary())], names=["cls", "shingles"])
 
     sets_of = None
     least = TREES * DEPTH * threshold - SLACK * (TREES * DEPTH * threshold * (1 - threshold)) ** 0.5
@@ -318,10 +330,15 @@ def jaccard_rows(
     every, known, above = [], 0, None
     stand, spread = np.zeros(len(levels)), np.zeros(len(levels))
     for k, d in enumerate(levels):
-        left = materialize(level(members, d, above, block, least), "jaccard-members")
-        if sets_of is None:  # a repeated row stands for its class several times: one is enough
-            sets_of = materialize(texts.mapInArrow(lean(sets), "cls binary, shingles binary").dropDuplicates(["cls"]), "jaccard-sets")
-        full = left.join(sets_of, "cls").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        left = materialize(level(members, d, above, block, least, broadcast_rows), "jaccard-members")
+        if sets_of is None:
+            sets_of = materialize(texts.mapInArrow(lean(sets), "cls binary, shingles binary"), "jaccard-sets")
+            if sets_of.count() > n_wanted:  # a repeated row stands for its class in several tasks: one is enough
+                sets_of = materialize(sets_of.dropDuplicates(["cls"]), "jaccard-sets")
+        # only the sets that this level looks at are shuffled
+        own = materialize(left.select("cls").distinct(), "jaccard-level")
+        some = sets_of.join(F.broadcast(own), "cls", "left_semi") if own.count() <= broadcast_rows else sets_of
+        full = left.join(some, "cls").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
         run = lean(lambda b, d=d, above=above: _groups(b, 5_000, lambda t: _verified(t, threshold, d, above, levels)))
         found = materialize(full.mapInArrow(run, kind), "jaccard-links")
         every.append(found.select("cls", "root", "links"))

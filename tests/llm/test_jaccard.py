@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldkeep.llm.jaccard import DEPTH, found_at, intersections, jaccard_classes, jaccard_rows, prefix_length
 from foldkeep.llm.links import components
@@ -147,3 +148,49 @@ def test_textual_identifiers(spark):
     rows = [("b", t), ("a", t + " more"), (None, t), ("c", "other words")]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {"a": ("a", 2), "b": ("a", 2), None: ("a", 2), "c": ("c", 0)}
+
+
+def test_sets_are_shuffled_for_the_levels_that_need_them(spark):
+    """Shuffled bytes against the bytes of all shingle sets: each goes to its class once and to its nodes, not once more for every level."""
+    r = random.Random(6)
+    rows = []
+    for g in range(100):
+        base = [f"{g}w{r.randrange(10**6)}" for _ in range(600)]
+        for k in range(3):
+            w = list(base)
+            w[k * 50 : k * 50 + 2] = [f"n{len(rows)}", f"m{len(rows)}"]
+            rows.append((len(rows), " ".join(w)))
+    sets = 8 * sum(len(s) for s in sets_of(rows))
+    sc = spark.sparkContext
+
+    def stages() -> dict[int, int]:
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteBytes() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(found)}
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = stages()
+        got = jaccard_rows(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99999).collect()
+        spent = sum(n for k, n in stages().items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert all(x.n_links == 2 and x.class_id == x.doc_id // 3 * 3 for x in got)
+    assert sets < spent < 5 * sets, spent / sets
+
+
+def test_equals_brute_force_where_numbers_of_classes_collide(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long") if c == ("cls",) else real(*c))
+    rows = made(8)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_rows_that_repeat_stand_for_their_class_once(spark):
+    """The same row in many partitions: its set is made in several tasks, and counts once."""
+    base = [f"w{i}" for i in range(80)]
+    near = [*base[:-1], "other"]
+    rows = [(1, " ".join(base))] * 40 + [(2, " ".join(near))] * 3
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(12)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(1, 1, 42)] * 40 + [(2, 1, 42)] * 3

@@ -60,12 +60,6 @@ def score_bound(text: Column) -> Column:
     return F.when(v.isNotNull(), F.struct(v.alias("v"), is_open.alias("open")))
 
 
-def in_score_range(score: Column, low: Column, high: Column) -> Column:
-    above = F.when(low["open"], score > low["v"]).otherwise(score >= low["v"])
-    below = F.when(high["open"], score < high["v"]).otherwise(score <= high["v"])
-    return above & below
-
-
 def lex_bound(text: Column) -> Column:
     """``struct(kind, v)``: kind -1 and 1 are the ends, 0 a closed and 2 an open bound; null if it is no bound."""
     first, rest = F.substring(text, 1, 1), F.substring(text, 2, 1 << 30)
@@ -73,12 +67,6 @@ def lex_bound(text: Column) -> Column:
     return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), rest.alias("v")))
 
 
-def in_lex_range(elem: Column, low: Column, high: Column) -> Column:
-    above = F.when(low["kind"] == -1, True).when(low["kind"] == 1, False).when(low["kind"] == 2, elem > low["v"]).otherwise(elem >= low["v"])
-    below = F.when(high["kind"] == 1, True).when(high["kind"] == -1, False).when(high["kind"] == 2, elem < high["v"]).otherwise(elem <= high["v"])
-    return above & below
-
-
 def glob_like(text: Column, pattern: str) -> Column:
     """Whether a text fits a pattern of ``*`` and ``?``, without regard to case."""
     escaped = "".join({"*": "%", "?": "_", "%": r"\%", "_": r"\_", "\\": r"\\"}.get(c, c) for c in pattern)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldkeep.functions.values import lex_bound, score_bound, score_text, ttl_reply
-from foldkeep.operators.reads import Keyspace, exists, mget, zrange_index, zrange_lex, zrange_score
+from foldkeep.operators.reads import Keyspace, bound_spans, exists, index_spans, limited, mget, picked
 from foldkeep.plans.parse import typed_reads
 from foldkeep.plans.registry import resolve
 from foldkeep.schema import BAD_SCORE_RANGE, WRONGTYPE
@@ -47,22 +47,16 @@ def _elements(ks: Keyspace, asked: DataFrame) -> DataFrame:
 
 def _ranges(ks: Keyspace, r: DataFrame) -> DataFrame:
     """Replies of ranges. LIMIT selects before members are gathered."""
-    rows = []
-    for rev in (False, True):
-        way = lambda mode: r.where((F.col("mode") == mode) & (F.col("rev") if rev else ~F.col("rev")))  # noqa: B023, E731
-        named = lambda mode: way(mode).select("req_id", "key", F.col("low").alias("min"), F.col("high").alias("max"))  # noqa: B023, E731
-        rows.append(zrange_index(ks, way("index").select("req_id", "key", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("stop")), rev))
-        rows.append(zrange_score(ks, named("score"), rev).drop("err"))
-        rows.append(zrange_lex(ks, named("lex"), rev).select("req_id", "rank", "elem", F.lit(None).cast("double").alias("score")))
-    found = rows[0]
-    for x in rows[1:]:
-        found = found.unionByName(x)
+    first, take = F.coalesce("start", F.lit(0)), F.coalesce("take", F.lit(-1))
+    way = lambda mode, low, high: r.where(F.col("mode") == mode).select("req_id", "key", "rev", first.alias("first"), take.alias("take"), low, high)
+    texts = F.col("low").alias("min"), F.col("high").alias("max")
+    spans = index_spans(ks, way("index", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("stop")), F.col("rev")).drop("start", "stop")
+    spans = spans.unionByName(bound_spans(ks, way("score", *texts), F.col("rev")).drop("min", "max"))
+    cut = lambda s: limited(s, F.col("first"), F.col("take"))
+    found = picked(ks, cut(spans)).unionByName(picked(ks, cut(bound_spans(ks, way("lex", *texts), F.col("rev"), lex=True)), lex=True))
     found = found.select(F.col("req_id").alias("_id"), "rank", "elem", score_text(F.col("score")).alias("score"))
-    first, take = F.greatest(F.coalesce("start", F.lit(0)), F.lit(0)), F.coalesce("take", F.lit(-1))
-    scored = F.col("with_scores") & (F.col("mode") != "lex")
-    asked = r.select("req_id", first.alias("_first"), take.alias("_take"), F.coalesce(scored, F.lit(False)).alias("_scored"))
-    within = (F.col("rank") >= F.col("_first")) & ((F.col("_take") < 0) | (F.col("rank") - F.col("_first") < F.col("_take")))
-    both = asked.join(found, (F.col("req_id") == F.col("_id")) & within, "left")
+    asked = r.select("req_id", F.coalesce(F.col("with_scores") & (F.col("mode") != "lex"), F.lit(False)).alias("_scored"))
+    both = asked.join(found, F.col("req_id") == F.col("_id"), "left")
     item = F.struct("rank", F.when(F.col("_scored"), F.array("elem", "score")).otherwise(F.array("elem")).alias("x"))
     got = both.groupBy("req_id").agg(F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), item))).alias("_l"))
     return _reply(got, "array", arr=F.flatten(F.transform("_l", lambda x: x["x"])))

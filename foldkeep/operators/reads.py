@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldkeep.functions.values import in_lex_range, in_score_range, is_live, lex_bound, next_prefix, score_bound, score_text, ttl_reply
+from foldkeep.functions.values import is_live, lex_bound, next_prefix, score_bound, score_text, ttl_reply
 from foldkeep.schema import BAD_SCORE_RANGE, WRONGTYPE
 
 
@@ -142,71 +142,106 @@ def hmget(ks: Keyspace, reqs: DataFrame) -> DataFrame:
     return _point(ks, each, "hash", "elem").select("req_id", "pos", F.col("_val").alias("val"))
 
 
-def _order(rev: bool, lex: bool = False) -> Window:
-    cols = ["_elem"] if lex else ["_score", "_elem"]
-    return Window.partitionBy("req_id").orderBy(*[F.col(c).desc() if rev else F.col(c).asc() for c in cols])
-
-
 def zrange_index(ks: Keyspace, reqs: DataFrame, rev: bool = False) -> DataFrame:
     """ZRANGE by rank for requests with ``start`` and ``stop`` (inclusive, negative from the end): ``req_id, rank, elem, score``.
 
     Members are ranked once a key, however many requests ask for it; the size of
     a key comes from metadata, so ranks from the end are counted from there.
     """
-    r = reqs.join(ks.live().where("_type = 'zset'"), "key").withColumn("_n", F.col("cardinality"))
-    at = lambda c: F.when(F.col(c) < 0, F.col(c) + F.col("_n")).otherwise(F.col(c))
-    low, high = (F.col("_n") - 1 - at("stop"), F.col("_n") - 1 - at("start")) if rev else (at("start"), at("stop"))
-    r = r.select("req_id", F.col("key").alias("_key"), "_n", low.alias("_low"), high.alias("_high"))
-    found = r.join(_ranked(ks, r), (F.col("_key") == F.col("key")) & F.col("_rank").between(F.col("_low"), F.col("_high")))
-    rank = F.col("_n") - 1 - F.col("_rank") if rev else F.col("_rank")
-    return found.select("req_id", rank.cast("bigint").alias("rank"), F.col("_elem").alias("elem"), F.col("_score").alias("score"))
+    return picked(ks, index_spans(ks, reqs, F.lit(rev)))
+
 
+def index_spans(ks: Keyspace, reqs: DataFrame, rev: Column) -> DataFrame:
+    """``reqs`` with the ranks that each asks for: ``_from`` up to below ``_to``, where rank 0 is the member at ``_base`` and ``_back`` says that ranks run back from there."""
+    n = F.col("cardinality")
+    at = lambda c: F.greatest(F.lit(-1), F.least(n, F.when(F.col(c) < 0, F.col(c) + n).otherwise(F.col(c))))
+    r = reqs.join(ks.live().where("_type = 'zset'"), "key")
+    return r.select(*reqs.columns, rev.alias("_back"), F.when(rev, n - 1).otherwise(0).alias("_base"), F.greatest(at("start"), F.lit(0)).alias("_from"), F.least(at("stop") + 1, n).alias("_to"))
 
-def _ranked(ks: Keyspace, asked: DataFrame) -> DataFrame:
+
+def bound_spans(ks: Keyspace, reqs: DataFrame, rev: Column, lex: bool = False) -> DataFrame:
+    """The same for requests with bounds ``min`` and ``max`` as text, of scores or of members (``lex``); those without valid bounds have no row.
+
+    A bound's place among its key's members comes from one sort of members and
+    bounds, so that no request is compared with each member.
+    """
+    read = lex_bound if lex else score_bound
+    r = reqs.withColumn("_lo", read(F.when(rev, F.col("max")).otherwise(F.col("min")))).withColumn("_hi", read(F.when(rev, F.col("min")).otherwise(F.col("max"))))
+    r = r.where("_lo is not null and _hi is not null").join(ks.live().where("_type = 'zset'").select("key"), "key")
+
+    def place(c: str, high: bool) -> Column:
+        """Where a bound sorts: before members that equal it (0) or after them (2); ends of the lex order before and after all."""
+        b = F.col(c)
+        is_open = b["kind"] == 2 if lex else b["open"]
+        end = F.when(b["kind"].isin(-1, 1), b["kind"]).otherwise(0) if lex else F.lit(0)
+        return F.struct(end.cast("int").alias("end"), b["v"].alias("v"), F.when(is_open, 0 if high else 2).otherwise(2 if high else 0).cast("int").alias("side"))
+
+    r = r.select(*reqs.columns, place("_lo", False).alias("_lo"), place("_hi", True).alias("_hi"))
+    bounds = r.select("key", F.explode(F.array("_lo", "_hi")).alias("_b")).distinct()
+    e = ks.elements().where("_etype = 'zset'").join(bounds.select("key").distinct(), "key", "left_semi")
+    one = F.struct(F.lit(0).alias("end"), F.col("_elem" if lex else "_score").alias("v"), F.lit(1).alias("side"))
+    w = Window.partitionBy("key").orderBy("_b.end", "_b.v", "_b.side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = e.select("key", one.alias("_b"), F.lit(1).alias("_one")).unionByName(bounds.withColumn("_one", F.lit(0)))
+    placed = both.withColumn("_n", F.sum("_one").over(w)).where("_one = 0")
+    for c, to in (("_lo", "_low"), ("_hi", "_high")):
+        r = r.join(placed.select("key", F.col("_b").alias(c), F.col("_n").alias(to)), ["key", c])
+    base = F.when(rev, F.col("_high") - 1).otherwise(F.col("_low"))
+    return r.select(*reqs.columns, rev.alias("_back"), base.alias("_base"), F.lit(0).cast("bigint").alias("_from"), (F.col("_high") - F.col("_low")).alias("_to"))
+
+
+def limited(spans: DataFrame, offset: Column, count: Column) -> DataFrame:
+    """LIMIT offset count on the ranks themselves; a negative count means all, a negative offset 0."""
+    to = F.greatest(F.col("_to"), F.lit(0))
+    first = F.least(F.greatest(offset, F.lit(0)), to)
+    return spans.withColumn("_end", F.when(count < 0, to).otherwise(F.least(to, first + F.least(count, to)))).withColumn("_from", F.greatest("_from", first)).withColumn("_to", F.col("_end")).drop("_end")
+
+
+def picked(ks: Keyspace, spans: DataFrame, lex: bool = False) -> DataFrame:
+    """The members of spans: ``req_id, rank, elem, score``, a row for each that the reply has."""
+    each = spans.where("_to > _from").select("req_id", F.col("key").alias("_key"), "_back", "_base", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("rank"))
+    each = each.withColumn("_pos", F.when(F.col("_back"), F.col("_base") - F.col("rank")).otherwise(F.col("_base") + F.col("rank")))
+    found = each.join(_ranked(ks, each, lex), (F.col("_key") == F.col("key")) & (F.col("_pos") == F.col("_rank")))
+    return found.select("req_id", F.col("rank").cast("bigint").alias("rank"), F.col("_elem").alias("elem"), F.col("_score").alias("score"))
+
+
+def _ranked(ks: Keyspace, asked: DataFrame, lex: bool = False) -> DataFrame:
     """The members of the sorted sets that are asked for (``_key``) with their ``_rank``, by one window over each key."""
     e = ks.elements().where("_etype = 'zset'").join(asked.select(F.col("_key").alias("key")).distinct(), "key", "left_semi")
-    return e.withColumn("_rank", (F.row_number().over(Window.partitionBy("key").orderBy("_score", "_elem")) - 1).cast("bigint"))
+    order = ["_elem"] if lex else ["_score", "_elem"]
+    return e.withColumn("_rank", (F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1).cast("bigint"))
 
 
-def _limited(rows: DataFrame, order: Window, offset: int, count: int) -> DataFrame:
-    """LIMIT offset count; a negative count means all, a negative offset 0."""
-    offset = max(0, offset)
-    if offset == 0 and count < 0:
-        return rows.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint"))
-    ranked = rows.withColumn("rank", (F.row_number().over(order) - 1 - offset).cast("bigint")).where("rank >= 0")
-    return ranked if count < 0 else ranked.where(F.col("rank") < count)
+def _in_bounds(ks: Keyspace, reqs: DataFrame, rev: bool, lex: bool, offset: int, count: int) -> DataFrame:
+    spans = limited(bound_spans(ks, reqs, F.lit(rev), lex), F.lit(offset).cast("bigint"), F.lit(count).cast("bigint"))
+    return picked(ks, spans, lex).withColumn("rank", F.col("rank") - max(0, offset))
 
 
 def zrange_score(ks: Keyspace, reqs: DataFrame, rev: bool = False, offset: int = 0, count: int = -1) -> DataFrame:
     """ZRANGE BYSCORE for requests with bounds ``min`` and ``max`` as text; REV swaps them. Invalid bounds give one row with ``err``."""
-    lo, hi = ("max", "min") if rev else ("min", "max")
-    reqs = reqs.withColumn("_lo", score_bound(F.col(lo))).withColumn("_hi", score_bound(F.col(hi)))
-    bad = reqs.where("_lo is null or _hi is null").select("req_id", F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("string").alias("elem"), F.lit(None).cast("double").alias("score"), F.lit(BAD_SCORE_RANGE).alias("err"))
-    rows = _members(ks, reqs, "zset").where(in_score_range(F.col("_score"), F.col("_lo"), F.col("_hi")))
-    good = _limited(rows, _order(rev), offset, count).select("req_id", "rank", F.col("_elem").alias("elem"), F.col("_score").alias("score"), F.lit(None).cast("string").alias("err"))
-    return good.unionByName(bad)
+    bad = reqs.where(score_bound(F.col("min")).isNull() | score_bound(F.col("max")).isNull()).select("req_id", F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("string").alias("elem"), F.lit(None).cast("double").alias("score"), F.lit(BAD_SCORE_RANGE).alias("err"))
+    return _in_bounds(ks, reqs, rev, False, offset, count).withColumn("err", F.lit(None).cast("string")).unionByName(bad)
 
 
 def zrange_lex(ks: Keyspace, reqs: DataFrame, rev: bool = False, offset: int = 0, count: int = -1) -> DataFrame:
     """ZRANGE BYLEX: by member bytes alone, scores are ignored."""
     lo, hi = ("max", "min") if rev else ("min", "max")
-    reqs = reqs.withColumn("_lo", lex_bound(F.col(lo))).withColumn("_hi", lex_bound(F.col(hi)))
-    bad = reqs.where("_lo is null or _hi is null").select("req_id", F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("string").alias("elem"), F.concat(F.lit("ERR not a valid lex range bound: '"), F.when(F.col("_lo").isNull(), F.col(lo)).otherwise(F.col(hi)), F.lit("'")).alias("err"))
-    rows = _members(ks, reqs, "zset").where(in_lex_range(F.col("_elem"), F.col("_lo"), F.col("_hi")))
-    good = _limited(rows, _order(rev, lex=True), offset, count).select("req_id", "rank", F.col("_elem").alias("elem"), F.lit(None).cast("string").alias("err"))
-    return good.unionByName(bad)
+    wrong_bound = F.when(lex_bound(F.col(lo)).isNull(), F.col(lo)).when(lex_bound(F.col(hi)).isNull(), F.col(hi))
+    unread = lex_bound(F.col(lo)).isNull() | lex_bound(F.col(hi)).isNull()
+    bad = reqs.where(unread).select("req_id", F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("string").alias("elem"), F.concat(F.lit("ERR not a valid lex range bound: '"), wrong_bound, F.lit("'")).alias("err"))
+    return _in_bounds(ks, reqs, rev, True, offset, count).drop("score").withColumn("err", F.lit(None).cast("string")).unionByName(bad)
 
 
-def zcount(ks: Keyspace, reqs: DataFrame) -> DataFrame:
-    r = reqs.withColumn("_lo", score_bound(F.col("min"))).withColumn("_hi", score_bound(F.col("max")))
-    n = _members(ks, r, "zset").where(in_score_range(F.col("_score"), F.col("_lo"), F.col("_hi"))).groupBy("req_id").agg(F.count("*").alias("_n"))
+def _counted(ks: Keyspace, reqs: DataFrame, lex: bool) -> DataFrame:
+    n = bound_spans(ks, reqs, F.lit(False), lex).select("req_id", F.greatest(F.col("_to"), F.lit(0)).alias("_n"))
     return reqs.select("req_id").join(n, "req_id", "left").select("req_id", F.coalesce("_n", F.lit(0)).alias("n"))
 
 
+def zcount(ks: Keyspace, reqs: DataFrame) -> DataFrame:
+    return _counted(ks, reqs, False)
+
+
 def zlexcount(ks: Keyspace, reqs: DataFrame) -> DataFrame:
-    r = reqs.withColumn("_lo", lex_bound(F.col("min"))).withColumn("_hi", lex_bound(F.col("max")))
-    n = _members(ks, r, "zset").where(in_lex_range(F.col("_elem"), F.col("_lo"), F.col("_hi"))).groupBy("req_id").agg(F.count("*").alias("_n"))
-    return reqs.select("req_id").join(n, "req_id", "left").select("req_id", F.coalesce("_n", F.lit(0)).alias("n"))
+    return _counted(ks, reqs, True)
 
 
 def zrank(ks: Keyspace, reqs: DataFrame, rev: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from foldkeep.operators import reads
 from foldkeep.operators.answer import answers
+from foldkeep.operators.decide import decide, to_log
+from foldkeep.operators.fold import fold
 from foldkeep.operators.reads import Keyspace
 
 
@@ -53,3 +55,13 @@ def test_ranges_with_a_limit_dont_list_what_it_leaves_out(spark):
     assert {r.req_id: r.n for r in rows} == {k: n - 1 - k for k in range(n)} and top <= 4 * n
     rows, top = most_rows(spark, reads.zrange_score(ks, asked.withColumn("min", F.lit("-inf")).withColumn("max", F.col("req_id").cast("string")), offset=0, count=1))
     assert {(r.req_id, r.rank, r.elem) for r in rows} == {(k, 0, "m00000") for k in range(n)} and top <= 4 * n
+
+
+def test_groups_are_decided_many_a_task(spark):
+    """No call, frame or sort a group: keys without a tie are decided in one run over a task's rows."""
+    df = spark.range(200).select(F.col("id").alias("req_id"), F.lit(1).cast("long").alias("at_ms"), F.array(F.lit("SETNX"), (F.col("id") % 90).cast("string"), F.lit("v")).alias("args"))
+    base = fold(to_log(decide(df.where("req_id < 10"))[0]))
+    for replies in (decide(df)[1], decide(df, base)[1]):
+        plan = replies._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "GroupsInPandas" not in plan
+    assert [x.req_id for x in replies.where("i = 1").orderBy("req_id").collect()] == list(range(10, 90))

@@ -1,12 +1,14 @@
 """Rows that plans make on the way: they grow with the input, not with its square."""
 
+import random
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from foldkeep.model import Machine
 from foldkeep.operators import reads
 from foldkeep.operators.answer import answers
-from foldkeep.operators.decide import decide, to_log
+from foldkeep.operators.decide import decide, groups, to_log
 from foldkeep.operators.fold import fold
 from foldkeep.operators.reads import Keyspace
 
@@ -57,6 +59,27 @@ def test_ranges_with_a_limit_dont_list_what_it_leaves_out(spark):
     assert {(r.req_id, r.rank, r.elem) for r in rows} == {(k, 0, "m00000") for k in range(n)} and top <= 4 * n
 
 
+def test_commands_of_several_keys_dont_make_one_group(spark):
+    """DEL, MGET, EXISTS and MSET with a key that all have in common; time runs back now and then, and the clock is common."""
+    r, reqs = random.Random(5), []
+    for i in range(500):
+        k, j = f"k{r.randrange(40)}", f"k{r.randrange(40)}"
+        a = r.choice([["SET", k, str(i), "NX", "PX", "900"], ["SET", k, str(i), "PX", "300"], ["DEL", k, "x", k], ["MSET", k, "1", "x", "2", k, "3"], ["MGET", k, "x", k], ["EXISTS", k, "x", j], ["MSET", k, "1", "x"], ["SADD", k, "m"], ["TTL", k]])
+        reqs.append((i, 1000 + i * 40 - r.choice([0, 0, 700]), a))
+    reqs.insert(0, (-1, 1, ["DEL", *[f"k{i}" for i in range(40)], "x"]))
+    m, now, want, wrote = Machine(), 0, {}, {}
+    for i, at, a in reqs:
+        now = max(now, at)
+        (kind, v), effects = m.execute(a, now)
+        want[i] = (kind, [None if x is None else str(x) for x in v] if kind == "array" else v)
+        wrote |= {(i, n): (e.op, e.key, e.val, e.ttl_ms) for n, e in enumerate(effects)}
+    df = spark.createDataFrame(reqs, "req_id long, at_ms long, args array<string>")
+    assert groups(df).select("group").distinct().count() == 41
+    effects, answered = decide(df)
+    assert {x.req_id: (x.kind, {"int": x.i, "array": x.arr, "error": x.err}.get(x.kind, x.s)) for x in answered.collect()} == want
+    assert {(x.req_id, x.ord): (x.op, x.key, x.val, x.ttl_ms) for x in effects.collect()} == wrote
+
+
 def test_groups_are_decided_many_a_task(spark):
     """No call, frame or sort a group: keys without a tie are decided in one run over a task's rows."""
     df = spark.range(200).select(F.col("id").alias("req_id"), F.lit(1).cast("long").alias("at_ms"), F.array(F.lit("SETNX"), (F.col("id") % 90).cast("string"), F.lit("v")).alias("args"))

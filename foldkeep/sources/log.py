@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldkeep.operators.running import running, same
 from foldkeep.schema import LOG
 
 
@@ -88,8 +89,16 @@ def visible(log: DataFrame, durable: DataFrame) -> DataFrame:
 
 def admitted(writes: DataFrame, window_bytes: int, window_ms: int) -> DataFrame:
     """Writes with ``admit``: whether the bytes of the shard's last ``window_ms`` fit the durability window."""
-    w = Window.partitionBy("shard").orderBy("at_ms").rangeBetween(-window_ms, 0)
-    return writes.withColumn("in_window", F.sum("bytes").over(w)).withColumn("admit", F.col("in_window") <= window_bytes)
+    # bytes come in at their instant and go out after the window's last one, so that one running sum serves all windows
+    some = F.when(F.col("bytes").isNotNull(), 1).otherwise(0)
+    comes = writes.select("shard", F.col("at_ms").isNull().alias("_none"), "at_ms", F.lit(0).alias("_out"), F.coalesce("bytes", F.lit(0)).alias("_b"), some.alias("_c"))
+    goes = comes.where("not _none").select("shard", "_none", F.try_add("at_ms", F.lit(window_ms)).alias("at_ms"), F.lit(1).alias("_out"), (-F.col("_b")).alias("_b"), (-F.col("_c")).alias("_c")).where("at_ms is not null")
+    by = ["shard", "_none", "at_ms", "_out"]
+    moves = comes.groupBy(*by).agg(F.sum("_b").alias("_b"), F.sum("_c").alias("_c")).unionByName(goes.groupBy(*by).agg(F.sum("_b").alias("_b"), F.sum("_c").alias("_c")))
+    sums = running(moves, ["shard", "_none"], ["at_ms", "_out"], {"_b": "_bytes", "_c": "_count"}, "sum", "window").where("_out = 0")
+    sums = sums.select(F.col("shard").alias("_shard"), F.col("at_ms").alias("_at_ms"), F.when(F.col("_count") > 0, F.col("_bytes")).alias("in_window"))
+    both = writes.join(sums, same(writes, sums, ["shard", "at_ms"], "_"), "left").select(*writes.columns, "in_window")
+    return both.withColumn("admit", F.col("in_window") <= window_bytes)
 
 
 def check_topology(spark: SparkSession, path: str, shards: int, logs: int = 1) -> None:

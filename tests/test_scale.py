@@ -11,6 +11,7 @@ from foldkeep.operators.answer import answers
 from foldkeep.operators.decide import decide, groups, to_log
 from foldkeep.operators.fold import fold
 from foldkeep.operators.reads import Keyspace
+from foldkeep.sources import log as logs
 
 
 @contextmanager
@@ -88,3 +89,18 @@ def test_groups_are_decided_many_a_task(spark):
         plan = replies._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "GroupsInPandas" not in plan
     assert [x.req_id for x in replies.where("i = 1").orderBy("req_id").collect()] == list(range(10, 90))
+
+
+def test_bytes_of_a_window_equal_the_window_function(spark):
+    """One sum for all windows: equal instants, gaps, nulls, a second shard; no frame is summed again a row."""
+    r = random.Random(2)
+    rows = [(i, r.choice([0, 0, 1, None]), r.choice([None, *[x * 5 for x in range(40)]]), r.choice([None, 0, 7, 100])) for i in range(600)] + [(600, 0, (1 << 63) - 1, 5)]
+    w = spark.createDataFrame(rows, "seq int, shard int, at_ms long, bytes long")
+    got = logs.admitted(w, 500, 20)
+    assert "RangeFrame, -20" not in got._jdf.queryExecution().optimizedPlan().toString()
+    near = lambda a, b: a is b if a is None or b is None else b - 20 <= a <= b
+    for x in got.collect():
+        held = [b for _, s, t, b in rows if s == x.shard and near(t, x.at_ms) and b is not None]
+        total = sum(held) if held else None
+        assert (x.in_window, x.admit) == (total, None if total is None else total <= 500)
+    assert got.count() == 601

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FLUSHED = "key string, first_seen_ms long, last_modified_ms long, writes long, last_seq long, reason string"
+NAMES = [c.split()[0] for c in FLUSHED.split(", ")]
 
 
 class Compactor(StatefulProcessor):
-    """Counts a key's writes and keeps their bounds; one row out for each flush."""
+    """Counts a key's writes and keeps their bounds; one row out for each flush, one frame for all of a call."""
 
     def __init__(self, quiet_ms: int, cap_ms: int):
         self.quiet_ms, self.cap_ms = quiet_ms, cap_ms
@@ -29,18 +30,20 @@ class Compactor(StatefulProcessor):
         quiet, cap = last + self.quiet_ms, first + self.cap_ms
         return (quiet, "quiet") if quiet <= cap else (cap, "deadline")
 
-    def _row(self, key, state, reason) -> pd.DataFrame:
-        first, last, n, seq = state
-        return pd.DataFrame({"key": [key[0]], "first_seen_ms": [first], "last_modified_ms": [last], "writes": [n], "last_seq": [seq], "reason": [reason]})
+    @staticmethod
+    def _rows(key, flushed: list[tuple]) -> Iterator[pd.DataFrame]:
+        """One frame for all flushes of a call, as a frame costs far more than a row."""
+        if flushed:
+            yield pd.DataFrame([(key[0], *state, reason) for state, reason in flushed], columns=NAMES)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.pending.get() if self.pending.exists() else None
-        writes = sorted((int(a), int(s)) for pdf in rows for a, s in zip(pdf["at_ms"], pdf["seq"], strict=True))
+        state, flushed = self.pending.get() if self.pending.exists() else None, []
+        writes = sorted(w for pdf in rows for w in zip(pdf["at_ms"].tolist(), pdf["seq"].tolist(), strict=True))
         for at, seq in writes:
             if state is not None:
                 due, reason = self._due(state[0], state[1])
                 if at >= due:  # a flush that fell due between two writes of one batch
-                    yield self._row(key, state, reason)
+                    flushed.append((tuple(state), reason))
                     state = None
             state = (at, at, 1, seq) if state is None else (state[0], at, state[2] + 1, max(seq, state[3]))
         for t in list(self.handle.listTimers()):
@@ -50,6 +53,7 @@ class Compactor(StatefulProcessor):
             self.handle.registerTimer(self._due(state[0], state[1])[0])
         else:
             self.pending.clear()
+        yield from self._rows(key, flushed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.pending.exists():
@@ -57,7 +61,7 @@ class Compactor(StatefulProcessor):
             due, reason = self._due(state[0], state[1])
             if due <= expiredTimerInfo.getExpiryTimeInMs():
                 self.pending.clear()
-                yield self._row(key, state, reason)
+                yield from self._rows(key, [(tuple(state), reason)])
 
     def close(self) -> None:
         pass

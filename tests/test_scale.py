@@ -3,6 +3,7 @@
 import random
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from foldkeep.model import Machine
@@ -12,6 +13,7 @@ from foldkeep.operators.decide import decide, groups, to_log
 from foldkeep.operators.fold import fold
 from foldkeep.operators.reads import Keyspace
 from foldkeep.sources import log as logs
+from foldkeep.streaming.compaction_stream import Compactor
 
 
 @contextmanager
@@ -104,3 +106,20 @@ def test_bytes_of_a_window_equal_the_window_function(spark):
         total = sum(held) if held else None
         assert (x.in_window, x.admit) == (total, None if total is None else total <= 500)
     assert got.count() == 601
+
+
+def test_flushes_of_one_call_are_one_frame():
+    """A key of many flushes in one batch costs one frame, not one a flush."""
+
+    class Store:
+        timers, state = [], None
+        exists, get = lambda self: self.state is not None, lambda self: self.state
+        update, clear = lambda self, x: setattr(self, "state", x), lambda self: setattr(self, "state", None)
+        listTimers, deleteTimer, registerTimer = lambda self: list(self.timers), lambda self, t: self.timers.remove(t), lambda self, t: self.timers.append(t)
+
+    c = Compactor(10, 25)
+    c.pending = c.handle = Store()
+    at = [0, 30, 38, 46, 54, 90, 100]
+    frames = list(c.handleInputRows(("k",), iter([pd.DataFrame({"at_ms": at[::-1], "seq": range(7)[::-1]})]), None))
+    assert [x.values.tolist() for x in frames] == [[["k", 0, 0, 1, 0, "quiet"], ["k", 30, 54, 4, 4, "quiet" if 64 <= 55 else "deadline"], ["k", 90, 90, 1, 5, "quiet"]]]
+    assert c.pending.state == (100, 100, 1, 6) and c.handle.timers == [110]
